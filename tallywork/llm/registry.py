@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywork.llm import line_dedup
+from tallywork.llm import line_dedup, pii, token_counts, toxicity
 
-MODULES = [line_dedup]
+MODULES = [pii, token_counts, toxicity, line_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
