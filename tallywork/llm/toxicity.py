@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Many weak voters look at each text: the words of a small lexicon, words and stems induced from labelled rows (a stem is
-a prefix, written ~stem), and patterns. A
+a prefix, written ~stem, or ~~stem if several words of a text must have it), and patterns. A
 generative label model with a latent class estimates each voter's rates of voting in either class by expectation
 maximisation over the vote patterns of all documents, then the correlations of voters within a class; correlated
 voters count less. Its posteriors train a linear classifier, whose scores are calibrated on labelled rows.
@@ -46,7 +46,9 @@ PATTERNS = {
 SHOUT = re.compile(r"\b[A-Z]{4,}\b(?:\W+[A-Z]{4,}\b){2}")
 BANGS = re.compile(r"[!?]{3,}")
 WORD = re.compile(r"\w+")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
+#: Distinct words with a stem that make the voter ~~stem vote.
+MANY = 3
 LEET = str.maketrans("013457$@", "oieastsa")
 
 
@@ -60,7 +62,7 @@ class Voters:
 
     def __init__(self, terms: list[str]):
         self.terms = {t: k for k, t in enumerate(terms) if t[0] != "~"}
-        self.stems = {t[1:]: k for k, t in enumerate(terms) if t[0] == "~"}
+        self.stems = {t.lstrip("~"): (k, MANY if t.startswith("~~") else 1) for k, t in enumerate(terms) if t[0] == "~"}
         self.lengths = sorted({len(t) for t in self.stems})
         self.names = [*terms, *PATTERNS, "shout", "bangs", "leet", "one_term", "two_terms", "dense"]
         self.index = {n: k for k, n in enumerate(self.names)}
@@ -75,9 +77,11 @@ class Voters:
         for w in found:
             votes[self.terms[w]] = 1
         for length in self.lengths:
-            for stem in self.stems.keys() & {w[:length] for w in distinct}:
-                votes[self.stems[stem]] = 1
-                found |= {w for w in distinct if w.startswith(stem)}
+            stemmed = Counter(w[:length] for w in distinct if w[:length] in self.stems)
+            for stem, n in stemmed.items():
+                if n >= self.stems[stem][1]:
+                    votes[self.stems[stem][0]] = 1
+                    found |= {w for w in distinct if w.startswith(stem)}
         for w in distinct:
             if not w.isalpha() and not w.isdigit() and w.translate(LEET) in self.terms:
                 votes[self.index["leet"]] = 1
@@ -119,10 +123,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 def grams(text: str) -> set[str]:
     """The distinct words of a text and their stems."""
     words = {w for w in WORD.findall(text.lower()) if 2 < len(w) < 40}
-    return words.union(*({"~" + w[:k] for w in words if len(w) > k} for k in STEMS))
+    stems = Counter(w[:k] for w in words for k in STEMS if len(w) > k)
+    return words | {"~" + t for t in stems} | {"~~" + t for t, n in stems.items() if n >= MANY}
 
 
-def induced_terms(sample: DataFrame, known: set[str], most: int, least_docs: int = 8, least_ratio: float = 20.0) -> list[str]:
+def induced_terms(sample: DataFrame, known: set[str], most: int, least_docs: int = 6, least_ratio: float = 15.0) -> list[str]:
     """Words and stems that labelled toxic documents hold far more often than clean ones, at most ``most``."""
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -140,8 +145,13 @@ def induced_terms(sample: DataFrame, known: set[str], most: int, least_docs: int
     each = sample.select("text", F.col("toxic").cast("int")).mapInArrow(words, "word string, good long, bad long")
     counts = each.groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     ratio = (F.col("bad") / sizes[1]) / ((F.col("good") + 0.5) / sizes[0])
-    rows = counts.filter((F.col("bad") >= least_docs) & (ratio >= least_ratio)).orderBy(F.desc("bad"), "word").limit(most + len(known)).collect()
-    return [r["word"] for r in rows if r["word"] not in known][:most]
+    rows = counts.filter((F.col("bad") >= least_docs) & (ratio >= least_ratio)).orderBy(F.desc("bad"), F.length("word"), "word").limit(20 * most).collect()
+    kept: list[str] = []
+    for r in rows:  # a longer or shorter form of what is kept says the same
+        bare = r["word"].lstrip("~")
+        if not any(bare.startswith(x) or x.startswith(bare) for x in (*known, *(t.lstrip("~") for t in kept))):
+            kept.append(r["word"])
+    return kept[:most]
 
 
 @dataclass
@@ -233,7 +243,7 @@ def fit_logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.5, rounds:
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 4000, most_induced: int = 100) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 4000, most_induced: int = 60) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``.
 
     Null and empty texts get the score of a text without votes. Rows with a null id count as held out. Repeated rows
