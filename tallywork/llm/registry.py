@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywork.llm import collision_ann, decontaminate, line_dedup, ngram_join, pii, sharding, token_counts, toxicity
+from tallywork.llm import collision_ann, decontaminate, line_dedup, ngram_join, piece_lattice, pii, sharding, token_counts, toxicity
 
-MODULES = [sharding, collision_ann, decontaminate, pii, token_counts, ngram_join, toxicity, line_dedup]
+MODULES = [sharding, piece_lattice, collision_ann, decontaminate, pii, token_counts, ngram_join, toxicity, line_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
