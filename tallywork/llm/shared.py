@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a pruning bitmap: 2 MB.
+BITMAP_BITS = 24
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where no such setting exists (tests on one machine)."""
@@ -34,6 +40,35 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size (2 ** BITMAP_BITS bits) that marks the low bits of the keys.
+
+    It only spares rows the way to a join that would drop them: where many keys fill it, it spares fewer.
+    """
+    slot = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    words = keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    for r in words.collect():
+        out[r["word"]] = r["bits"]
+    return out
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys the bitmap marks."""
+    slot = keys & ((1 << BITMAP_BITS) - 1)
+    return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def prune(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """Rows whose (not null, long) key the bitmap marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marked(bits, batch.column(column).to_numpy(zero_copy_only=False))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove scratch files by the file system that holds them."""
     jvm = spark.sparkContext._jvm
