@@ -69,7 +69,7 @@ def alphabet_positions(spark, d):
 
 @register(
     "hotel_room",
-    "WITH r AS (SELECT o_orderkey, (o_orderkey - 1) % 7 + 1 AS f, CAST(ceil(o_orderkey / 7.0) AS BIGINT) AS r FROM orders) SELECT o_orderkey, f || CASE WHEN r < 10 THEN '0' ELSE '' END || r AS room FROM r",
+    "WITH r AS (SELECT o_orderkey, (o_orderkey + 6) % 7 + 1 AS f, CAST(ceil(o_orderkey / 7.0) AS BIGINT) AS r FROM orders) SELECT o_orderkey, f || CASE WHEN r < 10 THEN '0' ELSE '' END || r AS room FROM r",
 )
 def hotel_room(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.room_number(F.lit(7), F.col("o_orderkey")).alias("room"))

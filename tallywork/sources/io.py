@@ -32,7 +32,7 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """Paragraphs between blank lines, with the file they come from."""
-    return spark.read.option("lineSep", "\n\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("paragraph")).filter("paragraph <> ''")
+    return spark.read.option("lineSep", "\n\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("paragraph")).filter("paragraph <> ''")
 
 
 def titled(paragraphs: DataFrame, column: str = "paragraph") -> DataFrame:
