@@ -2,8 +2,10 @@
 
 Documents with equal texts are linked. Every document starts in the shard that a hash of its id names. In each round a
 join tells linked documents which shard most of their neighbours are in; they move there as far as the quota of that
-shard allows. At last every shard is filled up to its exact size with documents that have no links, so that the counts
-of any two shards differ by at most one (the law ``rows``). A group larger than a shard is moved in parts.
+shard allows, which exceeds its size by half while documents still move. At last shards give up what they hold too much,
+whole groups before parts of them, and are filled up to their exact size with those and with documents that have no
+links; the counts of any two shards then differ by at most one (the law ``rows``). A group larger than a shard is moved
+in parts.
 
 No step meets all rows of a shard or of a group in one task: groups are counted by partial aggregation, quotas are
 dealt over buckets of groups, and ranks come from counts of hash buckets plus a rank within one bucket.
@@ -83,8 +85,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 3) -> DataF
         "shard-told",
     )
     linked = told.filter("n_group > 1")
+    quota_of_rounds = [c + c // 2 + 8 for c in capacity]
     for k in range(rounds):
-        linked = cut(_round(linked, capacity, shards, 11 + k), "shard-round")
+        linked = cut(_round(linked, quota_of_rounds, shards, 11 + k), "shard-round")
     held = gapless_rank(linked, ["shard"], ["unit"], ["unit", "doc_id", "row"], n, "place")
     quota = F.array(*(F.lit(c).cast("long") for c in capacity))
     placed = cut(held.withColumn("fits", F.col("place") < F.get(quota, F.col("shard"))), "shard-placed")

@@ -69,3 +69,7 @@ def test_suffix_array_orders_by_prefixes():
         pads = [k + bytes(depth - len(k)) for k in keys]
         same = [next((j for j in range(depth) if a[j] != b[j]), depth) for a, b in zip(pads, pads[1:])]
         assert common_prefixes(array, words, depth).tolist()[1:] == same
+        wanted = np.array([pick.random() < 0.2 for _ in text])
+        some = suffix_array(text, words, depth, wanted)
+        assert set(np.flatnonzero(wanted)) <= set(some.tolist()) and len(set(some.tolist())) == len(some)
+        assert [data[k : k + depth] for k in some] == sorted(data[k : k + depth] for k in some)
