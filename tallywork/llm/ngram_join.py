@@ -2,20 +2,21 @@
 
 Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of word shingles.
 
-1. A bounded count sketch over the shingles of all documents gives one global order, rare shingles first.
-2. Documents with equal sets are one class; its smallest id stands for it.
-3. Each class posts the prefix of its set that any partner must share. Classes with a posting in common are connected;
-   the components of that graph bound where links can be. Frequent shingles come last in the order, so a passage that
-   many documents share connects nothing unless it makes up nearly all of a text.
-4. Within a component, or within each pair of blocks of a large one, T-occurrence search finds the links: the short
-   inverted lists of a document's shingles are merged, and candidates with enough occurrences are probed by binary
-   search in the long lists. Only links that connect something new are kept, so a group of copies gives no all-pairs.
-5. Components of those links give the result.
+1. Documents with equal sets are one class; its smallest id stands for it.
+2. Sets that link differ in few shingles, at most ``tau`` for their sizes. Dealt by hash over more than ``tau`` parts,
+   they agree in at least one whole part. Each class posts digests of its parts, for its own class of sizes and the
+   next; classes with a posting in common are connected. A passage that many documents share doesn't make a part.
+3. The components of that graph bound where links can be. Within a component, or within each pair of blocks of a large
+   one, T-occurrence search finds the links: the short inverted lists of a document's shingles are merged, and
+   candidates with enough occurrences are probed by binary search in the long lists. Only links that connect something
+   new are kept, so a group of copies gives no all-pairs.
+4. Components of those links give the result.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.llm.components import connected_components
-from tallywork.llm.shared import cut, documents, text_of
+from tallywork.llm.shared import cut, documents, key_bitmap, marked, prune, text_of
 from tallywork.llm.shingles import mix, shingle_sets
 
 QUERY = "op8_ngram_jaccard"
 ORACLE_SQL = None
-SKETCH_BITS = 20
-SKETCH_PARTS = 16
 #: Shingles that a block of a component holds on average.
 BLOCK_SHINGLES = 1_500_000
 
@@ -39,60 +38,92 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """Counts of shingles (once a document) by the top bits of their hashes: an array of fixed size, over all rows."""
-    size, part = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SKETCH_PARTS
+class SizeClasses:
+    """Classes of set sizes such that linked sets lie in one class or in neighbouring ones, and their numbers of parts.
+
+    Sets of class c meet sets of class c - 1 in the parts of class c. Linked sets there differ in at most ``tau``
+    shingles, so of tau + 1 + spare parts at least 1 + spare agree. If all that agree are empty, both sets have more
+    than ``spare`` empty parts; only such sets post their empty parts too.
+    """
+
+    def __init__(self, percent: int):
+        self.percent, self.bounds, self.parts, self.spare = percent, [0, 1], [], []
+
+    def of(self, n: int) -> int:
+        while self.bounds[-1] <= n:
+            self.bounds.append(self.bounds[-1] * 100 // self.percent + 1)
+        return bisect_right(self.bounds, n) - 1
+
+    def layout(self, c: int) -> tuple[int, int]:
+        """(parts, spare) of class c."""
+        while len(self.parts) <= c:
+            k = len(self.parts)
+            self.of(self.bounds[-1])
+            while len(self.bounds) <= k + 1:
+                self.of(self.bounds[-1])
+            top, least, spare = self.bounds[k + 1] - 1, max(1, self.bounds[max(k - 1, 0)]), 1
+            tau = (100 - self.percent) * 2 * top // (100 + self.percent)
+            for _ in range(4):
+                m = tau + 1 + spare
+                spare = math.ceil(1.6 * m * math.exp(-least / m)) + 1 if tau else 0
+            self.parts.append(tau + 1 + spare)
+            self.spare.append(spare)
+        return self.parts[c], self.spare[c]
+
+    def postings(self, own: np.ndarray) -> np.ndarray:
+        """Keys of a sorted set for its own class and the next."""
+        c, keys = self.of(len(own)), []
+        for k in (c, c + 1):
+            m, spare = self.layout(k)
+            salt = np.uint64((k * 0x632BE59BD9B4E019) & (2**64 - 1))
+            part = (mix(own + salt) % np.uint64(m)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            held = part[order]
+            first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+            digest = np.add.reduceat(mix(own ^ np.uint64(0x5851F42D4C957F2D))[order], first)
+            keys.append(mix(digest + mix(held[first].astype(np.uint64) + salt)))
+            if m - len(first) > spare:
+                empty = np.setdiff1d(np.arange(m), held[first])
+                keys.append(mix(mix(empty.astype(np.uint64) + salt) ^ np.uint64(0x14057B7EF767814F)))
+        return np.concatenate(keys)
+
+
+def _digests(own: np.ndarray) -> np.ndarray:
+    """Two digests of a set that don't depend on its order."""
+    return np.array([own.sum(dtype=np.uint64), mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).view(np.int64)
+
+
+def _signatures(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles and two digests of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
-        for batch in batches:
-            held, n = [], 0
-            for own in shingle_sets(_texts(batch, "text"), words):
-                held.append(own)
-                n += len(own)
-                if n > 2_000_000:
-                    counts += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-                    held, n = [], 0
-            if n:
-                counts += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        if counts.any():
-            blobs = [zlib.compress(counts[k * part : (k + 1) * part].tobytes(), 1) for k in range(SKETCH_PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(part, np.int64)
         for batch in batches:
-            for blob in batch.column("counts").to_pylist():
-                total += np.frombuffer(zlib.decompress(blob), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "counts"])
+            rows = [(len(own), *_digests(own).tolist()) for own in shingle_sets(_texts(batch, "text"), words)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], ["doc_id", "n_shingles", "d1", "d2"])
 
-    one = docs.select(text_of().alias("text")).mapInArrow(run, "part int, counts binary").withColumn("task", F.spark_partition_id() % 32)
-    two = one.groupBy("part", "task").applyInArrow(add, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
-    out = np.zeros(size, np.int64)
-    for r in two.collect():
-        out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    return out
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
-def _signatures(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set, and the prefix of the set in the global order."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+def _postings(docs: DataFrame, words: int, percent: int, only: np.ndarray | None = None) -> DataFrame:
+    """term and node (the first digest of a set) for every posting of every document (whose term ``only`` marks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = held.value
+        classes = SizeClasses(percent)
         for batch in batches:
-            rows = []
-            for doc, own in zip(batch.column("doc_id").to_pylist(), shingle_sets(_texts(batch, "text"), words), strict=True):
-                n = len(own)
-                keep = n - -(-percent * n // 100) + 1 if n else 0
-                order = np.lexsort((own, seen[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]
-                digests = np.array([own.sum(dtype=np.uint64), mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).view(np.int64)
-                rows.append((doc, n, int(digests[0]), int(digests[1]), own[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "n_shingles", "d1", "d2", "prefix"])
+            terms, nodes, size = [], [], 0
+            for own in shingle_sets(_texts(batch, "text"), words):
+                if len(own):
+                    keys = classes.postings(own).view(np.int64)
+                    terms.append(keys if only is None else keys[marked(only, keys)])
+                    nodes.append(np.repeat(_digests(own)[:1], len(terms[-1])))
+                    size += len(terms[-1])
+                if size > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(terms)), pa.array(np.concatenate(nodes))], ["term", "node"])
+                    terms, nodes, size = [], [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(terms)), pa.array(np.concatenate(nodes))], ["term", "node"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, prefix array<long>")
+    return docs.mapInArrow(run, "term long, node long")
 
 
 def divide_skip(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -177,31 +208,34 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     are their own ids. Rows with a null id take no part; both are null. Repeated rows are copies of one document.
     Other columns are not read.
     """
-    sketch = shingle_sketch(docs, words)
-    rows = cut(_signatures(docs, words, percent, sketch), "signatures")
-    live = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(live.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "prefix")).alias("own")).select("d1", "d2", "n_shingles", "own.*"), "classes")
-    posted = classes.select(F.explode("prefix").alias("term"), F.col("doc_id").alias("b"))
-    shared = posted.groupBy("term").agg(F.min("b").alias("a"), F.count("*").alias("n")).filter("n > 1").select("term", "a")
-    near = connected_components(posted.join(shared, "term").filter("a <> b").select("a", "b").distinct())
-    sizes = near.join(classes.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
-    parts = sizes.groupBy("root").agg(F.sum("n_shingles").alias("total")).withColumn("parts", F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int"))
-    placed = near.join(parts, "root").select(F.col("node").alias("member"), F.col("root").alias("component"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    wanted = placed.join(texts, placed["member"] == texts["doc_id"]).dropDuplicates(["doc_id"]).select("component", "parts", "part", "doc_id", "text")
+    rows = cut(_signatures(texts, words), "signatures")
+    live = rows.filter("n_shingles > 0 and doc_id is not null")
+    classes = cut(live.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes")
+    posted = _postings(texts.filter("doc_id is not null"), words, percent)
+    edges = cut(posted.groupBy("term").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a <> z"), "edges")
+    lists = edges.filter("n > 2").select("term", "a")
+    again = _postings(texts.filter("doc_id is not null"), words, percent, key_bitmap(lists, "term"))
+    wide = cut(again.join(lists, "term").filter("a <> node").select("a", F.col("node").alias("b")), "wide-edges")
+    near = connected_components(edges.filter("n = 2").select("a", F.col("z").alias("b")).union(wide))
+    sized = near.join(classes.select(F.col("d1").alias("node"), "n_shingles", "class_id"), "node")
+    parts = sized.groupBy("root").agg(F.sum("n_shingles").alias("total")).withColumn("parts", F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int"))
+    part = F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")
+    placed = cut(sized.join(parts, "root").select(F.col("class_id").alias("member"), F.col("root").alias("component"), "parts", part.alias("part")), "placed")
+    texts = prune(texts.filter("doc_id is not null"), "doc_id", key_bitmap(placed, "member"))
+    wanted = placed.join(texts, placed["member"] == texts["doc_id"]).select("component", "parts", "part", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.tobytes() for s in shingle_sets(_texts(batch, "text"), words)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["component", "parts", "part", "doc_id", "shingles"])
 
-    members = cut(wanted.mapInArrow(run, "component long, parts int, part int, doc_id long, shingles binary"), "members")
+    members = cut(wanted.mapInArrow(run, "component long, parts int, part int, doc_id long, shingles binary").dropDuplicates(["doc_id"]), "members")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = members.withColumn("other", other).withColumns({"part_a": F.least("part", "other"), "part_b": F.greatest("part", "other")}).drop("other", "parts")
     roots = connected_components(_links(spread, percent))
-    known = classes.select("d1", "d2", "n_shingles", F.col("doc_id").alias("class_id"))
-    known = known.join(roots, known["class_id"] == roots["node"], "left").select("d1", "d2", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(known, ["d1", "d2", "n_shingles"], "left")
+    known = classes.join(roots, classes["class_id"] == roots["node"], "left").select("d1", "d2", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    out = rows.join(known, ["d1", "d2", "n_shingles"], "left")
     alone = F.col("n_shingles") == 0
     return out.select(
         "doc_id",
