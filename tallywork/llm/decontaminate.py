@@ -108,10 +108,11 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFr
     faced = hits.join(suspects.select("doc_id", "item_id"), ["doc_id", "item_id"]).select("doc_id", "item_id", "pos", "item_pos", step.alias("k"))
     faced = faced.select("doc_id", "item_id", (F.col("pos") + F.col("k")).alias("pos"), (F.col("item_pos") + F.col("k")).alias("item_pos")).distinct()
     item_tokens = with_tokens(items.filter("item_id is not null").select("item_id", text_of().alias("text")), F.col("text"))
-    item_slots = item_tokens.select("item_id", F.posexplode("tokens").alias("item_pos", "t")).filter(F.col("t.c").startswith("#")).select("item_id", "item_pos", F.col("t.c").alias("kind"), F.lower("t.w").alias("item_value")).distinct()
+    # The outer form: else a filter on the size of ``tokens`` moves below the join and makes tokens of every document.
+    item_slots = item_tokens.select("item_id", F.posexplode_outer("tokens").alias("item_pos", "t")).filter(F.col("t.c").startswith("#")).select("item_id", "item_pos", F.col("t.c").alias("kind"), F.lower("t.w").alias("item_value")).distinct()
     faced = faced.join(item_slots, ["item_id", "item_pos"])
     holders = faced.select("doc_id").distinct()
-    doc_tokens = with_tokens(own.join(holders, "doc_id"), F.col("text")).select("doc_id", F.posexplode("tokens").alias("pos", "t")).select("doc_id", "pos", F.lower("t.w").alias("doc_value")).distinct()
+    doc_tokens = with_tokens(own.join(holders, "doc_id"), F.col("text")).select("doc_id", F.posexplode_outer("tokens").alias("pos", "t")).select("doc_id", "pos", F.lower("t.w").alias("doc_value")).distinct()
     values = faced.join(doc_tokens, ["doc_id", "pos"])
     slots = (
         values.groupBy("doc_id", "item_id", "kind", "item_value")
