@@ -35,8 +35,12 @@ class CollisionIndex:
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.axes = np.random.default_rng(20240229).standard_normal((projections, vectors.shape[1]))
         hashed = (vectors / self.norms[:, None]) @ self.axes.T
-        self.order = np.argsort(hashed, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.take_along_axis(hashed, self.order.T.astype(np.int64), axis=0).T
+        order = np.argsort(hashed, axis=0, kind="stable")
+        # One array after the other, each shifted beyond the reach of the one before (no projection of a unit vector
+        # exceeds the norm of its axis): all windows open by one search.
+        self.shift = 2 * (float(np.sqrt((self.axes * self.axes).sum(axis=1)).max()) + half_width * RADII[-1] + 1) * np.arange(projections)
+        self.sorted = (np.take_along_axis(hashed, order, axis=0) + self.shift).T.ravel()
+        self.order = np.ascontiguousarray(order.T).ravel()
         p = math.erf(half_width / math.sqrt(2))
         self.half_width = half_width
         self.threshold = max(1, math.floor(projections * p - margin * math.sqrt(projections * p * (1 - p))))
@@ -44,9 +48,9 @@ class CollisionIndex:
     def nearest(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
         """Up to k (score, id), best first, without the query's own id."""
         n, norm = len(self.ids), math.sqrt(float((query * query).sum()))
-        at = self.axes @ (query / norm)
-        low = np.array([np.searchsorted(row, x) for row, x in zip(self.sorted, at, strict=True)])
-        high, counts = low.copy(), np.zeros(n, np.int64)
+        at = self.axes @ (query / norm) + self.shift
+        low = high = np.searchsorted(self.sorted, at)
+        counts = np.zeros(n, np.int64)
         verified = self.ids == query_id
         found: list[tuple[float, int]] = []
         for radius in (*RADII, math.inf):
@@ -54,12 +58,12 @@ class CollisionIndex:
                 fresh = np.flatnonzero(~verified)
             else:
                 reach = radius * self.half_width
-                parts = []
-                for j, (row, x) in enumerate(zip(self.sorted, at, strict=True)):
-                    a, b = np.searchsorted(row, x - reach), np.searchsorted(row, x + reach, side="right")
-                    parts += [self.order[j, a : low[j]], self.order[j, high[j] : b]]
-                    low[j], high[j] = min(a, low[j]), max(b, high[j])
-                counts += np.bincount(np.concatenate(parts), minlength=n)
+                ends = np.searchsorted(self.sorted, np.concatenate([at - reach, at + reach]))
+                a, b = ends[: len(at)], ends[len(at) :]
+                parts = [self.order[x:y] for x, y in zip(np.concatenate([a, high]).tolist(), np.concatenate([low, b]).tolist(), strict=True) if x < y]
+                low, high = a, b
+                if parts:
+                    counts += np.bincount(np.concatenate(parts), minlength=n)
                 fresh = np.flatnonzero((counts >= self.threshold) & ~verified)
             if len(fresh):
                 verified[fresh] = True
@@ -95,7 +99,7 @@ def blocks(rows: DataFrame, size: int, n_rows: int) -> tuple[DataFrame, int]:
     return dealt.groupBy("block").applyInArrow(_pack, "block int, ids binary, data binary"), count
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, block_rows: int = 12_288, query_rows: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 5, block_rows: int = 16_384, query_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found to every row for which ``is_query`` holds, by cosine.
 
     Null, zero, non-finite vectors, those of another width than the commonest and rows without id take no part. Ties go
