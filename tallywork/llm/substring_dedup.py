@@ -6,8 +6,8 @@ and an earlier start) is removed. Strings are judged on the input.
 1. Equal texts are one text; the others than its first document lose all they have (if it holds ``length`` bytes).
 2. Each text selects anchors: the least of the hashes of all ``grain``-byte strings within each window of ``length``
    bytes. Equal windows select the same anchor, so only anchors that occur twice can lie in repeated strings.
-3. For those, the region that any window selecting the anchor can reach is cut out. Equal regions of an anchor are kept
-   once, with their first and their last place: what is repeated in the last is repeated in all but the first.
+3. For those, the windows that select the anchor (they lie side by side) are cut out as one region. Equal regions of an
+   anchor are kept once, with their first and last place: what is repeated in the last is so in all but the first.
 4. Regions of an anchor meet in one task and become one text, of which ``suffix_array`` sorts type B suffixes directly
    and induces the others; neighbours with a common prefix of ``length`` are equal strings, and all but the earliest
    start of a run are covered. An anchor with very many different regions (a passage in many contexts) is settled by a
@@ -49,10 +49,10 @@ def _rolling(data: np.ndarray, width: int) -> np.ndarray:
     return mix((total[width : width + n] - total[:n]) * _power(_INVERSE, len(data))[:n])
 
 
-def anchors(text: bytes, length: int, grain: int = GRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the anchors of one text."""
+def anchors(text: bytes, length: int, grain: int = GRAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and positions of the anchors of one text, where the windows that select each begin, and how many do."""
     if len(text) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     hashes = _rolling(np.frombuffer(text, np.uint8), grain)
     low = np.uint64((1 << len(text).bit_length()) - 1)
     least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)  # ties: leftmost
@@ -61,8 +61,8 @@ def anchors(text: bytes, length: int, grain: int = GRAIN) -> tuple[np.ndarray, n
         step = min(have, width - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    at = np.unique(least & low).astype(np.int64)
-    return hashes[at], at
+    at, begins, counts = np.unique((least & low).astype(np.int64), return_index=True, return_counts=True)
+    return hashes[at], at, begins, counts
 
 
 def _mark(docs: DataFrame) -> DataFrame:
@@ -71,33 +71,29 @@ def _mark(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame, length: int, only: np.ndarray | None = None) -> DataFrame:
-    """doc_id, anchor, pos and a digest of text and position, for every anchor (that ``only`` marks)."""
+    """doc_id, anchor, begin, count and a digest of text and position, for every anchor (that ``only`` marks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                docs, keys, places, where = [], [], [], []
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                columns: list[list[np.ndarray]] = [[], [], [], [], []]
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     data = text.encode("utf-8", "surrogatepass")
-                    h, p = anchors(data, length)
+                    h, at, begins, counts = anchors(data, length)
                     h = h.view(np.int64)
-                    if only is not None:
-                        kept = marked(only, h)
-                        h, p = h[kept], p[kept]
-                    digest = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
-                    docs.append(np.full(len(h), doc, np.int64))
-                    keys.append(h)
-                    places.append(p)
-                    where.append(mix(p.astype(np.uint64) + np.uint64(digest)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, keys, places, where)], ["doc_id", "anchor", "pos", "place"])
+                    digest = np.uint64(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little"))
+                    own = [np.full(len(h), doc, np.int64), h, begins, counts, mix(at.astype(np.uint64) + digest).view(np.int64)]
+                    kept = slice(None) if only is None else marked(only, h)
+                    for column, values in zip(columns, own, strict=True):
+                        column.append(values[kept])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["doc_id", "anchor", "begin", "count", "place"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, anchor long, pos long, place long")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, anchor long, begin long, count long, place long")
 
 
 def _regions(held: DataFrame, length: int) -> DataFrame:
-    """held: doc_id, text, places (anchor, pos) -> a row for each place with its region."""
-    reach = length - GRAIN
+    """held: doc_id, text, places (anchor, begin, count) -> a row for each place with its region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +102,7 @@ def _regions(held: DataFrame, length: int) -> DataFrame:
                 rows = []
                 for doc, text, places in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
                     data = text.encode("utf-8", "surrogatepass")
-                    rows += [(p["anchor"], doc, max(0, p["pos"] - reach), data[max(0, p["pos"] - reach) : p["pos"] + length]) for p in places]
+                    rows += [(p["anchor"], doc, p["begin"], data[p["begin"] : p["begin"] + p["count"] - 1 + length]) for p in places]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["anchor", "doc_id", "begin", "region"])
 
@@ -118,10 +114,11 @@ def covered(regions: list[bytes], docs: np.ndarray, begins: np.ndarray, length:
     sizes = np.array([len(r) + 1 for r in regions])
     text = np.frombuffer(b"".join(r + bytes([END]) for r in regions), np.uint8)
     words = words_at(text)
-    array = suffix_array(text, words, length)
     of = np.repeat(np.arange(len(regions)), sizes)
     starts = np.cumsum(sizes) - sizes
-    array = array[starts[of[array]] + sizes[of[array]] - 1 - array >= length]  # whole strings only
+    whole = (starts + sizes - 1)[of] - np.arange(len(text)) >= length  # where a string of ``length`` begins
+    array = suffix_array(text, words, length, whole)
+    array = array[whole[array]]
     if not len(array):
         return []
     new = common_prefixes(array, words, length) < length
@@ -235,8 +232,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     # The same place of equal texts counts once.
     met = _anchor_rows(whole, length).groupBy("anchor").agg(F.min("place").alias("low"), F.max("place").alias("high"))
     twice = cut(met.filter("low <> high").select("anchor"), "anchors")
-    again = _anchor_rows(whole, length, key_bitmap(twice, "anchor")).select("anchor", "doc_id", "pos").join(twice, "anchor")
-    places = again.join(copies.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "pos")).alias("places"))
+    again = _anchor_rows(whole, length, key_bitmap(twice, "anchor")).select("anchor", "doc_id", "begin", "count").join(twice, "anchor")
+    places = again.join(copies.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "begin", "count")).alias("places"))
     places = cut(places, "places").withColumnRenamed("doc_id", "own_id")
     near = prune(whole, "doc_id", key_bitmap(places, "own_id"))
     regions = _regions(near.join(places, F.col("doc_id") == F.col("own_id")), length)
@@ -248,10 +245,10 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     crowded = cut(crowded, "crowded")
     cover = _sorted_cover(distinct.join(crowded, "anchor", "left_anti").select("anchor", "r1", "r2", "region", "first", "last"), length)
     cover = cut(cover.union(_hashed_cover(distinct.join(crowded, "anchor", "left_semi"), length)), "cover")
-    ends = distinct.select("anchor", "r1", "r2", "first")
+    cover = cut(cover.join(distinct.select("anchor", "r1", "r2", "first"), ["anchor", "r1", "r2"]), "cover-places")
     spans = (
         regions.select("anchor", "r1", "r2", "doc_id", "begin")
-        .join(cover.join(ends, ["anchor", "r1", "r2"]), ["anchor", "r1", "r2"])
+        .join(cover, ["anchor", "r1", "r2"])
         .filter((F.struct("doc_id", "begin") == F.col("first")) == F.col("is_first"))
         .select(F.col("doc_id").alias("own_id"), (F.col("begin") + F.col("start")).alias("start"), (F.col("begin") + F.col("end")).alias("end"))
     )

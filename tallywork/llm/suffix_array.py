@@ -4,6 +4,9 @@ A suffix is of type B if it is smaller than its successor, else of type A. Only
 their first ``depth`` bytes). All others follow from scans of the buckets of first bytes, from the smallest bucket up:
 the suffix before each scanned one, if of type A, goes to the next free place of its own bucket. A bucket's A part is
 scanned in waves, since scanning it adds to it where bytes repeat; each wave is one vector operation.
+
+Where only some suffixes are wanted, those between a wanted one and the next of type B take part too, as induction needs
+them, and no others.
 """
 
 from __future__ import annotations
@@ -47,17 +50,28 @@ def sort_directly(starts: np.ndarray, words: np.ndarray, depth: int) -> np.ndarr
     return starts
 
 
-def suffix_array(text: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes in the order of their first ``depth`` bytes."""
+def needed(wanted: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """Wanted suffixes and those after them up to the next of type B."""
+    stretch = np.concatenate([[0], np.cumsum(smaller)[:-1]])  # a stretch ends with its type B suffix
+    at = np.flatnonzero(wanted)
+    first = np.full(stretch[-1] + 1, len(wanted), np.int64)
+    np.minimum.at(first, stretch[at], at)
+    return np.arange(len(wanted)) >= first[stretch]
+
+
+def suffix_array(text: np.ndarray, words: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the suffixes (of those that take part if some are ``wanted``), by their first ``depth`` bytes."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     smaller = types(text)
-    direct = sort_directly(np.flatnonzero(smaller), words, depth)
+    part = np.ones(n, bool) if wanted is None else needed(wanted, smaller)
+    larger = part & ~smaller
+    direct = sort_directly(np.flatnonzero(smaller & part), words, depth)
     direct_first = text[direct]
-    bucket = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=256))])
+    bucket = np.concatenate([[0], np.cumsum(np.bincount(text[part], minlength=256))])
     free = bucket[:-1].copy()
-    array = np.empty(n, np.int64)
+    array = np.empty(bucket[-1], np.int64)
     n_direct = np.bincount(direct_first, minlength=256)
     edge = np.concatenate([[0], np.cumsum(n_direct)])
     for c in range(256):
@@ -66,7 +80,7 @@ def suffix_array(text: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     def induce(scanned: np.ndarray) -> None:
         before = scanned - 1
         before = before[before >= 0]
-        before = before[~smaller[before]]
+        before = before[larger[before]]
         if not len(before):
             return
         first = text[before]
@@ -77,7 +91,7 @@ def suffix_array(text: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
         array[free[first] + np.arange(len(first)) - offset[first]] = before[order]
         free[:] += counts
 
-    if not smaller[n - 1]:
+    if larger[n - 1]:
         array[free[text[n - 1]]] = n - 1
         free[text[n - 1]] += 1
     for c in np.flatnonzero(np.diff(bucket)):
