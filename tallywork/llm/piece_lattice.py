@@ -31,7 +31,7 @@ ORACLE_SQL = None
 BLANK = "▁"
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 UNKNOWN_PENALTY = 10.0
-#: Segments that a worker remembers, and the longest that it does.
+#: Segments of a generation that a worker remembers (it keeps two), and the longest that it does.
 MEMO, MEMO_CHARS = 300_000, 48
 SCHEMA = "doc_id long, n_pieces long, score double, ids_sha256 string, n_best int, best_scores array<double>, round_trip boolean"
 
@@ -65,6 +65,7 @@ class PieceModel:
         #: Pieces and, with id -1, what only starts a piece.
         self.known = {p[:k]: (0.0, -1) for p in self.scores for k in range(1, len(p))} | self.scores
         self.memo: dict[str, tuple[float, bytes, float]] = {}
+        self.older: dict[str, tuple[float, bytes, float]] = {}
 
     def normalise(self, text: str) -> str:
         return (BLANK if self.prefix and text else "") + text.replace(" ", BLANK)
@@ -112,9 +113,16 @@ class PieceModel:
 
     def analyse(self, segment: str) -> tuple[float, bytes, float]:
         """Best score, ids of the best path (packed), and what the second-best path loses."""
-        held = self.memo.get(segment)
-        if held is not None:
-            return held
+        held = self.memo.get(segment) or self.older.get(segment)
+        if held is None:
+            held = self._analyse(segment)
+        if segment not in self.memo and len(segment) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO:  # what was used since the last change of generations stays
+                self.older, self.memo = self.memo, {}
+            self.memo[segment] = held
+        return held
+
+    def _analyse(self, segment: str) -> tuple[float, bytes, float]:
         n, known, minus = len(segment), self.known, -math.inf
         best, last, edges = [minus] * (n + 1), [0] * (n + 1), []
         best[0] = 0.0
@@ -151,12 +159,7 @@ class PieceModel:
             if k not in on_path and best[start] + through > top:
                 top = best[start] + through
         ids = self.written(segment, [(edges[k][0], edges[k][1], edges[k][3]) for k in reversed(path)])
-        out = (best[n], array("i", ids).tobytes(), best[n] - top)
-        if n <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[segment] = out
-        return out
+        return best[n], array("i", ids).tobytes(), best[n] - top
 
     def search(self, segments: list[str], n: int) -> list[tuple[float, list[list[int]]]]:
         """The n best paths through the chain of ``segments``: (score, ids of each segment)."""
@@ -188,13 +191,16 @@ class PieceModel:
 
     def best(self, text: str, n: int) -> tuple[list[float], bytes]:
         """Scores of the n best segmentations and the packed ids of the best."""
-        found = [self.analyse(s) for s in SEGMENT.findall(self.normalise(text))]
+        segments = SEGMENT.findall(self.normalise(text))
+        found = []
+        for at in range(0, len(segments), 10_000):
+            get = self.memo.get  # of the generation of now
+            found += [get(s) or self.analyse(s) for s in segments[at : at + 10_000]]
         ids = b"".join([f[1] for f in found])
         score = sum(f[0] for f in found)
         if n == 1 or not found:
             return [score], ids
         chosen = self.deviating(found, n)
-        segments = SEGMENT.findall(self.normalise(text))
         fixed = score - sum(found[k][0] for k in chosen)
         return [fixed + s for s, _ in self.search([segments[k] for k in chosen], n)] or [score], ids
 
