@@ -31,7 +31,8 @@ def tables(spark, tmp_path_factory):
 def test_run(spark, tables):
     got = P.run(spark, tables).collect()
     ids = sorted(r["doc_id"] for r in got if r["doc_id"] is not None)
-    assert ids == [k for k in range(40)] + [54, 55, 56, 57] and sum(r["doc_id"] is None for r in got) == 1
+    # 52 repeats the only line of 3 and is left without text; 53 is a near copy of 4.
+    assert ids == [k for k in range(40)] + [52, 54, 55, 56, 57] and sum(r["doc_id"] is None for r in got) == 1
     assert all(r["round_trip"] for r in got)
 
 
