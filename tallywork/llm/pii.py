@@ -87,7 +87,7 @@ _SPELLED_PART = re.compile(rf"(?i)(plus[\s,\-]*)|({_NUMBER_WORD})(?!\w)|(\s*(?:\
 _AT_MARK = re.compile(r"(?i)(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<\s*at\s*>)\s*")
 _DOT_MARK = re.compile(r"(?i)(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*dot\s*>)\s*")
 #: The bare words count only together: name at host dot domain.
-_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+|\s*@\s*|\s*[\[({<]\s*at\s*[\])}>]\s*)[A-Za-z0-9-]+((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{2,}(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*)")
+_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+|\s*@\s*|\s*[\[({<]\s*at\s*[\])}>]\s*)[A-Za-z0-9-]+((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+(?:com|org|net|edu|gov|info|biz|eu|de|fr|es|uk|co|us|io|ai|me|dev|app)\b(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*)")
 _BARE_DOT = re.compile(r"(?i)\s+dot\s+")
 _ODD = re.compile("[" + "".join(_LOOKALIKES) + _UNSEEN + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
 def _plain(char: str) -> str:
