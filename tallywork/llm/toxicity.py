@@ -8,7 +8,8 @@ voters count less. Its posteriors train a linear classifier, whose scores are ca
 
 Labels are learned only from rows outside the held-out fold (crc32 of the id as text, modulo 4, is 2). All statistics
 of votes cover all documents; only the labelled rows that induce words, start the label model and fit the classifier
-are a sample, bounded by ``sample_rows`` for each class.
+are a sample, bounded by ``sample_rows`` for each class. Both fits of the classifier weight its rows by the inverse
+share that was sampled of their class, so scores are calibrated to the classes of all labelled rows.
 """
 
 from __future__ import annotations
@@ -113,9 +114,20 @@ def cast_votes(docs: DataFrame, voters: Voters, *keep: str) -> DataFrame:
     return docs.select(*fields, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the labelled documents outside the held-out fold."""
+    return labels.filter(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def class_weights(labels: DataFrame, rows: int) -> np.ndarray:
+    """For the clean and the toxic class, how many training documents each one in the sample stands for."""
+    sizes = {int(r["toxic"]): r["n"] for r in training_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return np.array([max(1.0, sizes.get(y, 0) / max(rows, 1)) for y in (0, 1)])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """doc_id, text, toxic of at most ``rows`` training documents of each class, chosen by a hash of the id."""
-    usable = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = training_labels(labels)
     picked = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     return docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
 
@@ -230,13 +242,13 @@ def features(votes: np.ndarray, hits: np.ndarray, n_words: np.ndarray) -> np.nda
     return np.column_stack([votes, np.log1p(hits), np.minimum(1.0, 50.0 * hits / np.maximum(n_words, 1)), np.ones(len(votes))]).astype(float)
 
 
-def fit_logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.5, rounds: int = 25) -> np.ndarray:
-    """Newton steps for soft targets; the last column is the bias."""
+def fit_logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.5, rounds: int = 25) -> np.ndarray:
+    """Newton steps for soft targets of weighted rows; the last column is the bias."""
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (target - p) - penalty * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (weight * (target - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -260,9 +272,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     model = fit_label_model(patterns, seen, truth, n)
     if len(known):
         x = features(seen, known["hits"].to_numpy(), known["n_words"].to_numpy())
-        weights = fit_logistic(x, model.posterior(seen))
+        stands_for = class_weights(labels, sample_rows)[truth.astype(int)]
+        weights = fit_logistic(x, model.posterior(seen), stands_for)
         raw = np.column_stack([x @ weights, np.ones(len(x))])
-        scale = fit_logistic(raw, truth, ridge=0.01) if len(set(truth)) == 2 else np.array([1.0, 0.0])
+        scale = fit_logistic(raw, truth, stands_for, ridge=0.01) if len(set(truth)) == 2 else np.array([1.0, 0.0])
         scale[0] = max(scale[0], 1e-3)
     else:
         weights = scale = None

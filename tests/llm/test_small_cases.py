@@ -227,6 +227,24 @@ def test_toxicity(odd, none, spark):
     assert np.mean([got[k]["predicted"] == (k % 6 == 0) for k in fold]) >= 0.98
 
 
+def test_toxicity_scores_do_not_depend_on_the_cap_of_the_sample(spark):
+    pick, words = random.Random(4), ["alpha", "beta", "gamma", "delta", "omega", "table", "chair"]
+    data, labels = [], []
+    for k in range(3000):
+        bad = k % 12 == 0
+        # Weak votes in both classes: exclamations in half of the toxic and in a tenth of the clean texts.
+        text = " ".join(pick.choice(words) for _ in range(40)) + (" idiot" if pick.random() < (0.6 if bad else 0.01) else "") + ("!!!" if pick.random() < (0.5 if bad else 0.1) else "")
+        data.append((k, text))
+        labels.append((k, 1, int(bad)))
+    docs, known = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole, capped = ({r["doc_id"]: r for r in toxicity.score_toxicity(docs, known, sample_rows=n).collect()} for n in (4000, 250))
+    for k, r in whole.items():
+        assert abs(r["score"] - capped[k]["score"]) < 0.08, (data[k], r, capped[k])
+    base = np.mean([y for _, _, y in labels])
+    assert abs(np.mean([r["score"] for r in capped.values()]) - base) < 0.02
+    assert sum(r["predicted"] != capped[k]["predicted"] for k, r in whole.items()) <= 30
+
+
 def test_pieces(odd, none, spark):
     import sentencepiece
     from unigram_model import as_unigram
