@@ -5,6 +5,7 @@ inside a sentence, a run of them as one) are typed placeholders. Hashes of windo
 item is suspected in a document that holds at least 80 % of its distinct windows. Then the slots are read: wherever a
 window matched, a placeholder of the item faces a value of the document, and one value of the item must always face the
 same value. That keeps re-parameterised copies (other numbers, other names) and drops chance matches of templates.
+Where a document as a whole faces a value with several, each place that can hold the item alone is judged by itself.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ WINDOW = 5
 LEAST_WORDS = 3
 #: The windows of the benchmark are broadcast up to this count (24 bytes each and their item lists), else shuffled.
 BROADCAST_WINDOWS = 500_000
+#: Words that a copy may have more or fewer than the item before its later windows count as another place.
+SLACK = 2 * WINDOW
 TOKEN = r"[0-9]+(?:[.,:/][0-9]+)*|\p{L}+|[.!?]"
 
 # Units of measure, of money and of time.
@@ -87,11 +90,37 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     return held.filter(lexical).select("item_id", F.col("pos").alias("item_pos"), "h").distinct()
 
 
+def _judged(values: DataFrame, *by: str) -> DataFrame:
+    """``by``, most (values that one value of the item faces at most), n_slots and n_changed."""
+    each = values.groupBy(*by, "kind", "item_value").agg(F.count_distinct("item_pos").alias("n"), F.count_distinct("doc_value").alias("n_values"), F.min("doc_value").alias("value"))
+    return each.groupBy(*by).agg(F.max("n_values").alias("most"), F.sum("n").alias("n_slots"), F.sum(F.when(F.col("value") != F.col("item_value"), F.col("n")).otherwise(0)).alias("n_changed"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Each row of pos and item_pos for every place it can belong to: its own offset and each band of offsets around it."""
+    offset = F.col("pos") - F.col("item_pos")
+    bands = F.transform(F.sequence(offset - SLACK, offset), lambda o: F.struct(F.lit(SLACK).alias("slack"), o.alias("first")))
+    return rows.select("*", F.inline(F.concat(F.array(F.struct(F.lit(0).alias("slack"), offset.alias("first"))), bands)))
+
+
+def _consistent_places(hits: DataFrame, values: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """For each of ``pairs`` with a place that holds enough of the item under consistent values the best such place."""
+    place = ["doc_id", "item_id", "slack", "first"]
+    held = _placed(hits.join(pairs, ["doc_id", "item_id"])).groupBy(*place).agg(F.count_distinct("h").alias("n_matched"))
+    held = held.join(sizes, "item_id").filter(100 * F.col("n_matched") >= percent * F.col("n_windows"))
+    slots = _judged(_placed(values.join(pairs, ["doc_id", "item_id"])), *place)
+    whole = held.join(slots, place, "left").filter("coalesce(most, 1) = 1").fillna(0, ["n_slots", "n_changed"])
+    best = F.max(F.struct("n_matched", (-F.col("n_changed")).alias("same"), "n_slots", "n_windows")).alias("best")
+    return whole.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_windows", "best.n_matched", "best.n_slots", (-F.col("best.same")).alias("n_changed"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_slots and n_changed for every item found in a document.
 
     n_windows counts the distinct windows of the item and n_matched those found; n_slots counts the placeholders of the
-    item that faced a value and n_changed those whose value differs. Null texts are empty; items of fewer than five
+    item that faced a value and n_changed those whose value differs. If the values of the whole document contradict each
+    other but those of one place (windows at one offset, or at offsets up to SLACK apart) don't, the last three are those
+    of the best such place. Null texts are empty; items of fewer than five
     words or without a window of enough words are not searched for; rows with a null id take no part. Repeated rows
     count once. Other columns are not read. With no items or no documents the result is empty.
     """
@@ -113,15 +142,11 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFr
     faced = faced.join(item_slots, ["item_id", "item_pos"])
     holders = faced.select("doc_id").distinct()
     doc_tokens = with_tokens(own.join(holders, "doc_id"), F.col("text")).select("doc_id", F.posexplode_outer("tokens").alias("pos", "t")).select("doc_id", "pos", F.lower("t.w").alias("doc_value")).distinct()
-    values = faced.join(doc_tokens, ["doc_id", "pos"])
-    slots = (
-        values.groupBy("doc_id", "item_id", "kind", "item_value")
-        .agg(F.count_distinct("item_pos").alias("n"), F.count_distinct("doc_value").alias("n_values"), F.min("doc_value").alias("value"))
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("n_values").alias("most"), F.sum("n").alias("n_slots"), F.sum(F.when(F.col("value") != F.col("item_value"), F.col("n")).otherwise(0)).alias("n_changed"))
-    )
-    out = suspects.join(slots, ["doc_id", "item_id"], "left").filter("coalesce(most, 1) = 1")
-    return out.select("doc_id", "item_id", "n_windows", "n_matched", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_slots", "n_changed")))
+    values = cut(faced.join(doc_tokens, ["doc_id", "pos"]), "slot-values")
+    judged = suspects.join(_judged(values, "doc_id", "item_id"), ["doc_id", "item_id"], "left")
+    names = ["doc_id", "item_id", "n_windows", "n_matched", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_slots", "n_changed"))]
+    by_place = _consistent_places(hits, values, judged.filter("most > 1").select("doc_id", "item_id"), sizes, percent)
+    return judged.filter("coalesce(most, 1) = 1").select(*names).unionByName(by_place.select(*names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

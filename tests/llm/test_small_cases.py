@@ -207,6 +207,22 @@ def test_decontamination(odd, none, spark):
     assert decontaminate.contaminated(odd, items).count() == 0
 
 
+def test_decontamination_judges_each_place_of_an_item(spark):
+    item = "In Paris John Smith bought 12 apples for 30 cents and then he gave 12 of them to Mary before he went home again"
+    other = "In Rome Anna bought 7 apples for 55 euros and then he gave 7 of them to Peter before he went home again"
+    third = "In Oslo Erik bought 5 apples for 20 crowns and then he gave 5 of them to Nina before he went home again"
+    broken = "In Rome Anna bought 7 apples for 55 cents and then he gave 9 of them to Peter before he went home again"
+    tail = " where the rest of the family had long been waiting for supper and asked how many of the apples were left in the basket"
+    longer = item + tail.replace("how many", "just how many") + ". In between. " + broken + tail
+    items = spark.createDataFrame([(1, item), (2, other), (3, item + tail)], "item_id long, text string")
+    texts = {1: f"{item}. {other}.", 2: f"{other}. Some words between them. {third}", 3: f"{broken}. {broken}.", 4: longer, 5: f"Gave 99 of them to Zoe before he went. {item}."}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, items).collect()}
+    assert set(got) == {(d, i) for d in (1, 2, 4, 5) for i in (1, 2)} | {(4, 3)}  # one more word in the tail of 4
+    assert all(got[k]["n_changed"] == 0 for k in ((1, 1), (1, 2), (2, 2), (4, 1), (4, 3), (5, 1))) and got[2, 1]["n_changed"] >= 5
+    assert all(r["n_matched"] <= r["n_windows"] and 100 * r["n_matched"] >= 80 * r["n_windows"] for r in got.values())
+
+
 def test_toxicity(odd, none, spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score_toxicity(none, empty).count() == 0
