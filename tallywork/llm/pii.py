@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywork.llm.shared import documents
+from tallywork.llm.top_domains import TOP_DOMAINS
 
 QUERY = "op6_pii"
 ORACLE_SQL = None
@@ -87,8 +88,12 @@ _SPELLED_PART = re.compile(rf"(?i)(plus[\s,\-]*)|({_NUMBER_WORD})(?!\w)|(\s*(?:\
 _AT_MARK = re.compile(r"(?i)(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|<\s*at\s*>)\s*")
 _DOT_MARK = re.compile(r"(?i)(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*dot\s*>)\s*")
 #: The bare words count only together: name at host dot domain.
-_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+|\s*@\s*|\s*[\[({<]\s*at\s*[\])}>]\s*)[A-Za-z0-9-]+((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+(?:com|org|net|edu|gov|info|biz|eu|de|fr|es|uk|co|us|io|ai|me|dev|app)\b(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*)")
+_BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+|\s*@\s*|\s*[\[({<]\s*at\s*[\])}>]\s*)([A-Za-z0-9-]+)((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+\b)+)")
 _BARE_DOT = re.compile(r"(?i)\s+dot\s+")
+_LABEL = re.compile("[A-Za-z0-9-]+")
+#: Domains that count after any host; the others not after a bare "at" and one of these words, as in "look at the dot now".
+_USUAL = frozenset("com org net edu gov info biz eu de fr es uk co us io ai me dev app".split())
+_NO_HOST = frozenset("a an the this that these those it its my your his her our their each every any some no one which what".split())
 _ODD = re.compile("[" + "".join(_LOOKALIKES) + _UNSEEN + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
 def _plain(char: str) -> str:
     """First transducer: one source character to one plain character, or to nothing."""
@@ -143,11 +148,23 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _addresses(text: str) -> Iterator[re.Match]:
+    """Matches of _BARE with a spelled dot before a top-level domain."""
+    m = _BARE.search(text)
+    while m:
+        prose = m[1].strip().lower() == "at" and m[2].lower() in _NO_HOST
+        labels = [_LABEL.match(text, d.end())[0].lower() for d in _BARE_DOT.finditer(text, *m.span(3))]
+        held = any(t.split("-")[0] in _USUAL or t in TOP_DOMAINS and not prose for t in labels)
+        if held:
+            yield m
+        m = _BARE.search(text, m.end() if held else m.start(1))
+
+
 def _disguised(text: str) -> list[tuple[int, int, str]]:
     edits = {}
-    for m in _BARE.finditer(text):
+    for m in _addresses(text):
         edits[m.span(1)] = "@"
-        for dot in _BARE_DOT.finditer(text, *m.span(2)):
+        for dot in _BARE_DOT.finditer(text, *m.span(3)):
             edits[dot.span()] = "."
     for mark, new in ((_AT_MARK, "@"), (_DOT_MARK, ".")):
         for m in mark.finditer(text):
@@ -159,7 +176,7 @@ def _disguised(text: str) -> list[tuple[int, int, str]]:
 
 
 def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that show only after normalisation, in source offsets; none touches a base span of its kind."""
+    """Spans that show only after normalisation, in source offsets; none lies inside a base span of its kind."""
     low = text.lower()
     marked = "dot" in low or any(c in text for c in "[({<") and (_AT_MARK.search(text) or _DOT_MARK.search(text))
     # A run of four spelled digits has two inner words with nothing but separators around them.
@@ -173,7 +190,7 @@ def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     out = set()
     for a, kind, b in detect(traced.text):
         start, end = traced.starts[a], traced.ends[b - 1]
-        if not any(start < y and x < end for x, y in taken[kind]):
+        if not any(x <= start and end <= y for x, y in taken[kind]):
             out.add((start, kind, end))
     return sorted(out)
 

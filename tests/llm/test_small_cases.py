@@ -115,6 +115,24 @@ def test_pii_spans(odd, none):
         assert pii.added(clean, []) == []
 
 
+def test_pii_adds_whole_spans_over_parts_that_the_base_finds():
+    hidden = {
+        "mail jоhn.smith@example.com now": ("hn.smith@example.com", "jоhn.smith@example.com"),
+        "call +1 456 555 218 six five four three today": ("+1 456 555 218", "+1 456 555 218 six five four three"),
+        "call +1 456 555 2186４３ today": ("+1 456 555 2186", "+1 456 555 2186４３"),
+        "mail a@b.c [dot] uk now": ("a@b.c", "a@b.c [dot] uk"),
+    }
+    for text, (part, whole) in hidden.items():
+        base = pii.detect(text)
+        assert [text[a:b] for a, _, b in base] == [part] and [text[a:b] for a, _, b in pii.added(text, base)] == [whole], text
+    assert pii.added("a@b.com and c [at] d [dot] org", [(0, 0, 7)]) == [(12, 0, 30)]
+    for domain in ("it", "ch", "photography", "museum", "co dot nz"):
+        text = f"write to jane at mail dot {domain}"
+        assert [text[a:b] for a, _, b in pii.added(text, [])] == [f"jane at mail dot {domain}"], text
+    assert pii.added("look at the dot now, or at that dot in the corner at my dot over there", []) == []
+    assert [s[1] for s in pii.added("look at that dot in john at foo dot com", [])] == [0]
+
+
 def test_pii_is_linear_in_hostile_texts():
     for text in ("a" * 200_000, "1" * 200_000, " " * 200_000, "+1" + " " * 200_000, "1." * 100_000, "a@" * 50_000, "[" * 100_000 + " dot"):
         pii.added(text, pii.detect(text))
