@@ -33,7 +33,9 @@ SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 UNKNOWN_PENALTY = 10.0
 #: Segments of a generation that a worker remembers (it keeps two), and the longest that it does.
 MEMO, MEMO_CHARS = 300_000, 48
-SCHEMA = "doc_id long, n_pieces long, score double, ids_sha256 string, n_best int, best_scores array<double>, round_trip boolean"
+SCHEMA = "doc_id long, n_pieces long, score double, ids_sha256 string, n_best int, best_scores array<double>, round_trip boolean, segmentations array<array<int>>, decoded string"
+#: Characters of text whose results a worker holds before it hands them on.
+HELD_CHARS = 2_000_000
 
 
 class PieceModel:
@@ -189,20 +191,37 @@ class PieceModel:
                 made += 1
         return found
 
-    def best(self, text: str, n: int) -> tuple[list[float], bytes]:
-        """Scores of the n best segmentations and the packed ids of the best."""
+    def segmentations(self, text: str, n: int) -> tuple[list[float], list[bytes], bool]:
+        """Scores and packed ids of the n best segmentations, and whether all stand for the same bytes."""
         segments = SEGMENT.findall(self.normalise(text))
         found = []
         for at in range(0, len(segments), 10_000):
             get = self.memo.get  # of the generation of now
             found += [get(s) or self.analyse(s) for s in segments[at : at + 10_000]]
-        ids = b"".join([f[1] for f in found])
-        score = sum(f[0] for f in found)
+        parts = [f[1] for f in found]
+        best, score = b"".join(parts), sum(f[0] for f in found)
         if n == 1 or not found:
-            return [score], ids
+            return [score], [best], True
         chosen = self.deviating(found, n)
         fixed = score - sum(found[k][0] for k in chosen)
-        return [fixed + s for s, _ in self.search([segments[k] for k in chosen], n)] or [score], ids
+        scores, packed, same = [], [], True
+        for own_score, ids in self.search([segments[k] for k in chosen], n):
+            own = parts.copy()
+            for k, i in zip(chosen, ids, strict=True):
+                own[k] = array("i", i).tobytes()
+                same = same and (own[k] == parts[k] or self.raw(i) == self.raw(np.frombuffer(parts[k], np.int32).tolist()))
+            scores.append(fixed + own_score)
+            packed.append(b"".join(own))
+        if not scores:
+            return [score], [best], True
+        if packed[0] != best:  # of equal scores, the best path of the segments comes first
+            packed = [best, *(p for p in packed if p != best)][: len(packed)]
+        return scores, packed, same
+
+    def best(self, text: str, n: int) -> tuple[list[float], bytes]:
+        """Scores of the n best segmentations and the packed ids of the best."""
+        scores, packed, _ = self.segmentations(text, n)
+        return scores, packed[0]
 
     @staticmethod
     def deviating(found: list[tuple[float, bytes, float]], n: int) -> list[int]:
@@ -221,8 +240,11 @@ class PieceModel:
             out.append((fixed + score, [i for k, p in enumerate(parts) for i in own.get(k, p)]))
         return out
 
+    def raw(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(BLANK, " ")
+        text = self.raw(ids).decode("utf-8", "surrogatepass").replace(BLANK, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -238,24 +260,39 @@ def load(path: str) -> PieceModel:
 
 def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
     """Per row of ``docs``: doc_id, n_pieces, score and digest of the ids (packed as little-endian 32-bit integers) of
-    the best segmentation, how many of the n best exist, their scores, and whether decoding the ids gives the text.
+    the best segmentation, how many of the n best exist, their scores, whether decoding the ids of each gives the text,
+    the ids of each in the order of the scores, and the decoded text.
 
     Null and empty texts have one segmentation without pieces, of score 0. A text that holds U+2581 itself comes back
     with blanks there, so round_trip is false. Null ids and repeated rows pass through; other columns are not read.
     """
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.bool_()]
-    names = ["doc_id", "n_pieces", "score", "ids_sha256", "n_best", "best_scores", "round_trip"]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.bool_(), pa.string()]
+    names = ["doc_id", "n_pieces", "score", "ids_sha256", "n_best", "best_scores", "round_trip", "decoded"]
+
+    def table(rows: list[tuple], packed: list[list[bytes]]) -> pa.RecordBatch:
+        flat = [p for own in packed for p in own]
+        inner = pa.array(np.cumsum([0, *(len(p) // 4 for p in flat)]), pa.int32())
+        outer = pa.array(np.cumsum([0, *map(len, packed)]), pa.int32())
+        ids = pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, pa.array(np.frombuffer(b"".join(flat), np.int32))))
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*columns[:-1], ids, columns[-1]], [*names[:-1], "segmentations", names[-1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for batch in batches:
-            rows = []
+            rows, held, chars = [], [], 0
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py()
-                scores, packed = model.best(text, n)
-                ids = np.frombuffer(packed, np.int32)
-                rows.append((doc.as_py(), len(ids), scores[0], hashlib.sha256(packed).hexdigest(), len(scores), scores, model.decode(ids.tolist()) == text))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+                scores, packed, same = model.segmentations(text, n)
+                decoded = model.decode(np.frombuffer(packed[0], np.int32).tolist())
+                rows.append((doc.as_py(), len(packed[0]) // 4, scores[0], hashlib.sha256(packed[0]).hexdigest(), len(scores), scores, same and decoded == text, decoded))
+                held.append(packed)
+                chars += len(text)
+                if chars >= HELD_CHARS:
+                    yield table(rows, held)
+                    rows, held, chars = [], [], 0
+            if rows:
+                yield table(rows, held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, SCHEMA)
 

@@ -301,3 +301,19 @@ def test_pieces(odd, none, spark):
             assert model.decode(ids) == text and sum(library.get_score(i) for i in ids) == score
     for text in ("tab\tnew\nline", "日本語の🙂", "\x00", "﷽ é"):
         assert model.decode(model.n_best(text, 2)[0][1]) == text
+
+
+def test_pieces_of_all_segmentations(spark, monkeypatch):
+    monkeypatch.setattr(piece_lattice, "HELD_CHARS", 30)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = {20: "unbelievable transmogrification", 21: "日本語の🙂 tab\tnew\nline", 22: "a", 23: "  two  blanks ", 24: "x" * 40, 25: "▁ab", 1: None, 2: ""}
+    got = {r["doc_id"]: r for r in piece_lattice.encode(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1), path).collect()}
+    model = piece_lattice.load(path)
+    assert sorted(got) == sorted(texts)
+    for k, text in texts.items():
+        r, want = got[k], model.n_best(text or "", 4)
+        assert r["best_scores"] == pytest.approx([s for s, _ in want]) and len(r["segmentations"]) == r["n_best"] == len(want)
+        assert sorted(map(list, r["segmentations"])) == sorted(ids for _, ids in want) or len({s for s, _ in want}) < len(want)
+        assert len({tuple(ids) for ids in r["segmentations"]}) == r["n_best"]
+        assert all(model.decode(ids) == r["decoded"] for ids in r["segmentations"]) and r["round_trip"] == (r["decoded"] == (text or "")) == (k != 25)
+        assert hashlib.sha256(np.array(r["segmentations"][0], np.int32).tobytes()).hexdigest() == r["ids_sha256"]
