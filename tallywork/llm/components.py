@@ -8,8 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.shared import cut
-
+from tallywork.llm.shared import cut, drop
 
 #: Nodes that one task joins up at a time.
 FOREST_NODES = 400_000
@@ -49,25 +48,26 @@ def _forests(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b: long): root is the smallest node that can be reached.
 
-    A hub's edges are never gathered in one task: minima are partly aggregated, and the joins have no operator above
-    them that needs a key's rows together, so skewed ones may be split.
+    Rounds go on until no label changes; each round lowers at least one. A hub's edges are never gathered in one task:
+    minima are partly aggregated, and the joins have no operator above them that needs a key's rows together, so skewed
+    ones may be split. Tables of a round are removed when the next ones are written.
     """
     pairs = _forests(edges.filter("a <> b").select("a", "b")).distinct()
     pairs = cut(pairs, "pairs")
     both = cut(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
-    before = None
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        low = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "near").alias("root"))
+    drop(pairs)
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("node"), "root", F.lit(True).alias("changed")), "labels")
+    while not labels.filter("changed").isEmpty():
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        low = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("before"))
         low = cut(low, "labels")
         up = low.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        labels = cut(low.join(up, "root").select("node", F.least("root", "above").alias("root")), "labels")
-        now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return labels
-        before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        jumped = F.least("root", "above")
+        now = cut(low.join(up, "root").select("node", jumped.alias("root"), (jumped < F.col("before")).alias("changed")), "labels")
+        drop(labels, low)
+        labels = now
+    drop(both)
+    return labels.select("node", "root")

@@ -2,22 +2,26 @@
 
 Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of word shingles.
 
-1. Documents with equal sets are one class; its smallest id stands for it.
+1. Documents with equal sets are one class; its smallest id stands for it, and only that document takes part below.
 2. Sets that link differ in few shingles, at most ``tau`` for their sizes. Dealt by hash over more than ``tau`` parts,
-   they agree in at least one whole part. Each class posts digests of its parts, for its own class of sizes and the
-   next; classes with a posting in common are connected. A passage that many documents share doesn't make a part.
-3. The components of that graph bound where links can be. Within a component, or within each pair of blocks of a large
-   one, T-occurrence search finds the links: the short inverted lists of a document's shingles are merged, and
-   candidates with enough occurrences are probed by binary search in the long lists. Only links that connect something
-   new are kept, so a group of copies gives no all-pairs.
-4. Components of those links give the result.
+   they agree in several whole parts. Each class posts digests of its parts, for its own class of sizes and the next.
+   Pairs that meet alone must meet as often as linked sets must at least. Those of longer lists are compared by counts
+   of their shingles over buckets: the sum of differences is no more than the number of shingles in which they differ.
+   A passage that many documents share thus connects none of them.
+3. Within each component of such candidates, or each pair of blocks of a large one, sets are rewritten as differences
+   to the shingles that most of them hold. Two sets link if they have enough differences in common: pairs that need
+   none are counted by their order alone; for the others the shortest inverted lists of a set's differences are merged
+   by a heap, and those with enough occurrences are probed by binary search in the L longest.
+4. Every link between different classes counts; links that connect something new give the components.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import merge
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,67 +29,83 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.llm.components import connected_components
-from tallywork.llm.shared import cut, documents, key_bitmap, marked, prune, text_of
+from tallywork.llm.shared import cut, documents, drop, key_bitmap, marked, prune, text_of
 from tallywork.llm.shingles import mix, shingle_sets
 
 QUERY = "op8_ngram_jaccard"
 ORACLE_SQL = None
 #: Shingles that a block of a component holds on average.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 1_000_000
+#: Texts of a batch that are turned into sets at once.
+SLICE = 512
+#: Lists up to this length are compared pair by pair as far as needed; all of a longer one count as candidates.
+LIST_ROWS = 20_000
+#: DivideSkip's weight of a probe against a step of the heap.
+PROBE = 0.0085
 
 
-def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
-    return [t or "" for t in batch.column(column).to_pylist()]
+def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted set of shingles) of the column ``text``, a slice of texts at a time."""
+    for first in range(0, batch.num_rows, SLICE):
+        texts = [t or "" for t in batch.column("text").slice(first, SLICE).to_pylist()]
+        yield from enumerate(shingle_sets(texts, words), first)
 
 
 class SizeClasses:
     """Classes of set sizes such that linked sets lie in one class or in neighbouring ones, and their numbers of parts.
 
     Sets of class c meet sets of class c - 1 in the parts of class c. Linked sets there differ in at most ``tau``
-    shingles, so of tau + 1 + spare parts at least 1 + spare agree. If all that agree are empty, both sets have more
-    than ``spare`` empty parts; only such sets post their empty parts too.
+    shingles, so of tau + need + spare parts at least need + spare agree. Of those at most ``spare`` are empty unless
+    both sets have more empty parts; only such sets post their empty parts too. So linked sets meet ``need`` times.
     """
 
+    #: What ``need`` can be; the two lowest bits of a posting say which.
+    NEEDS = (1, 2, 4, 8)
+
     def __init__(self, percent: int):
-        self.percent, self.bounds, self.parts, self.spare = percent, [0, 1], [], []
+        self.percent, self.bounds, self.layouts = percent, [0, 1], []
 
     def of(self, n: int) -> int:
         while self.bounds[-1] <= n:
             self.bounds.append(self.bounds[-1] * 100 // self.percent + 1)
         return bisect_right(self.bounds, n) - 1
 
-    def layout(self, c: int) -> tuple[int, int]:
-        """(parts, spare) of class c."""
-        while len(self.parts) <= c:
-            k = len(self.parts)
-            self.of(self.bounds[-1])
+    def layout(self, c: int) -> tuple[int, int, int, int]:
+        """(parts, spare, place of need among NEEDS, buckets of counts) of class c."""
+        while len(self.layouts) <= c:
+            k = len(self.layouts)
             while len(self.bounds) <= k + 1:
                 self.of(self.bounds[-1])
             top, least, spare = self.bounds[k + 1] - 1, max(1, self.bounds[max(k - 1, 0)]), 1
             tau = (100 - self.percent) * 2 * top // (100 + self.percent)
+            level = sum(1 + tau // 16 >= x for x in self.NEEDS) - 1
             for _ in range(4):
-                m = tau + 1 + spare
+                m = tau + self.NEEDS[level] + spare
                 spare = math.ceil(1.6 * m * math.exp(-least / m)) + 1 if tau else 0
-            self.parts.append(tau + 1 + spare)
-            self.spare.append(spare)
-        return self.parts[c], self.spare[c]
+            self.layouts.append((tau + self.NEEDS[level] + spare, spare, level, max(16, top // 8)))
+        return self.layouts[c]
 
-    def postings(self, own: np.ndarray) -> np.ndarray:
-        """Keys of a sorted set for its own class and the next."""
-        c, keys = self.of(len(own)), []
+    def postings(self, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(class, keys) of a sorted set for its own class and the next."""
+        c = self.of(len(own))
         for k in (c, c + 1):
-            m, spare = self.layout(k)
+            m, spare, level, _ = self.layout(k)
             salt = np.uint64((k * 0x632BE59BD9B4E019) & (2**64 - 1))
             part = (mix(own + salt) % np.uint64(m)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             held = part[order]
             first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
             digest = np.add.reduceat(mix(own ^ np.uint64(0x5851F42D4C957F2D))[order], first)
-            keys.append(mix(digest + mix(held[first].astype(np.uint64) + salt)))
+            keys = mix(digest + mix(held[first].astype(np.uint64) + salt))
             if m - len(first) > spare:
                 empty = np.setdiff1d(np.arange(m), held[first])
-                keys.append(mix(mix(empty.astype(np.uint64) + salt) ^ np.uint64(0x14057B7EF767814F)))
-        return np.concatenate(keys)
+                keys = np.concatenate([keys, mix(mix(empty.astype(np.uint64) + salt) ^ np.uint64(0x14057B7EF767814F))])
+            yield k, ((keys & np.uint64(2**64 - 4)) | np.uint64(level)).view(np.int64)
+
+    def counts(self, own: np.ndarray, k: int) -> bytes:
+        """How many shingles lie in each bucket of class k (255 stands for more, too)."""
+        buckets = self.layout(k)[3]
+        return np.minimum(np.bincount((mix(own ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(buckets)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
 
 
 def _digests(own: np.ndarray) -> np.ndarray:
@@ -98,26 +118,27 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(own), *_digests(own).tolist()) for own in shingle_sets(_texts(batch, "text"), words)]
+            rows = [(len(own), *_digests(own).tolist()) for _, own in _sets(batch, words)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], ["doc_id", "n_shingles", "d1", "d2"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
-def _postings(docs: DataFrame, words: int, percent: int, only: np.ndarray | None = None) -> DataFrame:
-    """term and node (the first digest of a set) for every posting of every document (whose term ``only`` marks)."""
+def _postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """term and node (the first digest of a set) for every posting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(percent)
         for batch in batches:
             terms, nodes, size = [], [], 0
-            for own in shingle_sets(_texts(batch, "text"), words):
+            for _, own in _sets(batch, words):
                 if len(own):
-                    keys = classes.postings(own).view(np.int64)
-                    terms.append(keys if only is None else keys[marked(only, keys)])
-                    nodes.append(np.repeat(_digests(own)[:1], len(terms[-1])))
-                    size += len(terms[-1])
-                if size > 500_000:
+                    node = _digests(own)[:1]
+                    for _, keys in classes.postings(own):
+                        terms.append(keys)
+                        nodes.append(np.repeat(node, len(keys)))
+                        size += len(keys)
+                if size > 250_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(terms)), pa.array(np.concatenate(nodes))], ["term", "node"])
                     terms, nodes, size = [], [], 0
             if size:
@@ -126,124 +147,256 @@ def _postings(docs: DataFrame, words: int, percent: int, only: np.ndarray | None
     return docs.mapInArrow(run, "term long, node long")
 
 
-def divide_skip(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (id, id) that connect all that any links among ``sets`` connect.
+def _listed(docs: DataFrame, words: int, percent: int, only: np.ndarray) -> DataFrame:
+    """term, node, size of the set and counts over buckets for every posting whose term ``only`` marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = SizeClasses(percent)
+        for batch in batches:
+            rows, held = [], 0
+            for _, own in _sets(batch, words):
+                if len(own):
+                    node = _digests(own)[0]
+                    for k, keys in classes.postings(own):
+                        keys = keys[marked(only, keys)]
+                        if len(keys):
+                            counts = classes.counts(own, k)
+                            rows += [(t, node, len(own), counts) for t in keys.tolist()]
+                            held += len(keys) * (32 + len(counts))
+                if held > 8_000_000:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["term", "node", "size", "counts"])
+
+    return docs.mapInArrow(run, "term long, node long, size long, counts binary")
+
+
+def list_candidates(nodes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect all of one list (a row of ``counts`` for each) whose counts allow them to link."""
+    counts, rest, edges = counts.astype(np.int16), np.arange(len(nodes)), []
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            k = queue.pop()
+            differ = np.abs(counts[rest] - counts[k]).sum(axis=1, dtype=np.int64)
+            near = (100 + percent) * differ <= (100 - percent) * (sizes[rest] + sizes[k])
+            edges += [(int(nodes[k]), int(nodes[j])) for j in rest[near]]
+            queue += rest[near].tolist()
+            rest = rest[~near]
+    return edges
+
+
+def _list_edges(listed: DataFrame, percent: int) -> DataFrame:
+    """listed: term, node, size, counts, all rows of a term side by side in one partition -> candidate edges a, b."""
+
+    def flush(rows: list[tuple]) -> list[tuple[int, int]]:
+        nodes, sizes = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        counts = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        return list_candidates(nodes, sizes, counts, percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            edges = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("term", "node", "size", "counts")), strict=True):
+                if rows and rows[-1][0] != row[0]:
+                    edges += flush(rows)
+                    rows = []
+                rows.append(row)
+            yield _pairs(edges)
+        if rows:
+            yield _pairs(flush(rows))
+
+    def _pairs(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return listed.repartition("term").sortWithinPartitions("term").mapInArrow(run, "a long, b long")
+
+
+def divide_skip(ids: np.ndarray, sets: list[np.ndarray], weights: np.ndarray, percent: int, left: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For each of ``sets`` (of distinct elements) the weights of the others that it links with, and links (id, id) that
+    connect all that any links connect.
 
     ``left`` marks the members of one of two blocks; pairs within a block are then left to that block's own task.
     """
-    n = len(sets)
+    n, plus, minus = len(sets), 100 + percent, 100 - percent
     sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    ids, sets, sizes = ids[order], [sets[k] for k in order], sizes[order]
-    left = None if left is None else left[order]
-    flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    terms, which, held_by = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), sizes)
-    by_hash = np.argsort(flat, kind="stable")
-    terms, first, lengths = np.unique(flat[by_hash], return_index=True, return_counts=True)
-    listed = owner[by_hash]  # the inverted lists, each sorted by document
-    rank = np.repeat(np.arange(len(terms)), lengths)
-    probe = rank * n + listed
-    of_doc = np.empty(len(flat), np.int64)
-    of_doc[by_hash] = rank
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    root = np.arange(n)
-    links = []
-    for d in range(1, n):
-        own = of_doc[starts[d] : starts[d + 1]]
-        need = -(-percent * len(own) // 100)
-        if not need:
-            continue
-        own = own[np.argsort(lengths[own], kind="stable")]
-        short, long = own[: len(own) - need + 1], own[len(own) - need + 1 :]
-        # Every partner is in at least one short list; the long ones, need - 1 of them, are only probed.
-        parts = [listed[first[t] : first[t] + lengths[t]] for t in short if lengths[t] > 1]
-        if not parts:
+    # The reference set: what more than half of all hold. Each set becomes its differences to that.
+    usual = 2 * held_by > n
+    of_usual = np.cumsum(usual) - 1
+    lacks = np.ones((n, int(usual.sum())), bool)
+    lacks[owner[usual[which]], of_usual[which[usual[which]]]] = False
+    lack_owner, lack_term = np.nonzero(lacks)
+    owner = np.concatenate([owner[~usual[which]], lack_owner])
+    term = np.concatenate([which[~usual[which]], np.flatnonzero(usual)[lack_term]])
+    # A and B link if plus * (|dA| + |dB| - 2 * common) <= minus * (|A| + |B|), that is lag A + lag B <= 2 * plus * common.
+    lag = plus * np.bincount(owner, minlength=n) - minus * sizes
+    order = np.lexsort((ids, lag))
+    rank_of = np.empty(n, np.int64)
+    rank_of[order] = np.arange(n)
+    ids, lag, weights = ids[order], lag[order], weights[order]
+    side = np.zeros(n, np.int64) if left is None else left[order].astype(np.int64)
+    before = np.zeros((2, n + 1), np.int64)
+    for s in (0, 1):
+        before[s, 1:] = np.cumsum(np.where(side == s, weights, 0))
+    ready = np.searchsorted(lag, -lag, side="right")  # ranks below it link without any difference in common
+    against = side if left is None else 1 - side
+    links = before[against, ready]
+    root, found = list(range(n)), []
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    def tie(a: int, b: int) -> None:
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            found.append((int(ids[a]), int(ids[b])))
+
+    if left is None:
+        links -= np.where(np.arange(n) < ready, weights, 0)
+        for k in range(1, ready[0] if n else 0):
+            tie(0, k)
+    else:
+        for s in (0, 1):  # the first of each side reaches all that any of its side reaches
+            if len(own := np.flatnonzero(side == s)):
+                for k in np.flatnonzero(side[: ready[own[0]]] != s):
+                    tie(int(own[0]), int(k))
+
+    rank = rank_of[owner]
+    by_term = np.lexsort((rank, term))
+    listed = rank[by_term].tolist()  # the inverted lists of differences, each sorted by rank
+    ends = np.cumsum(np.bincount(term, minlength=len(terms)))[term[by_term]]
+    of_rank = np.argsort(rank[by_term], kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(rank, minlength=n))])
+    ends, side, lag, ready = ends.tolist(), side.tolist(), lag.tolist(), ready.tolist()
+    for k in range(n):
+        low = max(k + 1, ready[k])
+        if low >= n:
             continue
-        merged = np.concatenate(parts)
-        merged = merged[merged < d]
-        if not len(merged):
+        least = -(-(lag[k] + lag[low]) // (2 * plus))
+        own = of_rank[starts[k] : starts[k + 1]].tolist()
+        if len(own) < least:
             continue
-        counts = np.bincount(merged, minlength=d)
-        found = np.flatnonzero(counts)
-        found = found[(100 * sizes[found] >= percent * sizes[d]) & (root[found] != root[d])]
-        if left is not None:
-            found = found[left[found] != left[d]]
-        if not len(found):
+        lists = [(bisect_left(listed, low, at + 1, ends[at]), ends[at]) for at in own]
+        lists = sorted((e - a, a, e) for a, e in lists if a < e)
+        if len(lists) < least:
             continue
-        common = counts[found]
-        reach = common + len(long)
-        ok = 100 * reach >= percent * (sizes[found] + sizes[d] - reach)
-        found, common = found[ok], common[ok]
-        for at in range(0, len(found), 256):  # probes of some candidates at a time, in all long lists
-            some = found[at : at + 256]
-            keys = long[:, None] * n + some[None, :]
-            place = np.minimum(np.searchsorted(probe, keys), len(probe) - 1)
-            both = common[at : at + 256] + (probe[place] == keys).sum(axis=0)
-            for e in some[100 * both >= percent * (sizes[some] + sizes[d] - both)]:
-                if root[e] != root[d]:
-                    links.append((int(ids[e]), int(ids[d])))
-                    low, high = sorted((root[e], root[d]))
-                    root[root == high] = low
-    return links
+        skipped = min(least - 1, int(least / (PROBE * math.log(lists[-1][0] + 1) + 1)))
+        short, long = lists[: len(lists) - skipped], lists[len(lists) - skipped :]
+        for other, run in groupby(merge(*(listed[a:e] for _, a, e in short))):
+            common = sum(1 for _ in run)
+            if common + skipped < least or left is not None and side[other] == side[k]:
+                continue
+            for _, a, e in long:
+                at = bisect_left(listed, other, a, e)
+                common += at < e and listed[at] == other
+            if lag[k] + lag[other] <= 2 * plus * common:
+                links[k] += weights[other]
+                links[other] += weights[k]
+                tie(k, other)
+    out = np.empty(n, np.int64)
+    out[order] = links
+    return out, found
 
 
 def _links(members: DataFrame, percent: int) -> DataFrame:
-    """members: component, part_a, part_b, part, doc_id, shingles (binary) -> links a, b."""
+    """members: component, part_a, part_b, part, class_id, n_docs, shingles -> a, b (null in a row of counts), n_links."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
+        ids, weights = table.column("class_id").to_numpy(), table.column("n_docs").to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
         a, b = table.column("part_a")[0].as_py(), table.column("part_b")[0].as_py()
         left = None if a == b else table.column("part").to_numpy() == a
-        found = divide_skip(ids, sets, percent, left)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        links, found = divide_skip(ids, sets, weights, percent, left)
+        rows = [(x, y, 0) for x, y in found] + [(x, None, n) for x, n in zip(ids.tolist(), links.tolist(), strict=True) if n]
+        return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("a", "b", "n_links"))})
 
-    return members.groupBy("component", "part_a", "part_b").applyInArrow(run, "a long, b long")
+    return members.groupBy("component", "part_a", "part_b").applyInArrow(run, "a long, b long, n_links long")
+
+
+def _representatives(texts: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id and text of one document for each class.
+
+    A bitmap marks the others; only what it marks is shuffled, to find those that it marks wrongly.
+    """
+    copies = rows.join(classes.select("class_id"), rows["doc_id"] == F.col("class_id"), "left_anti")
+    bits = key_bitmap(copies, "doc_id")
+    seen = prune(texts, "doc_id", bits).join(classes.select("class_id"), F.col("doc_id") == F.col("class_id"), "left_semi")
+    return prune(texts, "doc_id", ~bits).unionByName(seen.dropDuplicates(["doc_id"]))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id and component_id of every row of ``docs``.
+    """doc_id, n_shingles, class_id, component_id and n_links of every row of ``docs``.
 
-    Null and empty texts and texts without words have no shingles; they link with nothing, class_id and component_id
-    are their own ids. Rows with a null id take no part; both are null. Repeated rows are copies of one document.
-    Other columns are not read.
+    n_links counts the other documents that a document links with, copies included. Null and empty texts and texts
+    without words have no shingles; they link with nothing, class_id and component_id are their own ids. Rows with a
+    null id take no part; both ids are null, n_links is 0. Repeated rows are copies of one document; of different texts
+    under one id each counts as that document. Other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = cut(_signatures(texts, words), "signatures")
     live = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(live.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes")
-    posted = _postings(texts.filter("doc_id is not null"), words, percent)
-    edges = cut(posted.groupBy("term").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("n")).filter("a <> z"), "edges")
-    lists = edges.filter("n > 2").select("term", "a")
-    again = _postings(texts.filter("doc_id is not null"), words, percent, key_bitmap(lists, "term"))
-    wide = cut(again.join(lists, "term").filter("a <> node").select("a", F.col("node").alias("b")), "wide-edges")
-    near = connected_components(edges.filter("n = 2").select("a", F.col("z").alias("b")).union(wide))
-    sized = near.join(classes.select(F.col("d1").alias("node"), "n_shingles", "class_id"), "node")
+    key = ["d1", "d2", "n_shingles"]
+    classes = cut(live.groupBy(*key, "doc_id").count().groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs")), "classes")
+    own = _representatives(texts.filter("doc_id is not null"), live, classes)
+    lists = cut(_postings(own, words, percent).groupBy("term").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("a <> b"), "lists")
+    need = F.get(F.array(*map(F.lit, SizeClasses.NEEDS)), F.col("level").cast("int"))
+    pairs = lists.filter("n = 2").groupBy("a", "b", F.col("term").bitwiseAND(F.lit(3)).alias("level")).agg(F.count("*").alias("met")).filter(F.col("met") >= need)
+    longer = lists.filter("n > 2").select("term", "a", "n")
+    listed = _listed(own, words, percent, key_bitmap(longer, "term")).join(longer, "term")
+    listed = cut(listed, "listed")
+    compared = _list_edges(listed.filter(F.col("n") <= LIST_ROWS).select("term", "node", "size", "counts"), percent)
+    wide = listed.filter((F.col("n") > LIST_ROWS) & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b"))
+    edges = cut(pairs.select("a", "b").union(compared).union(wide), "candidates")
+    drop(lists, listed)
+    near = connected_components(edges)
+    drop(edges)
+    sized = near.join(classes.select(F.col("d1").alias("node"), "n_shingles", "class_id", "n_docs"), "node")
     parts = sized.groupBy("root").agg(F.sum("n_shingles").alias("total")).withColumn("parts", F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int"))
     part = F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")
-    placed = cut(sized.join(parts, "root").select(F.col("class_id").alias("member"), F.col("root").alias("component"), "parts", part.alias("part")), "placed")
-    texts = prune(texts.filter("doc_id is not null"), "doc_id", key_bitmap(placed, "member"))
-    wanted = placed.join(texts, placed["member"] == texts["doc_id"]).select("component", "parts", "part", "doc_id", "text")
+    placed = cut(sized.join(parts, "root").select("class_id", "n_docs", F.col("root").alias("component"), "parts", part.alias("part")), "placed")
+    wanted = placed.join(prune(texts.filter("doc_id is not null"), "doc_id", key_bitmap(placed, "class_id")), F.col("class_id") == F.col("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(_texts(batch, "text"), words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["component", "parts", "part", "doc_id", "shingles"])
+            sets = [s.tobytes() for _, s in _sets(batch, words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], ["component", "parts", "part", "class_id", "n_docs", "shingles"])
 
-    members = cut(wanted.mapInArrow(run, "component long, parts int, part int, doc_id long, shingles binary").dropDuplicates(["doc_id"]), "members")
+    fields = ["component", "parts", "part", "class_id", "n_docs", "text"]
+    members = wanted.select(*fields).mapInArrow(run, "component long, parts int, part int, class_id long, n_docs long, shingles binary")
+    members = cut(members.dropDuplicates(["class_id"]), "members")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = members.withColumn("other", other).withColumns({"part_a": F.least("part", "other"), "part_b": F.greatest("part", "other")}).drop("other", "parts")
-    roots = connected_components(_links(spread, percent))
-    known = classes.join(roots, classes["class_id"] == roots["node"], "left").select("d1", "d2", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
-    out = rows.join(known, ["d1", "d2", "n_shingles"], "left")
-    alone = F.col("n_shingles") == 0
+    links = cut(_links(spread, percent), "links")
+    drop(placed, members)
+    roots = connected_components(links.filter("b is not null"))
+    counted = links.filter("b is null").groupBy("a").agg(F.sum("n_links").alias("n_links"))
+    known = (
+        classes.join(roots, F.col("class_id") == F.col("node"), "left")
+        .join(counted, F.col("class_id") == F.col("a"), "left")
+        .select(*key, "class_id", F.coalesce("root", "class_id").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    )
+    out = rows.join(known, key, "left")
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return out.select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("doc_id").isNull() | alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNull() | alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, 0).otherwise(F.col("n_links")).alias("n_links"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(documents(spark, sf_dir), words=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")

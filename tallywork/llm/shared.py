@@ -16,12 +16,14 @@ BITMAP_BITS = 24
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where no such setting exists (tests on one machine)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallywork-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
@@ -37,7 +39,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote, once all that was derived from them is written itself."""
+    for table in tables:
+        drop_path(table.sparkSession, table.scratch)
 
 
 def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:

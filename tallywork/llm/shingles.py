@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that one chunk holds (a longer text is a chunk of its own).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _RNG = np.random.default_rng(7919)
 _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -27,7 +27,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** 0 ... base ** (n - 1) modulo 2 ** 64."""
     held = _powers.get(base)
     if held is None or len(held) < n:
-        out = np.full(max(n, CHUNK + 4096), base, np.uint64)
+        out = np.full(max(n, CHUNK + 65_536), base, np.uint64)
         out[0] = 1
         held = np.multiply.accumulate(out)
         if len(held) <= 8 * CHUNK:

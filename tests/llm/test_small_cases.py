@@ -203,13 +203,49 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, words, percent, block):
             k = root[k]
         return k
 
+    links = [0] * len(sets)
     for a in range(len(sets)):
         for b in range(a):
             if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
                 root[max(find(a), find(b))] = min(find(a), find(b))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df, words, percent).collect()}
-    assert got == {k: (len(sets[k]), find(k)) for k in range(len(sets))}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(df, words, percent).collect()}
+    assert got == {k: (len(sets[k]), find(k), links[k]) for k in range(len(sets))}
+
+
+def test_divide_skip_against_all_pairs():
+    pick = random.Random(5)
+    for _ in range(150):
+        sets = []
+        for _ in range(pick.randint(1, 4)):
+            base = [pick.randrange(400) for _ in range(pick.choice([3, 10, 30, 60]))]
+            for _ in range(pick.randint(1, 8)):
+                own = set(base)
+                for _ in range(pick.choice([0, 1, 2, 3, 6])):
+                    own ^= {pick.randrange(400) if pick.random() < 0.5 or len(own) < 2 else pick.choice(sorted(own))}
+                sets.append(own | {1})
+        n, percent = len(sets), pick.choice([50, 60, 80, 90])
+        weights, ids = np.array([pick.randint(1, 4) for _ in range(n)]), np.array(pick.sample(range(1000), n))
+        left = None if pick.random() < 0.5 else np.array([pick.random() < 0.5 for _ in range(n)])
+        want = [0] * n
+        for a in range(n):
+            for b in range(n):
+                if a != b and (left is None or left[a] != left[b]) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    want[a] += weights[b]
+        links, found = ngram_join.divide_skip(ids, [np.array(sorted(s), np.uint64) for s in sets], weights, percent, left)
+        assert links.tolist() == want
+        joined = {i: {i} for i in ids.tolist()}
+        for a, b in found:  # no link is one too many
+            assert joined[a] is not joined[b]
+            joined[a] |= joined[b]
+            for i in joined[b]:
+                joined[i] = joined[a]
+        for a in range(n):
+            for b in range(n):
+                if a != b and (left is None or left[a] != left[b]) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    assert joined[int(ids[a])] is joined[int(ids[b])]
 
 
 def test_decontamination(odd, none, spark):
