@@ -6,8 +6,11 @@ Forward Viterbi scores of a lattice are exact heuristics for a backward A-star s
 the best downwards. Among the N best of a text only the N - 1 segments with the smallest loss for their second-best path
 can deviate; the search runs over the chain of those segments, and the others stay at their best.
 
-Scores are those of the model file, added up as by a unigram model. A character that is no piece costs 10 more than the
-worst piece and is written as byte pieces. Of equal scores the path whose last piece is longest wins, at every node.
+A model file of merges holds ranks, not probabilities. A piece of rank r gets the probability 1 / (r + 1) over the sum
+of that for all pieces (Zipf's law), so a path's score is the logarithm of its probability as a unigram sequence. The
+library replays merges instead; ``by_library`` gives its segmentation with its score on the same scale. A character that
+is no piece costs 10 more than the worst piece and is written as byte pieces. Of equal scores the path whose last piece
+is longest wins, at every node.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +37,31 @@ BLANK = "▁"
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 UNKNOWN_PENALTY = 10.0
 #: Segments of a generation that a worker remembers (it keeps two), and the longest that it does.
-MEMO, MEMO_CHARS = 300_000, 48
+MEMO, MEMO_CHARS = 200_000, 48
+#: An odd number; hashes of pieces are polynomials over it.
+HASH_BASE = 0x9E3779B97F4A7C15
 SCHEMA = "doc_id long, n_pieces long, score double, ids_sha256 string, n_best int, best_scores array<double>, round_trip boolean, segmentations array<array<int>>, decoded string"
 #: Characters of text whose results a worker holds before it hands them on.
-HELD_CHARS = 2_000_000
+HELD_CHARS = 1_000_000
+
+
+class Segment(NamedTuple):
+    """What is known of a segment: its best path (score, packed ids, whether these decode to the segment) and what the
+    second-best path loses."""
+
+    score: float
+    ids: bytes
+    same: bool
+    loss: float
 
 
 class PieceModel:
-    """The pieces of a model file with the lattice operations on them."""
+    """The pieces of a model file with the lattice operations on them; ``zipf`` turns scores (ranks) to probabilities."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, zipf: bool = True):
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
+        self.library = model = SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.scores: dict[str, tuple[float, int]] = {}
         self.bytes_of, self.id_of_byte = [b""] * n, [-1] * 256
@@ -59,15 +76,28 @@ class PieceModel:
                 self.bytes_of[i] = piece.encode()
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.scores):
             raise ValueError("a piece of this model crosses the start of a word")
+        if zipf:
+            total = sum(1 / (1 - rank) for rank, _ in self.scores.values())
+            self.scores = {p: (-math.log((1 - rank) * total), i) for p, (rank, i) in self.scores.items()}
         self.longest = max(map(len, self.scores), default=1)
         self.unknown = min((s for s, _ in self.scores.values()), default=0.0) - UNKNOWN_PENALTY
         self.prefix = model.normalize("a") == BLANK + "a"
         if model.normalize("  a  b ") != BLANK * self.prefix + "  a  b ".replace(" ", BLANK):
             raise ValueError("this model rewrites text before segmentation")
+        #: By id: scores, and which ids write a character that is no piece.
+        self.score_of, self.spells = np.zeros(n), np.ones(n, bool)
+        for score, i in self.scores.values():
+            self.score_of[i], self.spells[i] = score, False
         #: Pieces and, with id -1, what only starts a piece.
         self.known = {p[:k]: (0.0, -1) for p in self.scores for k in range(1, len(p))} | self.scores
-        self.memo: dict[str, tuple[float, bytes, float]] = {}
-        self.older: dict[str, tuple[float, bytes, float]] = {}
+        self.memo: dict[str, Segment] = {}
+        self.older: dict[str, Segment] = {}
+        hashes = np.array([self._hash(p) for p in self.known], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.hash_scores, self.hash_ids = hashes[order], *(np.array([e[k] for e in self.known.values()])[order] for k in (0, 1))
+
+    def split(self, text: str) -> list[str]:
+        return SEGMENT.findall(self.normalise(text))
 
     def normalise(self, text: str) -> str:
         return (BLANK if self.prefix and text else "") + text.replace(" ", BLANK)
@@ -113,18 +143,97 @@ class PieceModel:
                     ids.append(self.id_of_byte[byte] if self.id_of_byte[byte] >= 0 else self.unknown_id)
         return ids
 
-    def analyse(self, segment: str) -> tuple[float, bytes, float]:
-        """Best score, ids of the best path (packed), and what the second-best path loses."""
-        held = self.memo.get(segment) or self.older.get(segment)
-        if held is None:
-            held = self._analyse(segment)
-        if segment not in self.memo and len(segment) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:  # what was used since the last change of generations stays
-                self.older, self.memo = self.memo, {}
-            self.memo[segment] = held
-        return held
-
-    def _analyse(self, segment: str) -> tuple[float, bytes, float]:
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * HASH_BASE + ord(c) + 1) & (2**64 - 1)
+        return h
+
+    def analyse(self, segments: set[str]) -> dict[str, Segment]:
+        """What is known of each segment, from the memo or worked out now."""
+        found, missing = {}, []
+        for s in segments:
+            held = self.memo.get(s) or self.older.get(s)
+            if held:
+                found[s] = held
+            elif len(s) <= MEMO_CHARS:
+                missing.append(s)
+        for _, alike in groupby(sorted(missing, key=len), len):
+            alike = list(alike)
+            for at in range(0, len(alike), 2048):
+                some = alike[at : at + 2048]
+                found.update(zip(some, self.analyse_many(some), strict=True))
+        if len(self.memo) + len(found) > MEMO:  # what was used since the last change of generations stays
+            self.older, self.memo = self.memo, {}
+        self.memo.update(found)
+        for s in segments:
+            if s not in found:
+                found[s] = self._analyse(s)
+        return found
+
+    def analyse_many(self, segments: list[str]) -> list[Segment]:
+        """The same as ``_analyse`` for segments of one length, all their lattices at once."""
+        rows, size, longest = len(segments), len(segments[0]), min(self.longest, len(segments[0]))
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        # For each width and start the score and id of a piece there, if any.
+        score = np.full((longest + 1, rows, size), -np.inf)
+        piece = np.full((longest + 1, rows, size), -1, np.int32)
+        score[1] = self.unknown
+        at, h = np.arange(rows * size), np.zeros(rows * size, np.uint64)
+        for width in range(1, longest + 1):
+            inside = at % size + width <= size
+            at, h = at[inside], h[inside]
+            h = h * np.uint64(HASH_BASE) + codes[at + width - 1] + np.uint64(1)
+            place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[place] == h
+            at, h, place = at[hit], h[hit], place[hit]
+            whole = self.hash_ids[place] >= 0
+            score[width].ravel()[at[whole]] = self.hash_scores[place[whole]]
+            piece[width].ravel()[at[whole]] = self.hash_ids[place[whole]]
+        best, step = np.zeros((size + 1, rows)), np.zeros((size + 1, rows), np.int64)
+        for end in range(1, size + 1):
+            widths = range(min(longest, end), 0, -1)  # of equal scores the longest
+            reached = np.stack([best[end - w] + score[w, :, end - w] for w in widths])
+            top = reached.argmax(axis=0)
+            best[end], step[end] = reached[top, np.arange(rows)], len(widths) - top
+        after, second = np.zeros((size + 1, rows)), np.full(rows, -np.inf)
+        on_path, parts, node, live = np.zeros((size + 1, rows), np.int64), [], np.full(rows, size), np.arange(rows)
+        while len(live):
+            width = step[node[live], live]
+            node[live] -= width
+            on_path[node[live], live] = width
+            parts.append((live, node[live], width, piece[width, live, node[live]]))
+            live = live[node[live] > 0]
+        for start in range(size - 1, -1, -1):
+            widths = range(1, min(longest, size - start) + 1)
+            rest = np.stack([score[w, :, start] + after[start + w] for w in widths])
+            after[start] = rest.max(axis=0)
+            own = np.flatnonzero(on_path[start])
+            rest[on_path[start, own] - 1, own] = -np.inf
+            second = np.maximum(second, best[start] + rest.max(axis=0))
+        row, start, width, ids = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        order = np.argsort(row * size + start)
+        row, start, width, ids = row[order], start[order].tolist(), width[order].tolist(), ids[order].tolist()
+        bounds, spelled = np.cumsum(np.bincount(row, minlength=rows)).tolist(), set(row[piece[width, row, start] < 0].tolist())
+        out, a = [], 0
+        for k, (segment, b, total, loss) in enumerate(zip(segments, bounds, best[size].tolist(), (best[size] - second).tolist(), strict=True)):
+            own = ids[a:b]
+            if k in spelled:
+                own = self.written(segment, [(x, x + y, i) for x, y, i in zip(start[a:b], width[a:b], own, strict=True)])
+            out.append(Segment(total, array("i", own).tobytes(), self.raw(own) == segment.encode("utf-8", "surrogatepass"), loss))
+            a = b
+        return out
+
+    def by_library(self, text: str) -> tuple[bytes, float]:
+        """Packed ids of the library for a text and their score."""
+        ids = np.array(self.library.encode(text), np.int32)
+        score, spelled = float(self.score_of[ids].sum()), ids[self.spells[ids]]
+        if len(spelled):
+            score += self.unknown * len(self.raw(spelled.tolist()).decode("utf-8", "replace"))
+        return ids.tobytes(), score
+
+    def _analyse(self, segment: str) -> Segment:
         n, known, minus = len(segment), self.known, -math.inf
         best, last, edges = [minus] * (n + 1), [0] * (n + 1), []
         best[0] = 0.0
@@ -161,7 +270,7 @@ class PieceModel:
             if k not in on_path and best[start] + through > top:
                 top = best[start] + through
         ids = self.written(segment, [(edges[k][0], edges[k][1], edges[k][3]) for k in reversed(path)])
-        return best[n], array("i", ids).tobytes(), best[n] - top
+        return Segment(best[n], array("i", ids).tobytes(), self.raw(ids) == segment.encode("utf-8", "surrogatepass"), best[n] - top)
 
     def search(self, segments: list[str], n: int) -> list[tuple[float, list[list[int]]]]:
         """The n best paths through the chain of ``segments``: (score, ids of each segment)."""
@@ -191,60 +300,67 @@ class PieceModel:
                 made += 1
         return found
 
-    def segmentations(self, text: str, n: int) -> tuple[list[float], list[bytes], bool]:
-        """Scores and packed ids of the n best segmentations, and whether all stand for the same bytes."""
-        segments = SEGMENT.findall(self.normalise(text))
-        found = []
-        for at in range(0, len(segments), 10_000):
-            get = self.memo.get  # of the generation of now
-            found += [get(s) or self.analyse(s) for s in segments[at : at + 10_000]]
-        parts = [f[1] for f in found]
-        best, score = b"".join(parts), sum(f[0] for f in found)
-        if n == 1 or not found:
-            return [score], [best], True
-        chosen = self.deviating(found, n)
-        fixed = score - sum(found[k][0] for k in chosen)
-        scores, packed, same = [], [], True
-        for own_score, ids in self.search([segments[k] for k in chosen], n):
-            own = parts.copy()
-            for k, i in zip(chosen, ids, strict=True):
-                own[k] = array("i", i).tobytes()
-                same = same and (own[k] == parts[k] or self.raw(i) == self.raw(np.frombuffer(parts[k], np.int32).tolist()))
-            scores.append(fixed + own_score)
-            packed.append(b"".join(own))
-        if not scores:
-            return [score], [best], True
-        if packed[0] != best:  # of equal scores, the best path of the segments comes first
-            packed = [best, *(p for p in packed if p != best)][: len(packed)]
-        return scores, packed, same
-
-    def best(self, text: str, n: int) -> tuple[list[float], bytes]:
-        """Scores of the n best segmentations and the packed ids of the best."""
-        scores, packed, _ = self.segmentations(text, n)
-        return scores, packed[0]
+    def segmentations(self, texts: list[str], n: int) -> Iterator[tuple[list[float], list[bytes], str | None]]:
+        """For each text the scores and packed ids of the n best segmentations and the text that all of them stand for
+        (None if they differ). Every different segment is worked out and decoded once."""
+        segments = [self.split(t) for t in texts]
+        known = self.analyse(set().union(*segments))
+        if not known:
+            yield from (([0.0], [b""], "") for _ in texts)
+            return
+        index = {s: k for k, s in enumerate(known)}
+        scores, packed, sames, losses = zip(*known.values(), strict=True)
+        scores, sames, losses, ids = np.array(scores), np.array(sames), np.array(losses), np.frombuffer(b"".join(packed), np.int32)
+        sizes = np.array([len(p) // 4 for p in packed])
+        begins = np.cumsum(sizes) - sizes
+        for own in segments:
+            if not own:
+                yield [0.0], [b""], ""
+                continue
+            which = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
+            ends = np.cumsum(sizes[which])
+            flat = ids[np.arange(ends[-1]) + np.repeat(begins[which] - ends + sizes[which], sizes[which])].tobytes()
+            each, same = scores[which], bool(sames[which].all())
+            chosen = self.deviating(losses[which], n) if n > 1 else []
+            out, paths = [float(each.sum())], [flat]
+            if chosen:
+                fixed, out, paths = out[0] - float(each[chosen].sum()), [], []
+                cuts = [(int(4 * (ends[k] - sizes[which[k]])), int(4 * ends[k])) for k in chosen]
+                between = [flat[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(flat)], strict=True)]
+                for own_score, path in self.search([own[k] for k in chosen], n):
+                    pieces = [between[0]]
+                    for k, i, rest in zip(chosen, path, between[1:], strict=True):
+                        pieces += [array("i", i).tobytes(), rest]
+                        same = same and self.raw(i) == own[k].encode("utf-8", "surrogatepass")
+                    out.append(fixed + own_score)
+                    paths.append(b"".join(pieces))
+                if paths[0] != flat:  # of equal scores, the best path of the segments comes first
+                    paths = [flat, *(p for p in paths if p != flat)][: len(paths)]
+            yield out, paths, self.text_of("".join(own)) if same else None
 
     @staticmethod
-    def deviating(found: list[tuple[float, bytes, float]], n: int) -> list[int]:
-        return sorted(heapq.nsmallest(n - 1, (k for k in range(len(found)) if found[k][2] < np.inf), key=lambda k: (found[k][2], k)))
+    def deviating(lost: np.ndarray, n: int) -> list[int]:
+        """The n - 1 segments with the smallest losses that have a second path, in order."""
+        if len(lost) >= n:
+            some = np.flatnonzero(lost <= np.partition(lost, n - 2)[n - 2])
+            some = some[np.argsort(lost[some], kind="stable")][: n - 1]
+        else:
+            some = np.arange(len(lost))
+        return np.sort(some[lost[some] < np.inf]).tolist()
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations as (score, ids), best first."""
-        segments = SEGMENT.findall(self.normalise(text))
-        found = [self.analyse(s) for s in segments]
-        parts = [np.frombuffer(f[1], np.int32).tolist() for f in found]
-        chosen = self.deviating(found, n) if n > 1 else []
-        fixed = sum(f[0] for k, f in enumerate(found) if k not in chosen)
-        out = []
-        for score, ids in self.search([segments[k] for k in chosen], n):
-            own = dict(zip(chosen, ids, strict=True))
-            out.append((fixed + score, [i for k, p in enumerate(parts) for i in own.get(k, p)]))
-        return out
+        scores, packed, _ = next(self.segmentations([text], n))
+        return [(s, np.frombuffer(p, np.int32).tolist()) for s, p in zip(scores, packed, strict=True)]
 
     def raw(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
-        text = self.raw(ids).decode("utf-8", "surrogatepass").replace(BLANK, " ")
+        return self.text_of(self.raw(ids).decode("utf-8", "surrogatepass"))
+
+    def text_of(self, pieces: str) -> str:
+        text = pieces.replace(BLANK, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -267,7 +383,7 @@ def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
     with blanks there, so round_trip is false. Null ids and repeated rows pass through; other columns are not read.
     """
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.bool_(), pa.string()]
-    names = ["doc_id", "n_pieces", "score", "ids_sha256", "n_best", "best_scores", "round_trip", "decoded"]
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def table(rows: list[tuple], packed: list[list[bytes]]) -> pa.RecordBatch:
         flat = [p for own in packed for p in own]
@@ -275,24 +391,37 @@ def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
         outer = pa.array(np.cumsum([0, *map(len, packed)]), pa.int32())
         ids = pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, pa.array(np.frombuffer(b"".join(flat), np.int32))))
         columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays([*columns[:-1], ids, columns[-1]], [*names[:-1], "segmentations", names[-1]])
+        return pa.RecordBatch.from_arrays([*columns[:-1], ids, columns[-1]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for batch in batches:
-            rows, held, chars = [], [], 0
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                text = text.as_py()
-                scores, packed, same = model.segmentations(text, n)
-                decoded = model.decode(np.frombuffer(packed[0], np.int32).tolist())
-                rows.append((doc.as_py(), len(packed[0]) // 4, scores[0], hashlib.sha256(packed[0]).hexdigest(), len(scores), scores, same and decoded == text, decoded))
-                held.append(packed)
-                chars += len(text)
-                if chars >= HELD_CHARS:
-                    yield table(rows, held)
-                    rows, held, chars = [], [], 0
-            if rows:
-                yield table(rows, held)
+            for docs_of, texts in slices(batch):
+                yield encoded(model, docs_of, texts)
+
+    def slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+        held: tuple[list, list[str]] = [], []
+        chars = 0
+        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            held[0].append(doc.as_py())
+            held[1].append(text.as_py())
+            chars += len(held[1][-1])
+            if chars >= HELD_CHARS:
+                yield held
+                held, chars = ([], []), 0
+        if held[0]:
+            yield held
+
+    def encoded(model: PieceModel, docs_of: list, texts: list[str]) -> pa.RecordBatch:
+        rows, held = [], []
+        for doc, text, (scores, packed, decoded) in zip(docs_of, texts, model.segmentations(texts, n), strict=True):
+            if decoded is None:
+                decoded, same = model.decode(np.frombuffer(packed[0], np.int32).tolist()), False
+            else:
+                same = decoded == text
+            rows.append((doc, len(packed[0]) // 4, scores[0], hashlib.sha256(packed[0]).hexdigest(), len(scores), scores, same, decoded))
+            held.append(packed)
+        return table(rows, held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, SCHEMA)
 

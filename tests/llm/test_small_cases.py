@@ -325,20 +325,68 @@ def test_pieces(odd, none, spark):
     assert got[1]["n_pieces"] == 0 and got[2]["best_scores"] == [0.0] and all(r["round_trip"] for r in got.values())
     model = piece_lattice.load(path)
     assert got[3]["ids_sha256"] == hashlib.sha256(np.array(model.n_best(LONG, 1)[0][1], np.int32).tobytes()).hexdigest()
+    model = piece_lattice.PieceModel(path, zipf=False)  # the scores of the file, as the library takes them
     library = sentencepiece.SentencePieceProcessor()
     with open(path, "rb") as f:
         library.load_from_serialized_proto(as_unigram(f.read()))
     for text in ("Hello world this is", "a", "unbelievable transmogrification", "x" * 40, "der schnelle Fuchs, gewiß", "  two  blanks "):
         want = [sum(library.get_score(i) for i in ids) for ids in library.nbest_encode_as_ids(text, 6)]
         mine = model.n_best(text, 6)
-        assert [s for s, _ in mine] == want and model.best(text, 6)[0] == want
+        assert [s for s, _ in mine] == pytest.approx(want)
         assert len({tuple(ids) for _, ids in mine}) == len(mine)
         for score, ids in mine:
-            assert model.decode(ids) == text and sum(library.get_score(i) for i in ids) == score
+            assert model.decode(ids) == text and sum(library.get_score(i) for i in ids) == pytest.approx(score)
     for text in ("tab\tnew\nline", "日本語の🙂", "\x00", "﷽ é"):
         assert model.decode(model.n_best(text, 2)[0][1]) == text
 
 
+def test_pieces_query_against_the_library_and_enumeration(spark, sf_dir):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, model = sentencepiece.SentencePieceProcessor(model_file=path), piece_lattice.load(path)
+    assert abs(sum(np.exp(s) for s, _ in model.scores.values()) - 1) < 1e-9
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows, agreed, pieces = piece_lattice.query(spark, sf_dir).collect(), 0, 0
+    assert len(rows) == len(texts)
+
+    def texts_match(model, theirs, mine):
+        """For each piece of the library whether it stands at the same bytes in mine."""
+        at = [np.cumsum([0, *(len(model.bytes_of[i]) for i in ids)]).tolist() for ids in (theirs, mine)]
+        mine_at = set(zip(at[1][:-1], at[1][1:], strict=True))
+        return [span in mine_at for span in zip(at[0][:-1], at[0][1:], strict=True)]
+
+    for r in rows:
+        theirs, their_score = model.by_library(texts[r["doc_id"]])
+        theirs = np.frombuffer(theirs, np.int32).tolist()
+        assert theirs == library.encode(texts[r["doc_id"]]) and r["score"] >= their_score - 1e-6
+        same = sum(texts_match(model, theirs, list(r["segmentations"][0])))
+        agreed, pieces = agreed + same, pieces + len(theirs)
+        assert r["round_trip"] and r["decoded"] == texts[r["doc_id"]]
+        assert r["n_best"] == len({tuple(s) for s in r["segmentations"]}) and list(r["best_scores"]) == sorted(r["best_scores"], reverse=True)
+
+    assert agreed >= 0.6 * pieces, agreed / pieces
+
+    def every(rest):
+        if not rest:
+            yield 0.0, []
+        for k in range(1, len(rest) + 1):
+            known = model.scores.get(rest[:k]) or ((model.unknown, -1) if k == 1 else None)
+            for score, ids in every(rest[k:]) if known else ():
+                own = [known[1]] if known[1] >= 0 else [model.id_of_byte[b] for b in rest[:1].encode()]
+                yield known[0] + score, own + ids
+
+    some = sorted({s for t in texts.values() for s in model.split(t) if len(s) <= piece_lattice.MEMO_CHARS})[::7] + ["\ud800x", "▁▁▁"]
+    for text in some:
+        one, many = model._analyse(text), model.analyse_many([text, text[::-1]])[0]
+        assert (one.ids, one.same) == (many.ids, many.same) and one.score == pytest.approx(many.score) and one.loss == pytest.approx(many.loss)
+    for text in ("a cat", "the then", "in-out", "  two ", "日本é", "unlike", "aaaa", "x\ny"):
+        want = sorted(every(model.normalise(text)), key=lambda w: -w[0])
+        got = model.n_best(text, 6)
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in want[:6]])
+        assert all(any(ids == i and abs(s - t) < 1e-9 for t, i in want) for s, ids in got)
+
+
 def test_pieces_of_all_segmentations(spark, monkeypatch):
     monkeypatch.setattr(piece_lattice, "HELD_CHARS", 30)
     path = public_tokenizers.path("piece_bpe_32k.model")
