@@ -25,6 +25,9 @@ BROADCAST_WINDOWS = 500_000
 SLACK = 2 * WINDOW
 TOKEN = r"[0-9]+(?:[.,:/][0-9]+)*|\p{L}+|[.!?]"
 
+#: Letters that lower() changes: upper and title case but for those without a lower form.
+CAPITAL = r"[\p{Lu}\p{Lt}&&[^\x{03D2}-\x{03D4}\x{2102}-\x{2115}\x{2119}-\x{2124}\x{2128}\x{212C}-\x{2131}\x{2133}-\x{2145}\x{1D400}-\x{1D7CA}]]"
+
 # Units of measure, of money and of time.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
@@ -72,22 +75,53 @@ def with_tokens(rows: DataFrame, text: Column) -> DataFrame:
     return rows.withColumn("tokens", F.filter(F.transform(named, token), lambda t: t["c"].isNotNull()))
 
 
+def canonical(text: Column) -> Column:
+    """The canonical words of ``with_tokens``, each followed by a blank, made by rewriting the whole text at once."""
+    held = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), " "), F.lit(" "))
+    numbers = F.regexp_replace(held, "[0-9][^ ]*", "#number")
+    # A unit in capitals is followed by names like a name, so those are part of it.
+    unit, names = f"(?iu:{'|'.join(UNITS)})(?= )", f"(?: {CAPITAL}\\p{{L}}*)*"
+    units = F.regexp_replace(numbers, f"#number (?:(?={CAPITAL}){unit}{names}|{unit})", "#number #unit")
+    named = F.regexp_replace(units, f"(?<=[^ .!?] ){CAPITAL}\\p{{L}}*{names}", "#name")
+    return F.regexp_replace(F.lower(named), "(?<= )[.!?] ", "")
+
+
 def _windows(rows: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, pos and h (the hash of the window that starts there), a row for each window."""
-    words = F.transform("tokens", lambda t: t["c"])
-    shifted = [words, *(F.slice(words, k + 1, F.size(words)) for k in range(1, WINDOW))]
-    names = [f"c{k}" for k in range(WINDOW)]
-    zipped = F.arrays_zip(*shifted).cast("array<struct<" + ",".join(f"{n}:string" for n in names) + ">>")
-    hashes = F.transform(zipped, lambda z: F.when(z[names[-1]].isNotNull(), F.xxhash64(*(z[n] for n in names))))
-    return rows.select(*keep, F.posexplode(hashes).alias("pos", "h")).filter("h is not null")
+    """rows: ``keep`` and words (as of ``canonical``) -> ``keep``, pos, gram and h (its hash), a row for each window."""
+    grams = F.regexp_extract_all("words", F.lit(f"(?=((?:[^ ]+ ){{{WINDOW}}}))[^ ]+ "), F.lit(1))
+    # The outer form: else a filter on the size of the array makes all of it twice.
+    return rows.select(*keep, F.posexplode_outer(grams).alias("pos", "gram")).filter("gram is not null").withColumn("h", F.xxhash64("gram"))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, pos, h and lexical (whether the window holds enough words)."""
-    tokens = with_tokens(items.filter("item_id is not null").select("item_id", text_of().alias("text")), F.col("text")).select("item_id", "tokens")
-    held = _windows(tokens, "item_id").join(tokens, "item_id")
-    lexical = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, WINDOW), lambda t: ~t["c"].startswith("#"))) >= LEAST_WORDS
-    return held.filter(lexical).select("item_id", F.col("pos").alias("item_pos"), "h").distinct()
+    """item_id, pos and h of the windows that hold enough words."""
+    words = items.filter("item_id is not null").select("item_id", canonical(text_of()).alias("words"))
+    lexical = F.length("gram") - F.length(F.replace("gram", F.lit("#"))) <= WINDOW - LEAST_WORDS
+    return _windows(words, "item_id").filter(lexical).select("item_id", F.col("pos").alias("item_pos"), "h").distinct()
+
+
+def _spelled(rows: DataFrame, key: str) -> DataFrame:
+    """``key`` and said: the source words in lower case without marks, each between blanks."""
+    held = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(text_of()), F.lit(TOKEN), F.lit(0)), " "), F.lit(" "))
+    return rows.select(key, F.regexp_replace(held, "(?<= )[.!?] ", "").alias("said"))
+
+
+def _said_whole(docs: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``contaminated`` for items without a window of enough words: documents that hold all their words."""
+    short = _spelled(items.filter("item_id is not null").join(wanted.select("item_id").distinct(), "item_id", "left_anti"), "item_id").filter("said <> ' '").distinct()
+    words = F.filter(F.split("said", " "), lambda w: w != "")
+    short = cut(short.select("item_id", "said", F.concat_ws(" ", F.slice(words, 1, WINDOW)).alias("head"), F.least(F.size(words), F.lit(WINDOW)).alias("n"), F.size(F.filter(words, lambda w: w.rlike("^[0-9]"))).alias("n_slots")), "short-items")
+    if short.isEmpty():
+        return None
+    said = _spelled(docs, "doc_id")
+    heads = None
+    for n in range(1, WINDOW + 1):
+        grams = F.regexp_extract_all("said", F.lit(f"(?=((?:[^ ]+ ){{{n - 1}}}[^ ]+) )[^ ]+ "), F.lit(1))
+        own = said.select("doc_id", F.explode_outer(F.array_distinct(grams)).alias("head"), F.lit(n).alias("n")).join(short.filter(F.col("n") == n).select("item_id", "head"), "head").select("doc_id", "item_id")
+        heads = own if heads is None else heads.union(own)
+    held = heads.distinct().join(said, "doc_id").join(short.withColumnRenamed("said", "item"), "item_id").filter(F.contains("said", "item"))
+    one = F.lit(1).cast("long")
+    return held.select("doc_id", "item_id", one.alias("n_windows"), one.alias("n_matched"), F.col("n_slots").cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed")).distinct()
 
 
 def _judged(values: DataFrame, *by: str) -> DataFrame:
@@ -120,16 +154,17 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFr
     n_windows counts the distinct windows of the item and n_matched those found; n_slots counts the placeholders of the
     item that faced a value and n_changed those whose value differs. If the values of the whole document contradict each
     other but those of one place (windows at one offset, or at offsets up to SLACK apart) don't, the last three are those
-    of the best such place. Null texts are empty; items of fewer than five
-    words or without a window of enough words are not searched for; rows with a null id take no part. Repeated rows
-    count once. Other columns are not read. With no items or no documents the result is empty.
+    of the best such place. Items of fewer than five words or without a window of enough words are found where all their
+    words follow each other unchanged, as one window; items without any word never. Null texts are empty; rows with a
+    null id take no part. Repeated rows count once. Other columns are not read. With no items or no documents the result
+    is empty.
     """
     wanted = cut(benchmark_windows(items), "benchmark-windows")
     sizes = wanted.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows"))
     by_hash = wanted.groupBy("h").agg(F.collect_set(F.struct("item_id", "item_pos")).alias("places"))
     side = F.broadcast(by_hash) if wanted.count() <= BROADCAST_WINDOWS else by_hash
     own = docs.filter("doc_id is not null").select("doc_id", text_of().alias("text"))
-    found = _windows(with_tokens(own, F.col("text")), "doc_id").join(side, "h").select("doc_id", "pos", "h", F.explode("places").alias("place"))
+    found = _windows(own.select("doc_id", canonical(F.col("text")).alias("words")), "doc_id").join(side, "h").select("doc_id", "pos", "h", F.explode("places").alias("place"))
     hits = cut(found.select("doc_id", "pos", "h", "place.*"), "template-hits")
     suspects = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("n_matched")).join(sizes, "item_id").filter(100 * F.col("n_matched") >= percent * F.col("n_windows"))
     # Slots: every token position of a matched window, in the item and in the document.
@@ -146,7 +181,9 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFr
     judged = suspects.join(_judged(values, "doc_id", "item_id"), ["doc_id", "item_id"], "left")
     names = ["doc_id", "item_id", "n_windows", "n_matched", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_slots", "n_changed"))]
     by_place = _consistent_places(hits, values, judged.filter("most > 1").select("doc_id", "item_id"), sizes, percent)
-    return judged.filter("coalesce(most, 1) = 1").select(*names).unionByName(by_place.select(*names))
+    found = judged.filter("coalesce(most, 1) = 1").select(*names).unionByName(by_place.select(*names))
+    whole = _said_whole(own, items, wanted)
+    return found if whole is None else found.unionByName(whole)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

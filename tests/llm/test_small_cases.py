@@ -261,6 +261,23 @@ def test_decontamination(odd, none, spark):
     assert decontaminate.contaminated(odd, items).count() == 0
 
 
+def test_canonical_text_has_the_words_of_the_tokens(spark, sf_dir):
+    pick = random.Random(11)
+    words = ["5", "12:30", "KG", "kg", "Km", "Paris", "John", "apples", "the", "HOURS", ".", "!", "?", "..", "Éa", "ǅ", "ß", "x", ",", "a1B", "1.5kg", "\n", "\u2102x", "K", "ΑΣ", "日本", "#number"]
+    texts = [" ".join(pick.choice(words) for _ in range(pick.randint(0, 14))) for _ in range(1500)] + ["", "5 KG Paris John ate. 3 kg Paris"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").union(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce("text", F.lit(""))))
+    both = decontaminate.with_tokens(df, F.col("text")).select("text", F.transform("tokens", lambda t: t["c"]).alias("c"), decontaminate.canonical(F.col("text")).alias("words"))
+    for r in both.collect():
+        assert [w for w in r["words"].split(" ") if w] == r["c"], r["text"][:200]
+
+
+def test_decontamination_of_short_items(spark):
+    items = spark.createDataFrame([(1, "Who is Zorbax?"), (2, "7 8 9 10 11 12"), (3, "..."), (4, "the exact words of a longer item of the benchmark")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "So, who is\nzorbax, really?"), (2, "who is the Zorbax"), (3, "they said 7, 8, 9, 10, 11, 12!"), (4, "7 8 9 10 11 13"), (5, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_matched"], r["n_slots"], r["n_changed"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1): (1, 1, 0, 0), (3, 2): (1, 1, 6, 0)}
+
+
 def test_decontamination_judges_each_place_of_an_item(spark):
     item = "In Paris John Smith bought 12 apples for 30 cents and then he gave 12 of them to Mary before he went home again"
     other = "In Rome Anna bought 7 apples for 55 euros and then he gave 7 of them to Peter before he went home again"
