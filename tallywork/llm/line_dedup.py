@@ -3,12 +3,13 @@
 A line's key is the line without surrounding ASCII white space, with A-Z in lower case. A key of at least
 ``min_chars`` code points stays only in the smallest document id that holds it.
 
-1. Every line becomes (hash, piece, document, position); ``piece`` deals one key over ``pieces`` parts, so that a line
-   that a third of all documents hold does not meet in one task.
-2. The rows are range-partitioned by (hash, piece) and sorted by document and position; a running window streams the
-   first occurrence of each piece.
-3. The heads of the pieces (at most ``pieces`` rows a key) give the first document of a key.
-4. Runs of dropped positions make a compressed keep bitmap for each document: no text is shuffled up to here.
+1. Every line becomes (hash, piece, document, position), written once; ``piece`` deals one key over ``pieces`` parts, so
+   that a line that a third of all documents hold does not meet in one task.
+2. The rows are range-partitioned by (hash, piece) and sorted by document and position; running windows stream the first
+   occurrence of each piece and of each further document in it.
+3. The heads of the pieces (at most ``pieces`` rows a key) give the first document of every key that several hold.
+4. Positions of the lines of such keys in other documents make a keep bitmap for each document, compressed as lengths of
+   runs: lines kept, lines dropped, lines kept and so on. No text is shuffled up to here.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywork.llm.shared import documents, text_of
+from tallywork.llm.shared import cut, documents, drop, text_of
 
 QUERY = "op10_line_dedup"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -32,16 +33,17 @@ def line_key(line: Column) -> Column:
 
 
 def first_occurrences(lines: DataFrame, pieces: int) -> DataFrame:
-    """(h1, h2, piece, first_doc) for each piece of each key; ``lines`` has h1, h2, piece, doc, pos."""
+    """(h1, h2, piece, first_doc) for each piece of each key of several documents; ``lines`` has h1, h2, piece, doc, pos."""
     order = Window.partitionBy("h1", "h2", "piece").orderBy("doc", "pos")
-    heads = (
+    seen = (
         lines.repartitionByRange("h1", "h2", "piece")
-        .withColumn("at", F.row_number().over(order))
-        .filter("at = 1")
-        .select("h1", "h2", "piece", "doc")
+        .withColumns({"at": F.row_number().over(order), "before": F.lag("doc").over(order)})
+        .filter("at = 1 or doc <> before")
+        .groupBy("h1", "h2", "piece")
+        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     )
-    firsts = heads.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.array_sort(F.collect_list("piece")).alias("held"))
-    return firsts.select("h1", "h2", F.explode("held").alias("piece"), "first_doc")
+    firsts = seen.groupBy("h1", "h2").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc"), F.array_sort(F.collect_list("piece")).alias("held"))
+    return firsts.filter("first_doc < last_doc").select("h1", "h2", F.explode("held").alias("piece"), "first_doc")
 
 
 def drop_runs(docs: DataFrame, min_chars: int = 10, pieces: int = 128) -> DataFrame:
@@ -56,46 +58,57 @@ def drop_runs(docs: DataFrame, min_chars: int = 10, pieces: int = 128) -> DataFr
         .filter(F.length("key") >= min_chars)
         .select("doc", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(97), "key").alias("h2"), F.pmod(F.xxhash64("doc"), F.lit(pieces)).cast("int").alias("piece"))
     )
+    lines = cut(lines, "lines")
     firsts = first_occurrences(lines.select("h1", "h2", "piece", "doc", "pos"), pieces)
     dropped = lines.join(firsts, ["h1", "h2", "piece"]).filter("doc <> first_doc").select("doc", "text_hash", "pos").distinct()
     in_order = Window.partitionBy("doc", "text_hash").orderBy("pos")
-    return (
+    runs = (
         dropped.withColumn("island", F.col("pos") - F.row_number().over(in_order))
         .groupBy("doc", "text_hash", "island")
         .agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("length"))
         .groupBy("doc", "text_hash")
         .agg(F.sum("length").cast("long").alias("n_dropped"), F.array_sort(F.collect_list(F.struct("start", "length"))).alias("runs"))
     )
+    runs = cut(runs, "line-runs")
+    drop(lines)
+    return runs
+
+
+def keep_bitmap(runs: Column, n: Column) -> Column:
+    """Lengths of the runs of kept and dropped lines in turn, beginning with kept lines (perhaps none), of ``n`` lines."""
+    first = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("bits"))
+    told = F.aggregate(runs, first, lambda held, r: F.struct((r["start"] + r["length"]).alias("end"), F.concat(held["bits"], F.array(r["start"] - held["end"], r["length"])).alias("bits")))
+    rest = n - told["end"]
+    return F.when(runs.isNull(), F.array(n)).otherwise(F.concat(told["bits"], F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, pieces: int = 128) -> DataFrame:
-    """``docs`` with kept_text, n_lines, n_dropped and keep_runs (the compressed bitmap of dropped lines) added.
+    """``docs`` with kept_text, n_lines, n_dropped and keep_bitmap (lengths of kept and dropped runs in turn) added.
 
     Null and empty texts are one empty line. Rows without doc_id keep all their lines. Repeated rows give repeated
     results. Other columns pass through unless they bear the name of one that is added; such a column is replaced.
     """
-    own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped", "keep_runs", "drop_doc", "drop_hash", "all_lines")]
-    runs = drop_runs(docs, min_chars, pieces).withColumnsRenamed({"doc": "drop_doc", "text_hash": "drop_hash"})
-    held = docs.select(*own, split_lines(text_of()).alias("all_lines"), F.xxhash64(text_of()).alias("own_hash"))
-    if "text" in own:
-        held, own = held.drop("text"), [c for c in own if c != "text"]
-    joined = held.join(runs, (F.col("doc_id") == F.col("drop_doc")) & (F.col("own_hash") == F.col("drop_hash")), "left")
-    n = F.size("all_lines")
+    own = [c for c in docs.columns if c not in ("text", "kept_text", "n_lines", "n_dropped", "keep_bitmap")]
+    held = docs.select(F.struct(*own).alias("own"), F.col("doc_id").alias("id"), split_lines(text_of()).alias("lines"), F.xxhash64(text_of()).alias("hash"))
+    joined = held.join(drop_runs(docs.select("doc_id", "text"), min_chars, pieces), (F.col("id") == F.col("doc")) & (F.col("hash") == F.col("text_hash")), "left")
+    n = F.size("lines")
     lost = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), lost), lambda i: F.get(F.col("all_lines"), i))
-    return joined.select(
-        *own,
-        F.array_join("all_lines", "\n").alias("text"),
-        F.array_join(F.when(F.col("runs").isNull(), F.col("all_lines")).otherwise(kept), "\n").alias("kept_text"),
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), lost), lambda i: F.get(F.col("lines"), i))
+    made = joined.select(
+        "own",
+        F.array_join("lines", "\n").alias("text"),
+        F.array_join(F.when(F.col("runs").isNull(), F.col("lines")).otherwise(kept), "\n").alias("kept_text"),
         n.cast("long").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        F.col("runs").alias("keep_runs"),
+        keep_bitmap(F.col("runs"), n).alias("keep_bitmap"),
     )
+    # The struct keeps other columns apart from the names used here.
+    return made.select(*(F.col("own").getField(c).alias(c) for c in own), "text", "kept_text", "n_lines", "n_dropped", "keep_bitmap")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"), F.array_join(F.col("keep_bitmap").cast("array<string>"), ",").alias("keep_bitmap"))
 
 
 ORACLE_SQL = r"""
@@ -106,8 +119,12 @@ WITH l AS (
 k AS (SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key FROM l),
 f AS (SELECT line_key, min(doc_id) AS first_doc FROM k WHERE length(line_key) >= 10 GROUP BY line_key),
-j AS (SELECT k.*, coalesce(k.doc_id <> f.first_doc, false) AS lost FROM k LEFT JOIN f ON k.line_key = f.line_key)
+j AS (SELECT k.*, coalesce(k.doc_id <> f.first_doc, false) AS lost FROM k LEFT JOIN f ON k.line_key = f.line_key),
+c AS (SELECT *, CASE WHEN lost = lag(lost, 1, false) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS turn FROM j),
+g AS (SELECT *, sum(turn) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
+r AS (SELECT doc_id, run, count(*) AS n FROM g GROUP BY doc_id, run),
+b AS (SELECT doc_id, CASE WHEN min(run) > 0 THEN '0,' ELSE '' END || string_agg(CAST(n AS VARCHAR), ',' ORDER BY run) AS keep_bitmap FROM r GROUP BY doc_id)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
-FROM j GROUP BY doc_id
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256, any_value(b.keep_bitmap) AS keep_bitmap
+FROM j JOIN b USING (doc_id) GROUP BY doc_id
 """

@@ -36,7 +36,14 @@ def test_line_dedup(odd, none):
     assert line_dedup.dedup_lines(odd).count() == 9 and line_dedup.dedup_lines(none).count() == 0
     assert (got[1]["n_lines"], got[2]["n_lines"], got[7]["n_lines"]) == (1, 1, 3)
     assert got[4]["n_dropped"] == 0 and got[5]["n_dropped"] == 2 and got[5]["kept_text"] == "" and got[None]["n_dropped"] == 0
-    assert got[5]["keep_runs"] == [(0, 2)] and got[3]["kept_text"] == LONG and got[5]["score"] == 0.5
+    assert got[5]["keep_bitmap"] == [0, 2] and got[4]["keep_bitmap"] == [2] and got[1]["keep_bitmap"] == [1] and got[3]["kept_text"] == LONG and got[5]["score"] == 0.5
+
+
+def test_line_dedup_passes_columns_of_any_name(odd):
+    names = ["runs", "own_hash", "hash", "id", "lines", "own", "doc", "text_hash", "keep_bitmap", "n_lines"]
+    got = line_dedup.dedup_lines(odd.select("doc_id", "text", *(F.lit(n).alias(n) for n in names)))
+    assert sorted(got.columns) == sorted({"doc_id", "text", "kept_text", "n_dropped", *names})
+    assert all(r[n] == n for r in got.collect() for n in names[:-2]) and got.agg(F.sum("n_lines")).first()[0] == 15
 
 
 def test_line_dedup_keeps_short_keys_and_repeats_in_the_first(spark):
