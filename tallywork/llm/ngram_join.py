@@ -44,8 +44,10 @@ LIST_ROWS = 20_000
 PROBE = 0.0085
 
 
-def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted set of shingles) of the column ``text``, a slice of texts at a time."""
+def _sets(batch: pa.RecordBatch, words: int, skip: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted set of shingles) of the column ``text``, a slice of texts at a time; not of ids that ``skip`` marks."""
+    if skip is not None:
+        batch = batch.filter(pa.array(~marked(skip, batch.column("doc_id").to_numpy(zero_copy_only=False))))
     for first in range(0, batch.num_rows, SLICE):
         texts = [t or "" for t in batch.column("text").slice(first, SLICE).to_pylist()]
         yield from enumerate(shingle_sets(texts, words), first)
@@ -124,14 +126,14 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
-def _postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """term and node (the first digest of a set) for every posting."""
+def _postings(docs: DataFrame, words: int, percent: int, skip: np.ndarray | None = None) -> DataFrame:
+    """term and node (the first digest of a set) for every posting of documents that ``skip`` doesn't mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(percent)
         for batch in batches:
             terms, nodes, size = [], [], 0
-            for _, own in _sets(batch, words):
+            for _, own in _sets(batch, words, skip):
                 if len(own):
                     node = _digests(own)[:1]
                     for _, keys in classes.postings(own):
@@ -147,14 +149,14 @@ def _postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "term long, node long")
 
 
-def _listed(docs: DataFrame, words: int, percent: int, only: np.ndarray) -> DataFrame:
-    """term, node, size of the set and counts over buckets for every posting whose term ``only`` marks."""
+def _listed(docs: DataFrame, words: int, percent: int, only: np.ndarray, skip: np.ndarray | None = None) -> DataFrame:
+    """term, node, size of the set and counts over buckets for every such posting whose term ``only`` marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(percent)
         for batch in batches:
             rows, held = [], 0
-            for _, own in _sets(batch, words):
+            for _, own in _sets(batch, words, skip):
                 if len(own):
                     node = _digests(own)[0]
                     for k, keys in classes.postings(own):
@@ -325,15 +327,15 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("component", "part_a", "part_b").applyInArrow(run, "a long, b long, n_links long")
 
 
-def _representatives(texts: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_id and text of one document for each class.
+def _copies(texts: DataFrame, rows: DataFrame, classes: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """A bitmap that marks all documents but one of each class, and doc_id and text of those that it marks wrongly.
 
-    A bitmap marks the others; only what it marks is shuffled, to find those that it marks wrongly.
+    Only what it marks is shuffled.
     """
     copies = rows.join(classes.select("class_id"), rows["doc_id"] == F.col("class_id"), "left_anti")
     bits = key_bitmap(copies, "doc_id")
     seen = prune(texts, "doc_id", bits).join(classes.select("class_id"), F.col("doc_id") == F.col("class_id"), "left_semi")
-    return prune(texts, "doc_id", ~bits).unionByName(seen.dropDuplicates(["doc_id"]))
+    return bits, seen.dropDuplicates(["doc_id"])
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -349,24 +351,28 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     live = rows.filter("n_shingles > 0 and doc_id is not null")
     key = ["d1", "d2", "n_shingles"]
     classes = cut(live.groupBy(*key, "doc_id").count().groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs")), "classes")
-    own = _representatives(texts.filter("doc_id is not null"), live, classes)
-    lists = cut(_postings(own, words, percent).groupBy("term").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("a <> b"), "lists")
+    texts = texts.filter("doc_id is not null")
+    copies, more = _copies(texts, live, classes)
+    more = cut(more, "representatives")
+    posted = _postings(texts, words, percent, copies).union(_postings(more, words, percent))
+    lists = cut(posted.groupBy("term").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("a <> b"), "lists")
     need = F.get(F.array(*map(F.lit, SizeClasses.NEEDS)), F.col("level").cast("int"))
     pairs = lists.filter("n = 2").groupBy("a", "b", F.col("term").bitwiseAND(F.lit(3)).alias("level")).agg(F.count("*").alias("met")).filter(F.col("met") >= need)
     longer = lists.filter("n > 2").select("term", "a", "n")
-    listed = _listed(own, words, percent, key_bitmap(longer, "term")).join(longer, "term")
+    bits = key_bitmap(longer, "term")
+    listed = _listed(texts, words, percent, bits, copies).union(_listed(more, words, percent, bits)).join(longer, "term")
     listed = cut(listed, "listed")
     compared = _list_edges(listed.filter(F.col("n") <= LIST_ROWS).select("term", "node", "size", "counts"), percent)
     wide = listed.filter((F.col("n") > LIST_ROWS) & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b"))
     edges = cut(pairs.select("a", "b").union(compared).union(wide), "candidates")
-    drop(lists, listed)
+    drop(lists, listed, more)
     near = connected_components(edges)
     drop(edges)
     sized = near.join(classes.select(F.col("d1").alias("node"), "n_shingles", "class_id", "n_docs"), "node")
     parts = sized.groupBy("root").agg(F.sum("n_shingles").alias("total")).withColumn("parts", F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int"))
     part = F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")
     placed = cut(sized.join(parts, "root").select("class_id", "n_docs", F.col("root").alias("component"), "parts", part.alias("part")), "placed")
-    wanted = placed.join(prune(texts.filter("doc_id is not null"), "doc_id", key_bitmap(placed, "class_id")), F.col("class_id") == F.col("doc_id"))
+    wanted = placed.join(prune(texts, "doc_id", key_bitmap(placed, "class_id")), F.col("class_id") == F.col("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

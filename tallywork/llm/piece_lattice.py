@@ -37,12 +37,12 @@ BLANK = "▁"
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 UNKNOWN_PENALTY = 10.0
 #: Segments of a generation that a worker remembers (it keeps two), and the longest that it does.
-MEMO, MEMO_CHARS = 200_000, 48
+MEMO, MEMO_CHARS = 150_000, 48
 #: An odd number; hashes of pieces are polynomials over it.
 HASH_BASE = 0x9E3779B97F4A7C15
-SCHEMA = "doc_id long, n_pieces long, score double, ids_sha256 string, n_best int, best_scores array<double>, round_trip boolean, segmentations array<array<int>>, decoded string"
+SCHEMA = "doc_id long, n_pieces long, score double, ids_sha256 string, n_best int, best_scores array<double>, round_trip boolean, best_sha256 array<string>, segmentations array<array<int>>, decoded string"
 #: Characters of text whose results a worker holds before it hands them on.
-HELD_CHARS = 1_000_000
+HELD_CHARS = 2_500_000
 
 
 class Segment(NamedTuple):
@@ -66,13 +66,14 @@ class PieceModel:
         self.scores: dict[str, tuple[float, int]] = {}
         self.bytes_of, self.id_of_byte = [b""] * n, [-1] * 256
         self.unknown_id = model.unk_id()
-        for i in range(n):
-            piece = model.id_to_piece(i)
-            if model.is_byte(i):
+        every = list(range(n))
+        kinds = (model.is_byte(every), model.is_control(every), model.is_unknown(every), model.is_unused(every))
+        for i, piece, rank, spells, *other in zip(every, model.id_to_piece(every), model.get_score(every), *kinds, strict=True):
+            if spells:
                 self.id_of_byte[int(piece[3:5], 16)] = i
                 self.bytes_of[i] = bytes([int(piece[3:5], 16)])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.scores[piece] = (model.get_score(i), i)
+            elif not any(other):
+                self.scores[piece] = (rank, i)
                 self.bytes_of[i] = piece.encode()
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.scores):
             raise ValueError("a piece of this model crosses the start of a word")
@@ -175,53 +176,61 @@ class PieceModel:
     def analyse_many(self, segments: list[str]) -> list[Segment]:
         """The same as ``_analyse`` for segments of one length, all their lattices at once."""
         rows, size, longest = len(segments), len(segments[0]), min(self.longest, len(segments[0]))
-        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        # For each width and start the score and id of a piece there, if any.
-        score = np.full((longest + 1, rows, size), -np.inf)
-        piece = np.full((longest + 1, rows, size), -1, np.int32)
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, size).T.astype(np.uint64).ravel()
+        # For each width and start the score and id of a piece there, if any; segments lie side by side.
+        score = np.full((longest + 1, size, rows), -np.inf)
+        piece = np.full((longest + 1, size, rows), -1, np.int32)
         score[1] = self.unknown
         at, h = np.arange(rows * size), np.zeros(rows * size, np.uint64)
         for width in range(1, longest + 1):
-            inside = at % size + width <= size
+            inside = at < (size - width + 1) * rows
             at, h = at[inside], h[inside]
-            h = h * np.uint64(HASH_BASE) + codes[at + width - 1] + np.uint64(1)
+            h = h * np.uint64(HASH_BASE) + codes[at + (width - 1) * rows] + np.uint64(1)
             place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             hit = self.hashes[place] == h
             at, h, place = at[hit], h[hit], place[hit]
             whole = self.hash_ids[place] >= 0
             score[width].ravel()[at[whole]] = self.hash_scores[place[whole]]
             piece[width].ravel()[at[whole]] = self.hash_ids[place[whole]]
+        used = [w for w in range(1, longest + 1) if w == 1 or piece[w].max() >= 0]
         best, step = np.zeros((size + 1, rows)), np.zeros((size + 1, rows), np.int64)
         for end in range(1, size + 1):
-            widths = range(min(longest, end), 0, -1)  # of equal scores the longest
-            reached = np.stack([best[end - w] + score[w, :, end - w] for w in widths])
-            top = reached.argmax(axis=0)
-            best[end], step[end] = reached[top, np.arange(rows)], len(widths) - top
+            top, width = np.full(rows, -np.inf), np.zeros(rows, np.int64)
+            for w in reversed(used):  # of equal scores the longest
+                if w <= end:
+                    reached = best[end - w] + score[w, end - w]
+                    better = reached > top
+                    top[better], width[better] = reached[better], w
+            best[end], step[end] = top, width
         after, second = np.zeros((size + 1, rows)), np.full(rows, -np.inf)
         on_path, parts, node, live = np.zeros((size + 1, rows), np.int64), [], np.full(rows, size), np.arange(rows)
         while len(live):
             width = step[node[live], live]
             node[live] -= width
             on_path[node[live], live] = width
-            parts.append((live, node[live], width, piece[width, live, node[live]]))
+            parts.append((live, node[live], width, piece[width, node[live], live]))
             live = live[node[live] > 0]
         for start in range(size - 1, -1, -1):
-            widths = range(1, min(longest, size - start) + 1)
-            rest = np.stack([score[w, :, start] + after[start + w] for w in widths])
-            after[start] = rest.max(axis=0)
-            own = np.flatnonzero(on_path[start])
-            rest[on_path[start, own] - 1, own] = -np.inf
-            second = np.maximum(second, best[start] + rest.max(axis=0))
+            top = np.full(rows, -np.inf)
+            for w in used:
+                if start + w <= size:
+                    rest = score[w, start] + after[start + w]
+                    np.maximum(top, rest, out=top)
+                    np.maximum(second, np.where(on_path[start] == w, -np.inf, best[start] + rest), out=second)
+            after[start] = top
         row, start, width, ids = (np.concatenate([p[k] for p in parts]) for k in range(4))
         order = np.argsort(row * size + start)
-        row, start, width, ids = row[order], start[order].tolist(), width[order].tolist(), ids[order].tolist()
-        bounds, spelled = np.cumsum(np.bincount(row, minlength=rows)).tolist(), set(row[piece[width, row, start] < 0].tolist())
-        out, a = [], 0
+        row, start, width, ids = row[order], start[order], width[order], ids[order]
+        bounds, spelled = np.cumsum(np.bincount(row, minlength=rows)).tolist(), set(row[ids < 0].tolist())
+        plain = ids[~np.isin(row, list(spelled))] if spelled else ids
+        same = self.raw(plain.tolist()) == "".join(s for k, s in enumerate(segments) if k not in spelled).encode("utf-8", "surrogatepass")
+        out, a, packed = [], 0, ids.tobytes()
         for k, (segment, b, total, loss) in enumerate(zip(segments, bounds, best[size].tolist(), (best[size] - second).tolist(), strict=True)):
-            own = ids[a:b]
-            if k in spelled:
-                own = self.written(segment, [(x, x + y, i) for x, y, i in zip(start[a:b], width[a:b], own, strict=True)])
-            out.append(Segment(total, array("i", own).tobytes(), self.raw(own) == segment.encode("utf-8", "surrogatepass"), loss))
+            if k in spelled or not same:
+                own = self.written(segment, [(x, x + y, i) for x, y, i in zip(start[a:b].tolist(), width[a:b].tolist(), ids[a:b].tolist(), strict=True)])
+                out.append(Segment(total, array("i", own).tobytes(), self.raw(own) == segment.encode("utf-8", "surrogatepass"), loss))
+            else:
+                out.append(Segment(total, packed[4 * a : 4 * b], True, loss))
             a = b
         return out
 
@@ -377,12 +386,12 @@ def load(path: str) -> PieceModel:
 def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
     """Per row of ``docs``: doc_id, n_pieces, score and digest of the ids (packed as little-endian 32-bit integers) of
     the best segmentation, how many of the n best exist, their scores, whether decoding the ids of each gives the text,
-    the ids of each in the order of the scores, and the decoded text.
+    digests of the ids of each in the order of the scores, these ids, and the decoded text.
 
     Null and empty texts have one segmentation without pieces, of score 0. A text that holds U+2581 itself comes back
     with blanks there, so round_trip is false. Null ids and repeated rows pass through; other columns are not read.
     """
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.bool_(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.string()), pa.string()]
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def table(rows: list[tuple], packed: list[list[bytes]]) -> pa.RecordBatch:
@@ -419,7 +428,8 @@ def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
                 decoded, same = model.decode(np.frombuffer(packed[0], np.int32).tolist()), False
             else:
                 same = decoded == text
-            rows.append((doc, len(packed[0]) // 4, scores[0], hashlib.sha256(packed[0]).hexdigest(), len(scores), scores, same, decoded))
+            digests = [hashlib.sha256(p).hexdigest() for p in packed]
+            rows.append((doc, len(packed[0]) // 4, scores[0], digests[0], len(scores), scores, same, digests, decoded))
             held.append(packed)
         return table(rows, held)
 
@@ -427,6 +437,8 @@ def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the best segmentation and digests of all; the decoded text is told by ``round_trip``."""
     import public_tokenizers
 
-    return encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    out = encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_pieces", "score", "ids_sha256", "n_best", "best_scores", "round_trip", "best_sha256", F.get("segmentations", F.lit(0)).alias("ids"))

@@ -384,10 +384,10 @@ def test_pieces_query_against_the_library_and_enumeration(spark, sf_dir):
         theirs, their_score = model.by_library(texts[r["doc_id"]])
         theirs = np.frombuffer(theirs, np.int32).tolist()
         assert theirs == library.encode(texts[r["doc_id"]]) and r["score"] >= their_score - 1e-6
-        same = sum(texts_match(model, theirs, list(r["segmentations"][0])))
+        same = sum(texts_match(model, theirs, list(r["ids"])))
         agreed, pieces = agreed + same, pieces + len(theirs)
-        assert r["round_trip"] and r["decoded"] == texts[r["doc_id"]]
-        assert r["n_best"] == len({tuple(s) for s in r["segmentations"]}) and list(r["best_scores"]) == sorted(r["best_scores"], reverse=True)
+        assert r["round_trip"] and model.decode(list(r["ids"])) == texts[r["doc_id"]]
+        assert r["n_best"] == len(set(r["best_sha256"])) and r["best_sha256"][0] == r["ids_sha256"] and list(r["best_scores"]) == sorted(r["best_scores"], reverse=True)
 
     assert agreed >= 0.6 * pieces, agreed / pieces
 
