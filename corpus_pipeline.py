@@ -19,8 +19,15 @@ from tallywork.llm.toxicity import score_toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Ids (8 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """``docs`` but for those of ``ids``; a null id is none of them."""
+    ids = cut(ids.select("doc_id").distinct(), "stage-ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
