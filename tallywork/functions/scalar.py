@@ -214,5 +214,43 @@ def scale_class(notes: Column) -> Column:
 
 
 def deep_flatten(text: Column) -> Column:
-    """Numbers and words of a nested JSON list in order, whatever their depth, as strings."""
-    return F.regexp_extract_all(text, F.lit(r'"([^"]*)"|(-?[0-9.]+)|(true|false|null)'), F.lit(0))
+    """Numbers and words of a nested JSON list in order, whatever their depth, as strings without quotes or escapes."""
+    scalars = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null'), F.lit(0))
+    return F.transform(scalars, lambda x: F.when(x.startswith('"'), F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0))).otherwise(x))
+
+
+def strip_left(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+", "")
+
+
+def strip_right(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s+$", "")
+
+
+def signed_padded(number: Column, width: int) -> Column:
+    """The sign at the left end, then blanks, then the digits (of a whole number or of text with decimals)."""
+    digits = F.regexp_replace(number.cast("string"), "^-", "")
+    return F.concat(F.when(number.cast("double") < 0, "-").otherwise("+"), F.lpad(digits, width - 1, " "))
+
+
+def insert_at(items: Column, index: int, value: Column) -> Column:
+    """With ``value`` before the element of that index, counted from 0."""
+    return F.array_insert(items, F.lit(index + 1), value)
+
+
+def delete_slice(items: Column, start: int, stop: int) -> Column:
+    """Without the elements from index ``start`` up to ``stop``, counted from 0."""
+    return F.concat(F.slice(items, F.lit(1), F.lit(start)), F.slice(items, F.lit(stop + 1), F.greatest(F.size(items) - stop, F.lit(0))))
+
+
+def kind_of(json_text: Column) -> Column:
+    """number, text, truth, list, record or null for a JSON value, by its own type."""
+    kind = F.schema_of_variant(F.parse_json(json_text))
+    return (
+        F.when(kind.startswith("ARRAY"), "list")
+        .when(kind.startswith("OBJECT"), "record")
+        .when(kind == "STRING", "text")
+        .when(kind == "BOOLEAN", "truth")
+        .when(kind == "VOID", "null")
+        .otherwise("number")
+    )

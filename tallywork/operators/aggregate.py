@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,18 +34,59 @@ def expected(cells: DataFrame, row: str, column: str, n: str = "n") -> DataFrame
     return out.withColumn("expected", F.col("row_n") * F.col("column_n") / F.col("total"))
 
 
+#: Ranges of values that the exact quantiles of a group are looked for in.
+RANGES = 1024
+
+
+def _matched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on columns of the same names, null matching null; ``on`` comes from the left side."""
+    other = right.withColumnsRenamed({k: f"{k}_right" for k in on})
+    return left.join(other, reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_right")) for k in on))).drop(*(f"{k}_right" for k in on))
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], *by: str) -> DataFrame:
+    """Exact quantiles (linear between neighbours) of the values that are not null, a column for each name, by group.
+
+    Counts over equal ranges between the least and the largest value tell which ranges hold the wanted ranks; only the
+    values in those are counted one by one and sorted. No task holds all values of a group.
+    """
+    on = ["_all", *(f"_k{j}" for j in range(len(by)))]
+    x = df.select(F.lit(0).alias("_all"), *(F.col(c).alias(k) for c, k in zip(by, on[1:], strict=True)), F.col(value).cast("double").alias("x")).filter("x is not null")
+    ends = x.groupBy(*on).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n_all"))
+    spread = F.col("high") - F.col("low")
+    ranged = _matched(x, ends, on).select(*on, "x", F.when(spread > 0, F.floor((F.col("x") - F.col("low")) / spread * RANGES)).otherwise(0).alias("range"))
+    upto = F.sum("n").over(Window.partitionBy(*on).orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    starts = ranged.groupBy(*on, "range").agg(F.count("*").alias("n")).withColumn("before", upto - F.col("n"))
+    places = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), ((F.col("n_all") - 1) * p).alias("at")) for q, p in probabilities.items())))
+    wanted = ends.select(*on, places.alias("w")).select(*on, "w.q", "w.at", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))).alias("rank"))
+    held = _matched(starts, wanted, on).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).select(*on, "range", "before", "q", "at", "rank")
+    inside = _matched(ranged, held.select(*on, "range", "before").distinct(), [*on, "range"]).groupBy(*on, "range", "before", "x").agg(F.count("*").alias("n"))
+    run = F.sum("n").over(Window.partitionBy(*on, "range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.select(*on, "range", "x", "n", (F.col("before") + run).alias("end"))
+    found = _matched(held, inside, [*on, "range"]).filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n")))
+    share = F.when(F.floor("at") == F.ceil("at"), 1.0).otherwise(1.0 - F.abs(F.col("at") - F.col("rank")))
+    each = found.groupBy(*on, "q").agg(F.sum(share * F.col("x")).alias("x"))
+    out = each.groupBy(*on).agg(*(F.max(F.when(F.col("q") == q, F.col("x"))).alias(q) for q in probabilities))
+    return out.select(*(F.col(k).alias(c) for c, k in zip(by, on[1:], strict=True)), *probabilities)
+
+
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
 def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
     """count, mean, std, min, quartiles (exact, linear) and max of a column, by group or over all."""
     x = F.col(value).cast("double")
-    quarter = lambda p: F.percentile(x, F.lit(p))
-    statistics = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), quarter(0.25).alias("q25"), quarter(0.5).alias("q50"), quarter(0.75).alias("q75"), F.max(x).alias("max")]
-    return df.groupBy(*by).agg(*statistics) if by else df.agg(*statistics)
+    statistics = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+    basic, quartiles = df.groupBy(*by).agg(*statistics), exact_quantiles(df, value, QUARTILES, *by)
+    other = quartiles.withColumnsRenamed({c: f"_{c}_of" for c in by})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}_of")) for c in by), F.lit(True))
+    return basic.join(other, same, "left").select(*by, "count", "mean", "std", "min", *QUARTILES, "max")
 
 
 def box(df: DataFrame, value: str, by: str) -> DataFrame:
     """What a box plot draws: quartiles and the whiskers, the farthest values within 1.5 interquartile ranges."""
     x = F.col(value).cast("double")
-    q = df.groupBy(by).agg(F.percentile(x, F.lit(0.25)).alias("q25"), F.percentile(x, F.lit(0.5)).alias("q50"), F.percentile(x, F.lit(0.75)).alias("q75"))
+    q = exact_quantiles(df.filter(F.col(by).isNotNull()), value, QUARTILES, by)
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = df.join(q, by).filter(x.between(F.col("q25") - reach, F.col("q75") + reach))
     return inside.groupBy(by, "q25", "q50", "q75").agg(F.min(x).alias("whisker_low"), F.max(x).alias("whisker_high"))
@@ -64,9 +108,9 @@ def symbol_counts(df: DataFrame, text: str, symbols: str) -> DataFrame:
 
 def pieces_of(text: Column, width: int) -> Column:
     """Pieces of ``width`` characters without overlap (the last may be shorter); none of an empty text."""
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(width))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(width)))
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
 
 
 def piece_counts(df: DataFrame, text: str, width: int) -> DataFrame:
-    return df.select(F.explode(pieces_of(F.col(text), width)).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    # The outer form: else a filter on the size of the array makes all pieces twice.
+    return df.select(F.explode_outer(pieces_of(F.col(text), width)).alias("piece")).filter("piece is not null").groupBy("piece").agg(F.count("*").alias("n"))

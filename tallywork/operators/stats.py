@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.functions import special
+from tallywork.operators.aggregate import exact_quantiles
 from tallywork.operators.aggregate import crosstab, expected
 
 
@@ -97,7 +98,7 @@ def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """Equality of variances around the group medians: a one-way analysis of the distances."""
     x = F.col(value).cast("double")
     rows = df.filter(x.isNotNull() & F.col(group).isNotNull())
-    medians = rows.groupBy(F.col(group).alias("_group")).agg(F.percentile(x, F.lit(0.5)).alias("_median"))
+    medians = exact_quantiles(rows, value, {"_median": 0.5}, group).withColumnRenamed(group, "_group")
     away = rows.join(medians, F.col(group) == F.col("_group")).select(group, F.abs(x - F.col("_median")).alias("_away"))
     return one_way(away, "_away", group)
 

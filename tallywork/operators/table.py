@@ -63,6 +63,14 @@ class Table:
             next_id = (rows.agg(F.max(held.primary_key)).first()[0] or 0) + 1
         return cls(rows.sparkSession, name, held, State(rows, next_id), path)
 
+    @classmethod
+    def open(cls, spark: SparkSession, name: str, path: str, constraints: Constraints | None = None) -> Table:
+        """The last committed version at ``path``."""
+        notes = [json.loads(r["value"]) for r in spark.read.option("recursiveFileLookup", True).text(f"{path}/pointer").collect()]
+        last = max(notes, key=lambda note: note["version"])
+        rows = spark.read.schema(T.StructType.fromJson(last["schema"])).parquet(f"{path}/v{last['version']}")
+        return cls(spark, name, constraints or Constraints(), State(rows, last["next_id"]), path, last["version"])
+
     @property
     def state(self) -> State:
         return self.staged or self.committed
@@ -172,7 +180,7 @@ class Table:
         if self.path:
             at = f"{self.path}/v{self.version + 1}"
             self.staged.rows.write.parquet(at)
-            note = {"version": self.version + 1, "next_id": self.staged.next_id}
+            note = {"version": self.version + 1, "next_id": self.staged.next_id, "schema": self.staged.rows.schema.jsonValue()}
             self.spark.createDataFrame([(json.dumps(note),)], "value string").coalesce(1).write.text(f"{self.path}/pointer/{self.version + 1}")
             self.staged = replace(self.staged, rows=self.spark.read.schema(self.staged.rows.schema).parquet(at))
         self.committed, self.staged, self.version = self.staged, None, self.version + 1

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 def stride_chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
     """Pieces of ``size`` characters that begin every size - overlap characters; none of an empty text."""
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+    # One walk through the text: each match moves on by a stride and looks ahead for its piece.
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{size - overlap}}}"), F.lit(1))
 
 
 def split_recursively(text: str, size: int = 1000, overlap: int = 200, separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> list[str]:

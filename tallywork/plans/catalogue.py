@@ -35,7 +35,7 @@ def r6(x: Column, name: str) -> Column:
 
 
 def queries() -> dict[str, Query]:
-    from tallywork.plans import extension_queries, scalar_queries, statistics_queries, table_queries, text_queries  # noqa: F401
+    from tallywork.plans import collection_queries, extension_queries, io_queries, scalar_queries, statistics_queries, table_queries, text_queries  # noqa: F401
 
     return dict(_QUERIES)
 

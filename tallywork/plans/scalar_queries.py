@@ -150,7 +150,10 @@ def dates(spark, d):
 @register("view_birth_parts", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS bdate, strftime(o_orderdate, '%Y') AS yyyy, strftime(o_orderdate, '%m') AS mm, strftime(o_orderdate, '%d') AS dd FROM orders")
 def view_birth_parts(spark, d):
     table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("bdate")).createOrReplaceTempView("tallywork_dated")
-    return spark.sql("SELECT o_orderkey, bdate, substr(bdate, 1, 4) AS yyyy, substr(bdate, 6, 2) AS mm, substr(bdate, 9, 2) AS dd FROM tallywork_dated")
+    year, month, day = S.date_parts(F.col("bdate"))
+    out = spark.sql("SELECT o_orderkey, bdate FROM tallywork_dated").select("o_orderkey", "bdate", year.alias("yyyy"), month.alias("mm"), day.alias("dd"))
+    spark.catalog.dropTempView("tallywork_dated")  # the frame holds the plan of the view
+    return out
 
 
 @register(

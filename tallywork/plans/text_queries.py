@@ -41,10 +41,10 @@ def chat_transcript(spark, d):
     return X.combine(lines, "conv_id", "turn", "line", "\n")
 
 
-@register("prompt_fill", "SELECT doc_id, 'Answer in ' || lang || ' from this source: ' || source || chr(10) || substr(text, 1, 200) AS prompt FROM documents")
+@register("prompt_fill", "SELECT doc_id, 'Answer in ' || lang || ' from this source: ' || source || chr(10) || text AS prompt FROM documents")
 def prompt_fill(spark, d):
     head = F.replace(F.lit("Answer in {language} from this source: "), F.lit("{language}"), F.col("lang"))
-    prompt = F.concat(head, S.fill("{source}\n", source=F.col("source")), F.substring("text", 1, 200))
+    prompt = F.concat(head, S.fill("{source}\n", source=F.col("source")), F.col("text"))
     return table(spark, d, "documents").select("doc_id", prompt.alias("prompt"))
 
 
@@ -67,7 +67,7 @@ def topk_similarity(spark, d):
 
 @register("term_vectors")
 def term_vectors(spark, d):
-    return X.term_vectors(table(spark, d, "benchmark"), "item_id")
+    return X.term_vectors(table(spark, d, "documents"), "doc_id")
 
 
 @register("intent_route", "SELECT conv_id, turn, CASE WHEN contains(text, 'the') THEN 'english' WHEN contains(text, 'que') THEN 'romance' ELSE 'other' END AS route FROM conversations")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,3 +81,16 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def append_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string")).write.mode("append").text(path)
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir, or the warehouse).
+
+    Only where all runs on one machine and neither is set it is a temporary folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tallywork-")
+    return f"{root}/tallywork-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"

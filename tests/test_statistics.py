@@ -69,3 +69,41 @@ def test_two_way_forms_agree(spark):
 def test_two_way_with_an_empty_cell(spark):
     df = spark.createDataFrame([("x", "p", 1.0), ("x", "p", 2.0), ("x", "q", 4.0), ("y", "p", 3.0), ("y", "p", 5.0), ("z", "q", 4.5)], "a string, b string, y double")
     assert {r["effect"] for r in stats.two_way(df, "y", "a", "b").collect()} == {"a", "b", "a × b", "residual"}
+
+
+def test_interval_of_a_mean_and_one_sample_p(spark):
+    df = spark.createDataFrame([(v,) for v in cell_rows(913, 5.096386, 1.507844)], "x double")
+    got = stats.t_test(stats.one_sample_t(df, "x", 5.0), "mean").first()
+    assert (got["t"], got["p"]) == (pytest.approx(1.9314826, abs=2e-5), pytest.approx(0.0537330, abs=3e-6))
+    assert (got["low"], got["high"]) == (pytest.approx(4.998449, abs=2e-6), pytest.approx(5.194322, abs=2e-6)) and not got["reject_h0"]
+
+
+def test_paired_p(spark):
+    df = spark.createDataFrame([(v + 1.0, 1.0) for v in cell_rows(913, 0.640745, 1.020709)], "a double, b double")
+    got = stats.t_test(stats.paired_t(df, "a", "b"), "mean").first()
+    assert got["t"] == pytest.approx(18.9678691, abs=1e-4) and math.log10(got["p"]) == pytest.approx(math.log10(6.9276e-68), abs=1e-3) and got["reject_h0"]
+
+
+def test_exact_quantiles_against_a_sort(spark):
+    import random
+
+    from tallywork.operators import aggregate
+
+    pick = random.Random(2)
+    data = {"a": [pick.gauss(0, 1) for _ in range(999)], "b": [pick.choice([1.0, 2.0, 1e9]) for _ in range(500)], "c": [5.0] * 7, None: [3.0, 4.0], "e": [1.0]}
+    rows = [(g, v) for g, values in data.items() for v in values] + [("a", None), ("f", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+
+    def linear(values, p):
+        values, at = sorted(values), (len(values) - 1) * p
+        low = int(at)
+        return values[low] if at == low else values[low] * (1 - at + low) + values[low + 1] * (at - low)
+
+    ps = {"p0": 0.0, "p1": 0.1, "p5": 0.5, "p9": 0.93, "p10": 1.0}
+    got = {r["g"]: [r[k] for k in ps] for r in aggregate.exact_quantiles(df, "v", ps, "g").collect()}
+    assert set(got) == set(data)
+    for g, values in data.items():
+        assert got[g] == pytest.approx([linear(values, p) for p in ps.values()])
+    assert aggregate.exact_quantiles(df.limit(0), "v", ps, "g").count() == 0
+    described = {r["g"]: r for r in aggregate.describe(df, "v", "g").collect()}
+    assert described["f"]["count"] == 0 and described["f"]["q50"] is None and described[None]["q50"] == 3.5

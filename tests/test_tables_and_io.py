@@ -98,3 +98,39 @@ def test_stream_counts_like_the_batch(spark, sf_dir, tmp_path):
     W.run_available(stream, "hours", str(tmp_path / "check"), "complete")
     batch = W.windowed_counts(W.with_event_time(events), "1 hour")
     assert {(r["window_start"], r["n"]) for r in spark.table("hours").collect()} == {(r["window_start"], r["n"]) for r in batch.collect()}
+
+
+def test_late_rows_are_dropped_and_closed_windows_are_emitted_once(spark, tmp_path):
+    batches = [["2024-01-01 00:05:00", "2024-01-01 00:50:00"], ["2024-01-01 03:00:00"], ["2024-01-01 00:10:00", "2024-01-01 02:55:00"], ["2024-01-01 09:00:00"], ["2024-01-01 09:30:00"]]
+    source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for times in batches:  # one run for each arrival, so the order of files is that of arrival
+        spark.createDataFrame([(t, 1.0) for t in times], "ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(source)
+        counts = W.windowed_counts(W.event_stream(spark, source), "1 hour")
+        counts.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    seen = [(r["window_start"].hour, r["n"]) for r in spark.read.parquet(sink).collect()]
+    # The row of 00:10 comes behind the watermark of 02:50 and is lost, that of 02:55 is in time.
+    assert sorted(seen) == [(0, 2), (2, 1), (3, 1)]
+
+
+def test_term_vectors_against_plain_counts(spark):
+    from tallywork.operators.text import term_vectors
+
+    df = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, "")], "k long, text string")
+    got = {r["k"]: r["vector"] for r in term_vectors(df, "k").collect()}
+    slot = {r["w"]: r["s"] for r in spark.createDataFrame([("a",), ("b",)], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(64)).alias("s")).collect()}
+    want = {1: [0.0] * 64, 2: [0.0] * 64}
+    for k, w, n in ((1, "a", 2), (1, "b", 1), (2, "b", 1)):
+        want[k][slot[w]] += n
+    for k, v in want.items():
+        norm = sum(x * x for x in v) ** 0.5
+        assert got[k] == pytest.approx([x / norm for x in v])
+
+
+def test_a_table_needs_its_pointer(spark, tmp_path):
+    key = Constraints(primary_key="k", autoincrement=True)
+    t = Table.create(spark, "t", "k long, v string", key, str(tmp_path / "t")).insert([("a",)], ["v"]).commit()
+    t.insert([("b",)], ["v"]).commit()
+    t.delete()
+    again = Table.open(spark, "t", str(tmp_path / "t"), key)
+    assert sorted((r["k"], r["v"]) for r in again.rows.collect()) == [(1, "a"), (2, "b")] and again.version == 2
+    assert {r["k"] for r in again.insert([("c",)], ["v"]).commit().rows.collect()} == {1, 2, 3}
