@@ -40,9 +40,12 @@ UNKNOWN_PENALTY = 10.0
 MEMO, MEMO_CHARS = 150_000, 48
 #: An odd number; hashes of pieces are polynomials over it.
 HASH_BASE = 0x9E3779B97F4A7C15
+SLOT_FACTOR, SLOT_SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(44)
 SCHEMA = "doc_id long, n_pieces long, score double, ids_sha256 string, n_best int, best_scores array<double>, round_trip boolean, best_sha256 array<string>, segmentations array<array<int>>, decoded string"
 #: Characters of text whose results a worker holds before it hands them on.
-HELD_CHARS = 2_500_000
+HELD_CHARS = 1_500_000
+#: Lattices that a worker keeps.
+LATTICES = 5_000
 
 
 class Segment(NamedTuple):
@@ -95,6 +98,11 @@ class PieceModel:
         self.older: dict[str, Segment] = {}
         hashes = np.array([self._hash(p) for p in self.known], np.uint64)
         order = np.argsort(hashes)
+        # One slot for each value of some bits; where several keys share it, they are searched for.
+        slots = (hashes[order] * SLOT_FACTOR >> SLOT_SHIFT).astype(np.int64)
+        self.slot, self.shared = np.zeros(1 << 20, np.int32), np.bincount(slots, minlength=1 << 20) > 1
+        self.slot[slots] = np.arange(len(order))
+        self.lattices: dict[str, tuple] = {}
         self.hashes, self.hash_scores, self.hash_ids = hashes[order], *(np.array([e[k] for e in self.known.values()])[order] for k in (0, 1))
 
     def split(self, text: str) -> list[str]:
@@ -133,6 +141,16 @@ class PieceModel:
             last.append(top)
         return best, last
 
+    def lattice(self, segment: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
+        """Edges and forward scores; the segments with the smallest losses are often the same."""
+        held = self.lattices.get(segment)
+        if held is None:
+            edges = self.edges(segment)
+            held = edges, self.forward(edges)[0]
+            if len(self.lattices) < LATTICES and len(segment) <= MEMO_CHARS:
+                self.lattices[segment] = held
+        return held
+
     def written(self, segment: str, path: list[tuple[int, int, int]]) -> list[int]:
         """Ids of a path of (start, end, id), unknown characters as bytes."""
         ids: list[int] = []
@@ -186,7 +204,9 @@ class PieceModel:
             inside = at < (size - width + 1) * rows
             at, h = at[inside], h[inside]
             h = h * np.uint64(HASH_BASE) + codes[at + (width - 1) * rows] + np.uint64(1)
-            place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            bits = (h * SLOT_FACTOR >> SLOT_SHIFT).astype(np.int64)
+            place, unsure = self.slot[bits], np.flatnonzero(self.shared[bits])
+            place[unsure] = np.minimum(np.searchsorted(self.hashes, h[unsure]), len(self.hashes) - 1)
             hit = self.hashes[place] == h
             at, h, place = at[hit], h[hit], place[hit]
             whole = self.hash_ids[place] >= 0
@@ -283,8 +303,7 @@ class PieceModel:
 
     def search(self, segments: list[str], n: int) -> list[tuple[float, list[list[int]]]]:
         """The n best paths through the chain of ``segments``: (score, ids of each segment)."""
-        lattices = [self.edges(s) for s in segments]
-        forward = [self.forward(e)[0] for e in lattices]
+        lattices, forward = zip(*map(self.lattice, segments), strict=True) if segments else ((), ())
         before = [0.0]
         for f in forward:
             before.append(before[-1] + f[-1])
