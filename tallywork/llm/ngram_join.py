@@ -126,6 +126,20 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
+def _marked_sets(docs: DataFrame, words: int, only: np.ndarray) -> DataFrame:
+    """doc_id and the shingles of every document that ``only`` marks, a slice of texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(marked(only, batch.column("doc_id").to_numpy(zero_copy_only=False))))
+            for first in range(0, batch.num_rows, SLICE):
+                some = batch.slice(first, SLICE)
+                sets = pa.array([own.tobytes() for _, own in _sets(some, words)], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), sets], ["doc_id", "shingles"])
+
+    return docs.mapInArrow(run, "doc_id long, shingles binary")
+
+
 def _postings(docs: DataFrame, words: int, percent: int, skip: np.ndarray | None = None) -> DataFrame:
     """term and node (the first digest of a set) for every posting of documents that ``skip`` doesn't mark."""
 
@@ -372,15 +386,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     parts = sized.groupBy("root").agg(F.sum("n_shingles").alias("total")).withColumn("parts", F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int"))
     part = F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")
     placed = cut(sized.join(parts, "root").select("class_id", "n_docs", F.col("root").alias("component"), "parts", part.alias("part")), "placed")
-    wanted = placed.join(prune(texts, "doc_id", key_bitmap(placed, "class_id")), F.col("class_id") == F.col("doc_id"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.tobytes() for _, s in _sets(batch, words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sets, pa.binary())], ["component", "parts", "part", "class_id", "n_docs", "shingles"])
-
-    fields = ["component", "parts", "part", "class_id", "n_docs", "text"]
-    members = wanted.select(*fields).mapInArrow(run, "component long, parts int, part int, class_id long, n_docs long, shingles binary")
+    sets = _marked_sets(texts, words, key_bitmap(placed, "class_id"))
+    members = placed.join(sets, F.col("class_id") == F.col("doc_id")).drop("doc_id")
     members = cut(members.dropDuplicates(["class_id"]), "members")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = members.withColumn("other", other).withColumns({"part_a": F.least("part", "other"), "part_b": F.greatest("part", "other")}).drop("other", "parts")
