@@ -34,7 +34,7 @@ from tallywork.llm.shared import documents, text_of
 QUERY = "op3_sentencepiece_nbest"
 ORACLE_SQL = None
 BLANK = "▁"
-SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+BLANK_BYTES = BLANK.encode()
 UNKNOWN_PENALTY = 10.0
 #: Segments of a generation that a worker remembers (it keeps two), and the longest that it does.
 MEMO, MEMO_CHARS = 150_000, 48
@@ -106,7 +106,8 @@ class PieceModel:
         self.hashes, self.hash_scores, self.hash_ids = hashes[order], *(np.array([e[k] for e in self.known.values()])[order] for k in (0, 1))
 
     def split(self, text: str) -> list[str]:
-        return SEGMENT.findall(self.normalise(text))
+        distinct, places, _ = self.cut_up([self.normalise(text)])
+        return [distinct[k] for k in places]
 
     def normalise(self, text: str) -> str:
         return (BLANK if self.prefix and text else "") + text.replace(" ", BLANK)
@@ -169,27 +170,21 @@ class PieceModel:
             h = (h * HASH_BASE + ord(c) + 1) & (2**64 - 1)
         return h
 
-    def analyse(self, segments: set[str]) -> dict[str, Segment]:
-        """What is known of each segment, from the memo or worked out now."""
-        found, missing = {}, []
-        for s in segments:
-            held = self.memo.get(s) or self.older.get(s)
-            if held:
-                found[s] = held
-            elif len(s) <= MEMO_CHARS:
-                missing.append(s)
-        for _, alike in groupby(sorted(missing, key=len), len):
+    def analyse(self, segments: list[str]) -> list[Segment]:
+        """What is known of each of the distinct ``segments``, from the memo or worked out now."""
+        memo, older = self.memo, self.older
+        found = [memo.get(s) or older.get(s) for s in segments]
+        missing = [k for k, held in enumerate(found) if held is None and len(segments[k]) <= MEMO_CHARS]
+        for _, alike in groupby(sorted(missing, key=lambda k: len(segments[k])), lambda k: len(segments[k])):
             alike = list(alike)
             for at in range(0, len(alike), 2048):
                 some = alike[at : at + 2048]
-                found.update(zip(some, self.analyse_many(some), strict=True))
-        if len(self.memo) + len(found) > MEMO:  # what was used since the last change of generations stays
-            self.older, self.memo = self.memo, {}
-        self.memo.update(found)
-        for s in segments:
-            if s not in found:
-                found[s] = self._analyse(s)
-        return found
+                for k, known in zip(some, self.analyse_many([segments[k] for k in some]), strict=True):
+                    found[k] = known
+        if len(memo) + len(segments) > MEMO:  # what was used since the last change of generations stays
+            self.older, self.memo = memo, {}
+        self.memo.update((s, known) for s, known in zip(segments, found, strict=True) if known)
+        return [known or self._analyse(s) for s, known in zip(segments, found, strict=True)]
 
     def analyse_many(self, segments: list[str]) -> list[Segment]:
         """The same as ``_analyse`` for segments of one length, all their lattices at once."""
@@ -220,7 +215,8 @@ class PieceModel:
                 if w <= end:
                     reached = best[end - w] + score[w, end - w]
                     better = reached > top
-                    top[better], width[better] = reached[better], w
+                    np.maximum(top, reached, out=top)
+                    width[better] = w
             best[end], step[end] = top, width
         after, second = np.zeros((size + 1, rows)), np.full(rows, -np.inf)
         on_path, parts, node, live = np.zeros((size + 1, rows), np.int64), [], np.full(rows, size), np.arange(rows)
@@ -328,24 +324,42 @@ class PieceModel:
                 made += 1
         return found
 
+    @staticmethod
+    def cut_up(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct segments of normalised texts, the place among them of each segment in turn, and where the
+        segments of each text begin (with the end as last)."""
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        joined, sizes = b"".join(data), np.array([len(d) for d in data], np.int64)
+        raw, begins = np.frombuffer(joined, np.uint8), np.cumsum(sizes) - sizes
+        at = np.flatnonzero(raw[:-2] == BLANK_BYTES[0])
+        at = at[(raw[at + 1] == BLANK_BYTES[1]) & (raw[at + 2] == BLANK_BYTES[2])]
+        blank, first = np.zeros((2, len(raw)), bool)
+        blank[at] = True
+        first[at[(at < 3) | ~blank[at - 3]]] = True
+        first[begins[sizes > 0]] = True
+        starts = np.flatnonzero(first)
+        buffers = [None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(joined)]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+        distinct = [s.decode("utf-8", "surrogatepass") for s in coded.dictionary.to_pylist()]
+        return distinct, coded.indices.to_numpy(), np.searchsorted(starts, np.append(begins, len(raw)))
+
     def segmentations(self, texts: list[str], n: int) -> Iterator[tuple[list[float], list[bytes], str | None]]:
         """For each text the scores and packed ids of the n best segmentations and the text that all of them stand for
         (None if they differ). Every different segment is worked out and decoded once."""
-        segments = [self.split(t) for t in texts]
-        known = self.analyse(set().union(*segments))
-        if not known:
+        normal = [self.normalise(t) for t in texts]
+        distinct, places, bounds = self.cut_up(normal)
+        if not distinct:
             yield from (([0.0], [b""], "") for _ in texts)
             return
-        index = {s: k for k, s in enumerate(known)}
-        scores, packed, sames, losses = zip(*known.values(), strict=True)
+        scores, packed, sames, losses = zip(*self.analyse(distinct), strict=True)
         scores, sames, losses, ids = np.array(scores), np.array(sames), np.array(losses), np.frombuffer(b"".join(packed), np.int32)
         sizes = np.array([len(p) // 4 for p in packed])
         begins = np.cumsum(sizes) - sizes
-        for own in segments:
-            if not own:
+        for own, first, end in zip(normal, bounds[:-1], bounds[1:], strict=True):
+            which = places[first:end]
+            if not len(which):
                 yield [0.0], [b""], ""
                 continue
-            which = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
             ends = np.cumsum(sizes[which])
             flat = ids[np.arange(ends[-1]) + np.repeat(begins[which] - ends + sizes[which], sizes[which])].tobytes()
             each, same = scores[which], bool(sames[which].all())
@@ -355,16 +369,16 @@ class PieceModel:
                 fixed, out, paths = out[0] - float(each[chosen].sum()), [], []
                 cuts = [(int(4 * (ends[k] - sizes[which[k]])), int(4 * ends[k])) for k in chosen]
                 between = [flat[a:b] for a, b in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(flat)], strict=True)]
-                for own_score, path in self.search([own[k] for k in chosen], n):
+                for own_score, path in self.search([distinct[which[k]] for k in chosen], n):
                     pieces = [between[0]]
                     for k, i, rest in zip(chosen, path, between[1:], strict=True):
                         pieces += [array("i", i).tobytes(), rest]
-                        same = same and self.raw(i) == own[k].encode("utf-8", "surrogatepass")
+                        same = same and self.raw(i) == distinct[which[k]].encode("utf-8", "surrogatepass")
                     out.append(fixed + own_score)
                     paths.append(b"".join(pieces))
                 if paths[0] != flat:  # of equal scores, the best path of the segments comes first
                     paths = [flat, *(p for p in paths if p != flat)][: len(paths)]
-            yield out, paths, self.text_of("".join(own)) if same else None
+            yield out, paths, self.text_of(own) if same else None
 
     @staticmethod
     def deviating(lost: np.ndarray, n: int) -> list[int]:
