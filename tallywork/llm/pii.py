@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tallywork.llm.shared import documents
-from tallywork.llm.top_domains import TOP_DOMAINS
 
 QUERY = "op6_pii"
 ORACLE_SQL = None
@@ -76,8 +75,8 @@ def detect(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-# Look-alikes of Latin letters in the Cyrillic and Greek blocks.
-_LOOKALIKES = dict(zip("асеорхуіјѕһԁԛԝАВСЕНІЈКМОРЅТХУαονικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aceopxyijshdqwABCEHIJKMOPSTXYaovikABEZHIKMNOPTYX", strict=True))
+# Look-alikes of Latin letters in the Cyrillic, Greek, Armenian and Cherokee blocks, and small capitals.
+_LOOKALIKES = dict(zip("асеорхуіјѕһԁԛԝАВСЕНІЈКМОРЅТХУαονικΑΒΕΖΗΙΚΜΝΟΡΤΥΧօսհոցզՕՍᎪᎬᎻᎷᏢᏒᎢᏔᏃᏙɑɡıʟɪɴʀʏ", "aceopxyijshdqwABCEHIJKMOPSTXYaovikABEZHIKMNOPTYXouhngqOUAEHMPRTWZVagilinry", strict=True))
 _UNSEEN = "­​‌‍⁠﻿"
 _SPELLED = {w: str(d) for d, names in enumerate(("zero oh null cero zéro", "one eins uno un", "two zwei dos deux", "three drei tres trois", "four vier cuatro quatre", "five fünf cinco cinq", "six sechs seis", "seven sieben siete sept", "eight acht ocho huit", "nine neun nueve neuf")) for w in names.split()}
 _NUMBER_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
@@ -90,14 +89,18 @@ _DOT_MARK = re.compile(r"(?i)(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(
 #: The bare words count only together: name at host dot domain.
 _BARE = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\s+at\s+|\s*@\s*|\s*[\[({<]\s*at\s*[\])}>]\s*)([A-Za-z0-9-]+)((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+\b)+)")
 _BARE_DOT = re.compile(r"(?i)\s+dot\s+")
-_LABEL = re.compile("[A-Za-z0-9-]+")
-#: Domains that count after any host; the others not after a bare "at" and one of these words, as in "look at the dot now".
+#: Last labels that count after any host; others not after a bare "at" and one of the words below, as in "look at the dot now".
 _USUAL = frozenset("com org net edu gov info biz eu de fr es uk co us io ai me dev app".split())
 _NO_HOST = frozenset("a an the this that these those it its my your his her our their each every any some no one which what".split())
-_ODD = re.compile("[" + "".join(_LOOKALIKES) + _UNSEEN + "！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
+#: Before a bare "at" and a host with plain dots: a name with a digit or a sign, or one of these words just before it.
+_CUE = re.compile(r"(?i)\b(?:e-?mails?|mails?|contact|reach|write|address|courriel|correo|kontakt)\b[\s:,]+(?:(?:me|us|him|her|them|to|is|an|at)[\s:]+){0,2}$")
+_PLAIN_AT = re.compile(r"(?:\sat\s+|\s@\s*|@\s+)[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,4}\b")
+_ODD = re.compile("[" + "".join(_LOOKALIKES) + _UNSEEN + "\u0300-\u036f！-～٠-٩۰-۹०-९\u2100-\u214f\U0001d400-\U0001d7ff]")
+
+
 def _plain(char: str) -> str:
     """First transducer: one source character to one plain character, or to nothing."""
-    if char in _UNSEEN:
+    if char in _UNSEEN or "\u0300" <= char <= "\u036f":
         return ""
     if char in _LOOKALIKES:
         return _LOOKALIKES[char]
@@ -105,6 +108,9 @@ def _plain(char: str) -> str:
         return chr(ord(char) - 0xFEE0)
     if not char.isascii() and (digit := unicodedata.digit(char, None)) is not None and char.isdecimal():
         return str(digit)
+    if "\u2100" <= char <= "\u214f" or "\U0001d400" <= char <= "\U0001d7ff":  # letters of formulas
+        folded = unicodedata.normalize("NFKC", char)
+        return folded if len(folded) == 1 and folded.isascii() else char
     return char
 
 
@@ -148,13 +154,26 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _is_address(text: str, m: re.Match) -> bool:
+    """Whether a match of _BARE is an address: its last label is a word of letters, and its parts don't read as prose."""
+    bare = m[1].strip().lower() == "at"
+    last = re.split(r"(?i)\s+dot\s+|\.", m[3])[-1].lower()
+    if not (len(last) >= 2 and last.isalpha()):
+        return False
+    usual = last in _USUAL
+    if _BARE_DOT.search(m[3]):
+        return usual or not (bare and m[2].lower() in _NO_HOST)
+    name = m[0][: m.start(1) - m.start()]
+    if m[1].strip() == "@":
+        return m[1] != "@" and (usual or len(last) == 2)
+    return bare and (usual or len(last) == 2) and (not name.isalpha() or _CUE.search(text, max(0, m.start() - 40), m.start()) is not None)
+
+
 def _addresses(text: str) -> Iterator[re.Match]:
-    """Matches of _BARE with a spelled dot before a top-level domain."""
+    """Matches of _BARE that are addresses."""
     m = _BARE.search(text)
     while m:
-        prose = m[1].strip().lower() == "at" and m[2].lower() in _NO_HOST
-        labels = [_LABEL.match(text, d.end())[0].lower() for d in _BARE_DOT.finditer(text, *m.span(3))]
-        held = any(t.split("-")[0] in _USUAL or t in TOP_DOMAINS and not prose for t in labels)
+        held = _is_address(text, m)
         if held:
             yield m
         m = _BARE.search(text, m.end() if held else m.start(1))
@@ -181,7 +200,7 @@ def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     marked = "dot" in low or any(c in text for c in "[({<") and (_AT_MARK.search(text) or _DOT_MARK.search(text))
     # A run of four spelled digits has two inner words with nothing but separators around them.
     spelled = sum(w in _SPELLED for w in low.replace(",", " ").replace("-", " ").split()) >= 2
-    if not marked and not spelled and (text.isascii() or not _ODD.search(text)):
+    if not marked and not spelled and not _PLAIN_AT.search(low) and (text.isascii() or not _ODD.search(text)):
         return []
     traced = Traced.of(text)
     for stage in (_spelled, _disguised):

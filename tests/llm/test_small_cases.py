@@ -140,6 +140,71 @@ def test_pii_adds_whole_spans_over_parts_that_the_base_finds():
     assert [s[1] for s in pii.added("look at that dot in john at foo dot com", [])] == [0]
 
 
+def disguises(pick):
+    """(disguised identifier, kind) made at random, one way of hiding it each."""
+    name = pick.choice(["john", "a.smith", "maria_92", "x-ray", "li"]) + str(pick.randint(0, 99))
+    host, tld = pick.choice(["mail", "example", "my-host", "uni7"]), pick.choice(["com", "org", "de", "museum", "ninja"])
+    number = lambda n: "".join(str(pick.randint(0, 9)) for _ in range(n))
+    words = "zero one two three four five six seven eight nine".split()
+    spelled = lambda digits: pick.choice([" ", ", ", "-"]).join(words[int(c)] for c in digits)
+    alike = {v: k for k, v in pii._LOOKALIKES.items()}
+    swap = lambda t: "".join(alike.get(c, c) for c in t)
+    marks = lambda t: "".join(c + "\u0301" if c.isalpha() and k % 2 else c for k, c in enumerate(t[:-1])) + t[-1]
+    bold = lambda t: "".join(chr(0x1D41A + ord(c) - 97) if "a" <= c <= "z" else c for c in t)
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in t)
+    ways = [
+        (f"{name} [at] {host} [dot] {tld}", 0), (f"{name}(at){host}(dot){tld}", 0), (f"{name} at {host} dot {tld}", 0), (f"{name} at {host} dot co dot {tld}", 0),
+        (f"{name} at {host}.com", 0), (f"{name} @ {host}.org", 0), (swap(f"{name}@{host}.{tld}"), 0), (bold(f"{name}@{host}.{tld}"), 0), (marks(f"{name}@{host}.{tld}"), 0),
+        (wide(f"{name}@{host}.{tld}"), 0), (f"plus {spelled(number(11))}", 3), (wide("+" + number(12)), 3), (spelled("10") + " dot " + " dot ".join(words[pick.randint(0, 9)] for _ in range(3)), 1),
+    ]
+    return pick.choice(ways)
+
+
+def test_pii_recall_offsets_and_false_spans_over_a_table_of_disguises(spark):
+    pick = random.Random(11)
+    filler = ["look at that dot over there", "meet me at noon", "he was at home.It rained", "three or four of us", "see you at the door dot", "plus two more", "été à la mer"]
+    rows, found, false = [], 0, 0
+    for k in range(600):
+        hidden, kind = disguises(pick)
+        before, after = pick.choice(filler) + ". ", " ; " + pick.choice(filler)
+        rows.append((k, before + hidden + after, len(before), kind, len(before) + len(hidden)))
+    clean = [(1000 + k, " ".join(pick.choice(filler) for _ in range(5)), 0, 0, 0) for k in range(300)]
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows + clean, "doc_id long, text string, a int, kind int, b int")).collect()}
+    for k, _, a, kind, b in rows:
+        spans = got[k]["spans"].split(",")
+        found += f"{pii.KINDS[kind]}:{a}:{b}" in spans
+    false = sum(got[k]["n_added"] for k, *_ in clean)
+    assert found >= 0.97 * len(rows) and false == 0, (found, false)
+
+
+def test_pii_takes_plain_hosts_after_a_bare_at_only_with_a_cue():
+    for text, span in {"contact jane at example.com now": "jane at example.com", "j.doe at example.org": "j.doe at example.org", "jane @ example.com": "jane @ example.com"}.items():
+        assert [text[a:b] for a, _, b in pii.added(text, pii.detect(text))] == [span], text
+    for text in ("we arrived at example.com yesterday", "he stayed at home.It rained", "lunch @ noon.Then home", "read it at docs.python please"):
+        assert pii.added(text, pii.detect(text)) == [], text
+
+
+def test_pii_columns_of_a_frame_against_plain_patterns(spark):
+    import re
+
+    pick = random.Random(21)
+    pieces = ["a.b@c-d.org ", "10.0.0.1 ", "1.2.3.400 ", "+1 (456) 555-2186 ", "4337-1665 98464399 ", "4337166598464398 ", "é中 ", "x ", "0000 0000 0000 0000 0000 "]
+    rows = [(k, "".join(pick.choice(pieces) for _ in range(pick.randint(0, 8)))) for k in range(300)]
+
+    def luhn(digits):
+        return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+    for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = rows[r["doc_id"]][1]
+        want = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(d := re.sub(r"\D", "", m.group())) <= 19 and luhn(d)]
+        want += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub(r"\D", "", m.group())) <= 15]
+        line = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(want))
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest() and r["spans"] == line
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(w[1] == j for w in want) for j in range(4)]
+
+
 def test_pii_is_linear_in_hostile_texts():
     for text in ("a" * 200_000, "1" * 200_000, " " * 200_000, "+1" + " " * 200_000, "1." * 100_000, "a@" * 50_000, "[" * 100_000 + " dot"):
         pii.added(text, pii.detect(text))
