@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.llm.byte_words import Words, byte_classes, chunks
-from tallywork.llm.shared import cut, documents, text_of
+from tallywork.llm.shared import cut, documents, drop, text_of
 
 QUERY = "op11_quality"
 ORACLE_SQL = None
@@ -274,8 +274,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ri
     trusted; an id with labels of both kinds isn't either; repeated rows each count. Without any trusted row all scores
     are 0.5. Other columns are not read.
     """
-    marked = mark_trusted(statistics_of(docs), labels)
-    rows = cut(marked, "quality-statistics")
+    made = cut(statistics_of(docs), "quality-statistics")
+    rows = cut(mark_trusted(made, labels), "quality-marked")
+    drop(made)
     k = len(STATISTICS)
     totals = _sum_arrays(rows, lambda x, t: np.concatenate([[len(x), t.sum()], x.sum(axis=0), (x * x).sum(axis=0)]), 2 + 2 * k)
     n = max(totals[0], 1.0)
