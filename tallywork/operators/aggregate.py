@@ -8,18 +8,24 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywork.operators.quantiles import described_quantiles, exact_quantiles
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Frequencies of the values that are not null, most frequent first, ties by value."""
     return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
-def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
-    """Long form (row, column, n) with zeros for empty cells, of rows without nulls."""
-    counts = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").alias("n"))
+def crosstab(df: DataFrame, row: str, column: str, *by: str) -> DataFrame:
+    """Long form (row, column, n) with zeros for empty cells, of rows without nulls; a table of its own for each key ``by``."""
+    counts = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(*by, row, column).agg(F.count("*").alias("n"))
     # The categories of two variables: the grid has as many rows as the table has cells.
-    grid = counts.select(row).distinct().crossJoin(counts.select(column).distinct())
-    return grid.join(counts, [row, column], "left").na.fill(0, ["n"])
+    sets = counts.groupBy(*by).agg(F.collect_set(row).alias("_rows"), F.collect_set(column).alias("_columns"))
+    grid = sets.select(*by, F.explode("_rows").alias(row), "_columns").select(*by, row, F.explode("_columns").alias(column))
+    names = [*by, row, column]
+    held = counts.withColumnsRenamed({c: f"{c}_of" for c in names})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in names))
+    return grid.join(held, same, "left").select(*names, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def margins(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -27,60 +33,22 @@ def margins(df: DataFrame, row: str, column: str) -> DataFrame:
     return df.cube(row, column).agg(F.count("*").alias("n"), F.grouping_id(row, column).cast("int").alias("level"))
 
 
-def expected(cells: DataFrame, row: str, column: str, n: str = "n") -> DataFrame:
+def expected(cells: DataFrame, row: str, column: str, n: str = "n", *by: str) -> DataFrame:
     """Cells with row_n, column_n, total and the expected count."""
-    total = lambda *by: F.sum(n).over(Window.partitionBy(*by))
+    total = lambda *of: F.sum(n).over(Window.partitionBy(*by, *of))
     out = cells.withColumns({"row_n": total(row), "column_n": total(column), "total": total()})
     return out.withColumn("expected", F.col("row_n") * F.col("column_n") / F.col("total"))
 
 
-#: Ranges of values that the exact quantiles of a group are looked for in.
-RANGES = 1024
-
-
-def _matched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join on columns of the same names, null matching null; ``on`` comes from the left side."""
-    other = right.withColumnsRenamed({k: f"{k}_right" for k in on})
-    return left.join(other, reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_right")) for k in on))).drop(*(f"{k}_right" for k in on))
-
-
-def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], *by: str) -> DataFrame:
-    """Exact quantiles (linear between neighbours) of the values that are not null, a column for each name, by group.
-
-    Counts over equal ranges between the least and the largest value tell which ranges hold the wanted ranks; only the
-    values in those are counted one by one and sorted. No task holds all values of a group.
-    """
-    on = ["_all", *(f"_k{j}" for j in range(len(by)))]
-    x = df.select(F.lit(0).alias("_all"), *(F.col(c).alias(k) for c, k in zip(by, on[1:], strict=True)), F.col(value).cast("double").alias("x")).filter("x is not null")
-    ends = x.groupBy(*on).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n_all"))
-    spread = F.col("high") - F.col("low")
-    ranged = _matched(x, ends, on).select(*on, "x", F.when(spread > 0, F.floor((F.col("x") - F.col("low")) / spread * RANGES)).otherwise(0).alias("range"))
-    upto = F.sum("n").over(Window.partitionBy(*on).orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
-    starts = ranged.groupBy(*on, "range").agg(F.count("*").alias("n")).withColumn("before", upto - F.col("n"))
-    places = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), ((F.col("n_all") - 1) * p).alias("at")) for q, p in probabilities.items())))
-    wanted = ends.select(*on, places.alias("w")).select(*on, "w.q", "w.at", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))).alias("rank"))
-    held = _matched(starts, wanted, on).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).select(*on, "range", "before", "q", "at", "rank")
-    inside = _matched(ranged, held.select(*on, "range", "before").distinct(), [*on, "range"]).groupBy(*on, "range", "before", "x").agg(F.count("*").alias("n"))
-    run = F.sum("n").over(Window.partitionBy(*on, "range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.select(*on, "range", "x", "n", (F.col("before") + run).alias("end"))
-    found = _matched(held, inside, [*on, "range"]).filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n")))
-    share = F.when(F.floor("at") == F.ceil("at"), 1.0).otherwise(1.0 - F.abs(F.col("at") - F.col("rank")))
-    each = found.groupBy(*on, "q").agg(F.sum(share * F.col("x")).alias("x"))
-    out = each.groupBy(*on).agg(*(F.max(F.when(F.col("q") == q, F.col("x"))).alias(q) for q in probabilities))
-    return out.select(*(F.col(k).alias(c) for c, k in zip(by, on[1:], strict=True)), *probabilities)
-
-
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
     """count, mean, std, min, quartiles (exact, linear) and max of a column, by group or over all."""
     x = F.col(value).cast("double")
-    statistics = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
-    basic, quartiles = df.groupBy(*by).agg(*statistics), exact_quantiles(df, value, QUARTILES, *by)
-    other = quartiles.withColumnsRenamed({c: f"_{c}_of" for c in by})
-    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}_of")) for c in by), F.lit(True))
-    return basic.join(other, same, "left").select(*by, "count", "mean", "std", "min", *QUARTILES, "max")
+    statistics = {"count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
+    out = described_quantiles(df, value, QUARTILES, *by, statistics=statistics)
+    return out.select(*by, "count", "mean", "std", "min", *QUARTILES, "max")
 
 
 def box(df: DataFrame, value: str, by: str) -> DataFrame:

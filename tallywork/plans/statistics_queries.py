@@ -174,31 +174,133 @@ def tukey_pairs_segment(spark, d):
     return out.select("group1", "group2", r6(F.col("meandiff"), "meandiff"), r6(F.col("se"), "se"), r6(F.col("q"), "q"))
 
 
+def _chi2_tail(x: str, dof: str) -> str:
+    """P(X > x) for even degrees of freedom, as a finite sum."""
+    return f"CASE WHEN {dof} = 0 THEN 1.0 ELSE exp(-({x}) / 2) * list_sum([exp(k * ln(greatest({x}, 1e-300) / 2) - lgamma(k + 1.0)) FOR k IN range(0, CAST({dof} // 2 AS BIGINT))]) END"
+
+
+def _f_tail(f: str, df1: str, df2: str) -> str:
+    """P(F > f) for an even number of degrees of freedom of the numerator, as a finite sum."""
+    x, rest = f"({df2} / ({df2} + {df1} * ({f})::DOUBLE))", f"({df1} * ({f})::DOUBLE / ({df2} + {df1} * ({f})::DOUBLE))"
+    return f"exp({df2} / 2.0 * ln({x})) * list_sum([exp(lgamma({df2} / 2.0 + j) - lgamma({df2} / 2.0) - lgamma(j + 1.0)) * pow({rest}, j) FOR j IN range(0, CAST({df1} // 2 AS BIGINT))])"
+
+
+def _t_tail(t: str, dof: str) -> str:
+    """P(|T| > t) by the finite sums for even and odd degrees of freedom."""
+    angle = f"atan(({t}) / sqrt({dof}::DOUBLE))"
+    even = f"sin({angle}) * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(cos({angle}), 2 * k) FOR k IN range(0, CAST({dof} // 2 AS BIGINT))])"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * cos({angle}) * coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * pow(cos({angle}), 2 * k) FOR k IN range(0, CAST(({dof} - 1) // 2 AS BIGINT))]), 0))"
+    return f"(1 - CASE WHEN {dof} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def _t_test_sql(source: str, keys: str = "") -> str:
+    """SQL of a t-test over ``s`` (keys, t, dof, estimate, se): the quantile of each number of degrees by bisection."""
+    return f"""WITH RECURSIVE {source},
+    b AS (SELECT dof, 0.0::DOUBLE AS low, 100.0::DOUBLE AS high, 0 AS step FROM (SELECT DISTINCT dof FROM s WHERE dof > 0) UNION ALL
+      SELECT dof, CASE WHEN p > 0.05 THEN middle ELSE low END, CASE WHEN p > 0.05 THEN high ELSE middle END, step + 1
+      FROM (SELECT *, (low + high) / 2 AS middle, {_t_tail("(low + high) / 2", "dof")} AS p FROM b WHERE step < 60)),
+    u AS (SELECT {keys} t, dof, {_t_tail("abs(t)", "dof")} AS p, estimate - high * se AS lower_end, estimate + high * se AS upper_end FROM s JOIN b USING (dof) WHERE step = 60)
+    SELECT {keys} round(t, 6) AS t, CAST(dof AS BIGINT) AS dof, round(abs(p), 6) AS p, round(lower_end, 6) AS low, round(upper_end, 6) AS high, p < 0.05 AS reject_h0 FROM u"""
+
+
+def _rounded_test(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 @register("tukey_test_segment_p")
 def tukey_test_segment_p(spark, d):
     return stats.tukey_test(table(spark, d, "customer"), "c_acctbal", "c_mktsegment")
 
 
-@register("chi2_segment_priority_p")
+_CHI = "SELECT {keys} sum((n - e) * (n - e) / e) AS x, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof FROM e {group}"
+_CHI_TEST = "SELECT {keys} round(x, 6) AS chi2, CAST(dof AS INT) AS dof, round({p}, 6) AS p, {p} < 0.05 AS reject_h0 FROM ({source})"
+
+
+@register("chi2_segment_priority_p", _CELLS + _CHI_TEST.format(keys="", p=_chi2_tail("x", "dof"), source=_CHI.format(keys="", group="")))
 def chi2_segment_priority_p(spark, d):
-    return stats.chi_square_test(_orders_with_segment(spark, d), "c_mktsegment", "o_orderpriority")
+    return _rounded_test(stats.chi_square_test(_orders_with_segment(spark, d), "c_mktsegment", "o_orderpriority"), "chi2", "p")
+
+
+@register(
+    "chi2_by_nation",
+    """WITH j AS (SELECT c_nationkey AS k, c_mktsegment AS a, o_orderpriority AS b FROM orders JOIN customer ON o_custkey = c_custkey),
+    c AS (SELECT k, a, b, count(*) AS n FROM j GROUP BY ALL),
+    g AS (SELECT k, a, b, coalesce(n, 0) AS n FROM (SELECT DISTINCT k, a FROM c) JOIN (SELECT DISTINCT k, b FROM c) USING (k) LEFT JOIN c USING (k, a, b)),
+    e AS (SELECT *, sum(n) OVER (PARTITION BY k, a) * sum(n) OVER (PARTITION BY k, b) / (sum(n) OVER (PARTITION BY k))::DOUBLE AS e FROM g) """
+    + _CHI_TEST.format(keys="k AS c_nationkey,", p=_chi2_tail("x", "dof"), source=_CHI.format(keys="k,", group="GROUP BY k")),
+)
+def chi2_by_nation(spark, d):
+    """The same test for every nation by itself: one plan, a row for each."""
+    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
+    rows = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+    return _rounded_test(stats.chi_square_test(rows, "c_mktsegment", "o_orderpriority", "c_nationkey"), "chi2", "p")
+
 
+_POOLED = """r AS (SELECT quality AS g, n_chars::DOUBLE AS x FROM labels JOIN documents USING (doc_id)),
+    m AS (SELECT count(x) FILTER (g = 0) AS n1, count(x) FILTER (g = 1) AS n2, avg(x) FILTER (g = 0) AS m1, avg(x) FILTER (g = 1) AS m2, var_samp(x) FILTER (g = 0) AS v1, var_samp(x) FILTER (g = 1) AS v2 FROM r),
+    w AS (SELECT *, n1 + n2 - 2 AS dof, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS se FROM m),
+    s AS (SELECT (m1 - m2) / se AS t, dof, m1 - m2 AS estimate, se FROM w)"""
 
-@register("ttest_pooled_quality_p")
+
+@register("ttest_pooled_quality_p", _t_test_sql(_POOLED))
 def ttest_pooled_quality_p(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return stats.t_test(stats.pooled_t(rows, "n_chars", "quality", 0, 1), "diff")
+    return _rounded_test(stats.t_test(stats.pooled_t(rows, "n_chars", "quality", 0, 1), "diff"), "t", "p", "low", "high")
+
+
+_SUPPLIER = """m AS (SELECT l_suppkey, count(l_discount) AS n, avg(l_discount) AS m, stddev_samp(l_discount) AS sd FROM lineitem GROUP BY 1),
+    s AS (SELECT l_suppkey, (m - 0.04) / (sd / sqrt(n)) AS t, n - 1 AS dof, m AS estimate, sd / sqrt(n) AS se FROM m WHERE sd > 0)"""
+
+
+@register("ttest_discount_by_supplier", _t_test_sql(_SUPPLIER, "l_suppkey,"))
+def ttest_discount_by_supplier(spark, d):
+    """A test and an interval for every supplier, made on the executors."""
+    tests = stats.t_test(stats.one_sample_t(table(spark, d, "lineitem"), "l_discount", 0.04, "l_suppkey"), "mean", "l_suppkey")
+    return _rounded_test(tests.filter("t is not null"), "t", "p", "low", "high")
+
 
+_F_TEST = """g AS (SELECT {keys} g, count(x) AS n, avg(x) AS m, coalesce(var_samp(x), 0) AS v FROM r GROUP BY ALL),
+t AS (SELECT {keys} sum(n * m) / sum(n) AS gm, count(*) - 1 AS df1, sum(n) - count(*) AS df2, sum((n - 1) * v) AS ss_within FROM g {group}),
+b AS (SELECT {keys} any_value(df1) AS df1, any_value(df2) AS df2, (sum(n * (m - gm) * (m - gm)) / any_value(df1)) / (any_value(ss_within) / any_value(df2)) AS f FROM g JOIN t {using} {group})
+SELECT {keys} round(f, 6) AS f, CAST(df1 AS BIGINT) AS df1, CAST(df2 AS BIGINT) AS df2, round({p}, 6) AS p, {p} < 0.05 AS reject_h0 FROM b"""
 
-@register("anova_oneway_acctbal_segment_p")
+
+@register("anova_oneway_acctbal_segment_p", "WITH r AS (SELECT c_mktsegment AS g, c_acctbal AS x FROM customer), " + _F_TEST.format(keys="", group="", using="ON true", p=_f_tail("f", "df1", "df2")))
 def anova_oneway_acctbal_segment_p(spark, d):
-    return stats.f_test(stats.one_way(table(spark, d, "customer"), "c_acctbal", "c_mktsegment"))
+    return _rounded_test(stats.f_test(stats.one_way(table(spark, d, "customer"), "c_acctbal", "c_mktsegment")), "f", "p")
+
+
+@register(
+    "anova_price_by_nation",
+    "WITH r AS (SELECT c_nationkey, o_orderpriority AS g, o_totalprice AS x FROM orders JOIN customer ON o_custkey = c_custkey), "
+    + _F_TEST.format(keys="c_nationkey,", group="GROUP BY c_nationkey", using="USING (c_nationkey)", p=_f_tail("f", "df1", "df2")),
+)
+def anova_price_by_nation(spark, d):
+    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
+    rows = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+    return _rounded_test(stats.f_test(stats.one_way(rows, "o_totalprice", "o_orderpriority", "c_nationkey"), "c_nationkey"), "f", "p")
 
 
-@register("anova_type2_price_p")
+@register(
+    "anova_type2_price_p",
+    # The status has three levels: after the priorities are eliminated, two equations are left, solved in closed form.
+    f"""WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n, avg(o_totalprice) AS m, coalesce(var_samp(o_totalprice), 0) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+    w AS (SELECT *, sum(n) OVER (PARTITION BY b) AS nb, sum(n * m) OVER (PARTITION BY b) / sum(n) OVER (PARTITION BY b) AS mb, sum(n * m) OVER (PARTITION BY a) / sum(n) OVER (PARTITION BY a) AS ma FROM c),
+    q AS (SELECT a, sum(n * (m - mb)) AS q FROM w GROUP BY a),
+    k AS (SELECT x.a AS r, y.a AS s, sum(CASE WHEN x.a = y.a THEN x.n ELSE 0 END - x.n * y.n / x.nb::DOUBLE) AS k FROM w x JOIN w y USING (b) GROUP BY ALL),
+    p AS (SELECT (SELECT q FROM q WHERE a = 'F') AS qf, (SELECT q FROM q WHERE a = 'O') AS qo, (SELECT k FROM k WHERE r = 'F' AND s = 'F') AS ff, (SELECT k FROM k WHERE r = 'O' AND s = 'O') AS oo, (SELECT k FROM k WHERE r = 'F' AND s = 'O') AS fo),
+    z AS (SELECT (qf * qf * oo - 2 * qf * qo * fo + qo * qo * ff) / (ff * oo - fo * fo) AS ss_a FROM p),
+    t AS (SELECT sum(n * (m - ma) * (m - ma)) AS apart_a, sum(n * (m - mb) * (m - mb)) AS apart_b, sum((n - 1) * v) AS within, sum(n) - count(*) AS df, count(*) AS cells, count(DISTINCT a) AS la, count(DISTINCT b) AS lb FROM w),
+    e AS (SELECT 'o_orderstatus' AS effect, ss_a AS ss, la - 1 AS dof, within, df FROM t, z UNION ALL SELECT 'o_orderpriority', apart_a - apart_b + ss_a, lb - 1, within, df FROM t, z
+      UNION ALL SELECT 'o_orderstatus × o_orderpriority', apart_b - ss_a, cells - la - lb + 1, within, df FROM t, z UNION ALL SELECT 'residual', within, df, NULL, df FROM t),
+    f AS (SELECT *, (ss / dof) / (within / df) AS f FROM e),
+    g AS (SELECT *, CASE WHEN effect <> 'residual' THEN {_f_tail("f", "dof", "df")} END AS p FROM f)
+    SELECT effect, round(ss / 1e6, 1) AS ss_millions, CAST(dof AS INT) AS dof, round(f, 4) AS f, round(p, 6) AS p,
+    CASE WHEN p < 0.001 THEN 'p < .001' WHEN p < 0.05 THEN 'p < .05' ELSE 'not significant' END AS significance, p < 0.05 AS reject_h0 FROM g""",
+)
 def anova_type2_price_p(spark, d):
-    out = stats.two_way(_orders_with_segment(spark, d), "o_totalprice", "o_orderstatus", "o_orderpriority")
-    return stats.decide(out)
+    out = stats.decide(stats.two_way(_orders_with_segment(spark, d), "o_totalprice", "o_orderstatus", "o_orderpriority"))
+    return out.select("effect", F.round(F.col("ss") / 1e6, 1).alias("ss_millions"), "dof", F.round("f", 4).alias("f"), F.round("p", 6).alias("p"), "significance", "reject_h0")
 
 
 @register(

@@ -84,13 +84,16 @@ def append_lines(df: DataFrame, column: str, path: str) -> None:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir, or the warehouse).
+    """A new path in the folder that the driver and all executors share, spark.checkpoint.dir.
 
-    Only where all runs on one machine and neither is set it is a temporary folder.
+    Where that is unset, a temporary folder serves a master on this machine; any other master gets an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = held.get() if not held.isEmpty() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tallywork-")
     return f"{root}/tallywork-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
