@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,14 +43,67 @@ def split_recursively(text: str, size: int = 1000, overlap: int = 200, separator
     return out
 
 
-def recursive_chunks(df: DataFrame, key: str, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
-    """key, chunk_id and content for each chunk."""
+# The white space that Python's str.strip takes.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECES = "array<struct<text:string,done:boolean>>"
+
+
+def _literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + "".join(f"\\u{ord(c):04x}" if not c.isalnum() else c for c in text) + "'"
+
+
+def _stripped(sql: str) -> str:
+    return f"trim(BOTH {_literal(BLANKS)} FROM {sql})"
+
+
+def _one_level(separator: str, size: int, overlap: int) -> str:
+    """SQL from ``item.text`` to its pieces: merged parts are done, parts longer than ``size`` are left for finer levels.
+
+    A fold over the parts (and one place after them, which closes) keeps where the held parts begin and how long they
+    are; where the next part doesn't fit, a fold backwards over the held ones finds those that stay as overlap.
+    """
+    mark, w = _literal(separator), len(separator)
+    part = "get(parts, j)"
+    long = f"length({part})"
+    chunk = _stripped(f"array_join(slice(parts, s.start + 1, j - s.start), {mark})")
+    too_long, full = f"{long} > {size}", f"s.held > 0 AND s.held + {w} + {long} > {size}"
+    close = f"s.held > 0 AND ({part} IS NULL OR {too_long} OR {full})"
+    longer = f"(k.held + if(k.held > 0, {w}, 0) + length(get(parts, i)))"
+    fits = f"k.open AND {longer} <= {overlap} AND {longer} + {w} + {long} <= {size}"
+    kept = f"""aggregate(sequence(j - 1, s.start, -1), named_struct('start', j, 'held', 0, 'open', true),
+        (k, i) -> if({fits}, named_struct('start', i, 'held', {longer}, 'open', true), named_struct('start', k.start, 'held', k.held, 'open', false)))"""
+    out = f"""if({close} OR coalesce({too_long}, false), concat(s.out,
+        if({close} AND {chunk} <> '', array(named_struct('text', {chunk}, 'done', true)), cast(array() as {_PIECES})),
+        if({too_long}, array(named_struct('text', {part}, 'done', false)), cast(array() as {_PIECES}))), s.out)"""
+    moved = f"""if({too_long} OR {part} IS NULL, named_struct('start', j + 1, 'held', 0),
+        if({full}, element_at(transform(array({kept}), k -> named_struct('start', k.start, 'held', if(k.held > 0, k.held + {w}, 0) + {long})), 1),
+        named_struct('start', if(s.held > 0, s.start, j), 'held', if(s.held > 0, s.held + {w}, 0) + {long})))"""
+    step = f"element_at(transform(array({moved}), m -> named_struct('out', {out}, 'start', m.start, 'held', m.held)), 1)"
+    fold = f"aggregate(sequence(0, size(parts)), named_struct('out', cast(array() as {_PIECES}), 'start', 0, 'held', 0), (s, j) -> {step}, s -> s.out)"
+    split = f"filter(split(item.text, {_literal(separator)}, -1), p -> p <> '')"
+    return f"element_at(transform(array({split}), parts -> {fold}), 1)"
+
+
+def split_column(text: str, size: int = 1000, overlap: int = 200, separators: Sequence[str] = ("\n\n", "\n", " ")) -> Column:
+    """The chunks of ``split_recursively`` as array functions over a column, finer levels taken one after the other.
+
+    The last level cuts between characters. Null and empty texts have no chunks. Separators are plain text without
+    signs of regular expressions.
+    """
+    items = f"if(length({text}) > 0, array(named_struct('text', {text}, 'done', false)), cast(array() as {_PIECES}))"
+    for separator in separators:
+        items = f"flatten(transform({items}, item -> if(item.done OR NOT contains(item.text, {_literal(separator)}), array(item), {_one_level(separator, size, overlap)})))"
+    stride = size - overlap
+    last = f"sequence(0, cast(ceil(greatest(length(item.text) - {size}, 0) / {stride}) as int))"
+    cut = f"transform({last}, i -> {_stripped(f'substring(item.text, i * {stride} + 1, {size})')})"
+    texts = f"flatten(transform({items}, item -> if(item.done, array(item.text), {cut})))"
+    return F.expr(f"filter({texts}, c -> c <> '')")
 
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursively(t, size, overlap) if t else [])
 
-    return df.select(key, F.posexplode(chunks(F.col(text))).alias("chunk_id", "content"))
+def recursive_chunks(df: DataFrame, key: str, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+    """key, chunk_id and content for each chunk."""
+    return df.select(key, F.posexplode(split_column(text, size, overlap)).alias("chunk_id", "content"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -69,10 +121,34 @@ def most_similar(vectors: DataFrame, query: Sequence[float], k: int = 4, key: st
     return vectors.select(key, cosine(F.col(vector), point).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+#: Rows that are joined at once on the way to the text of a group.
+PIECE_ROWS = 1000
+
+
+def pieces(df: DataFrame, by: str, order: str, text: str, separator: str) -> DataFrame:
+    """_by, at, rows, piece: each group cut into runs of at most PIECE_ROWS neighbouring rows, the texts of a run joined.
+
+    Rows are range-partitioned and sorted by group, order and text, so a long group lies in several partitions, and a
+    run is a stretch of places in one of them: it is joined where its rows are. A run without a text has a null piece.
+    """
+    keys = ["_by", "_order", "_text"]
+    rows = df.select(F.col(by).alias("_by"), F.col(order).alias("_order"), F.col(text).cast("string").alias("_text"))
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    run = F.floor(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) / PIECE_ROWS)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda s: s["_text"]), separator)
+    out = placed.groupBy("_by", F.shiftright("_at", 33).alias("part"), run.alias("run"))
+    return out.agg(F.min("_at").alias("at"), F.count("*").alias("rows"), F.when(F.count("_text") > 0, joined).alias("piece")).select("_by", "at", "rows", "piece")
+
+
 def combine(df: DataFrame, by: str, order: str, text: str, separator: str = "\n\n") -> DataFrame:
-    """Texts of a group in order as one."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return df.groupBy(by).agg(F.array_join(F.transform(items, lambda s: s["t"]), separator).alias("combined"))
+    """Texts of a group in order as one; null texts are skipped, rows of equal order follow each other by text.
+
+    No list of a group's rows is made: its pieces are joined. A group of null texts has an empty text; a null order
+    comes first.
+    """
+    items = F.array_sort(F.collect_list(F.struct("at", "piece")))
+    joined = F.array_join(F.transform(items, lambda s: s["piece"]), separator)
+    return pieces(df, by, order, text, separator).groupBy("_by").agg(joined.alias("combined")).withColumnRenamed("_by", by)
 
 
 def messages(*pairs: tuple[str, Column]) -> Column:
