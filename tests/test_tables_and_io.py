@@ -134,3 +134,93 @@ def test_a_table_needs_its_pointer(spark, tmp_path):
     again = Table.open(spark, "t", str(tmp_path / "t"), key)
     assert sorted((r["k"], r["v"]) for r in again.rows.collect()) == [(1, "a"), (2, "b")] and again.version == 2
     assert {r["k"] for r in again.insert([("c",)], ["v"]).commit().rows.collect()} == {1, 2, 3}
+
+
+def test_a_statement_on_one_key_leaves_other_files_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"), F.concat(F.lit("n"), "id").alias("name"))
+    key = Constraints(primary_key="k")
+    t = Table.of("t", rows.repartition(1), key, path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        t.commit()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    before = {f.name: f for f in t.committed.files}
+    assert len(before) == 4 and sum(f.rows for f in before.values()) == 4000
+    assert sorted((f.low["k"], f.high["k"]) for f in before.values())[0][0] == 0
+    t.update({"name": F.lit("changed")}, within={"k": (17, 17)}).commit()
+    after = {f.name for f in t.committed.files}
+    assert len(before.keys() & after) == 3 and len(after) == 4
+    # A condition without bounds finds the touched file by a scan.
+    t.delete(F.col("name") == "n3999").commit()
+    assert len({f.name for f in t.committed.files} & after) == 3
+    again = Table.open(spark, "t", path, key)
+    assert again.version == 3 and again.rows.count() == 3999 and again.rows.filter("name = 'changed'").first()["k"] == 17
+    assert Table.open(spark, "t", path, key, version=1).rows.filter("name = 'changed'").count() == 0
+    # No row matches: nothing is written.
+    t.update({"v": F.lit(1)}, within={"k": (9000, 9999)}).commit()
+    assert {f.name for f in t.committed.files} == {f.name for f in again.committed.files}
+
+
+def test_columns_of_stored_tables_change_without_new_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    t = Table.of("t", spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path=path).commit()
+    files = t.committed.files
+    t.rename_column("v", "w").add_column("v", "string").drop_column("k").add_column("k", "double").commit()
+    assert t.committed.files == files
+    again = Table.open(spark, "t", path)
+    assert sorted((r["w"], r["v"], r["k"]) for r in again.rows.collect()) == [("a", None, None), ("b", None, None)]
+    again.insert([("c", "x", 1.5)], ["w", "v", "k"]).commit()
+    assert sorted((r["w"], r["v"], r["k"]) for r in Table.open(spark, "t", path).rows.collect()) == [("a", None, None), ("b", None, None), ("c", "x", 1.5)]
+
+
+def test_two_racing_writers_lose_nothing(spark, tmp_path):
+    from threading import Barrier, Thread
+
+    path = str(tmp_path / "t")
+    key = Constraints(primary_key="k", autoincrement=True)
+    Table.create(spark, "t", "k long, v string", key, path).insert([("first",)], ["v"]).commit()
+    start, failed = Barrier(4), []
+
+    def write(who: int) -> None:
+        try:
+            t = Table.open(spark, "t", path, key)
+            start.wait()
+            for n in range(2):
+                t.insert([(f"{who}-{n}",)], ["v"]).update({"v": F.concat("v", F.lit("!"))}, F.col("v") == f"{who}-{n}").commit(retries=20)
+        except BaseException as error:  # noqa: BLE001
+            failed.append(error)
+
+    writers = [Thread(target=write, args=(k,)) for k in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert failed == []
+    last = Table.open(spark, "t", path, key)
+    got = last.rows.collect()
+    assert sorted(r["v"] for r in got) == sorted(["first"] + [f"{k}-{n}!" for k in range(4) for n in range(2)])
+    assert sorted(r["k"] for r in got) == list(range(1, 10)) and last.version == 9
+
+
+def test_a_second_writer_is_told_and_may_repeat(spark, tmp_path):
+    from tallywork.operators import table_log
+    from tallywork.operators.table import ConflictError
+
+    path = str(tmp_path / "t")
+    key = Constraints(primary_key="k")
+    Table.create(spark, "t", "k long, v string", key, path).insert([(1, "a")]).commit()
+    one, two, three = (Table.open(spark, "t", path, key) for _ in range(3))
+    one.insert([(2, "b")]).commit()
+    with pytest.raises(ConflictError):
+        two.insert([(3, "c")]).commit(retries=0)
+    with pytest.raises(ConstraintError):  # the repeat sees the first one's key
+        three.insert([(2, "again")]).commit()
+    assert two.revert().version == 1 and Table.open(spark, "t", path, key).rows.count() == 2
+    Table.open(spark, "t", path, key).delete(F.col("k") == 1).commit()
+    assert table_log.vacuum(spark, path) == 2 and table_log.versions(spark, path) == [3]
+    assert [tuple(r) for r in Table.open(spark, "t", path, key).rows.collect()] == [(2, "b")]
+    assert not table_log.create_once(spark, table_log.note_path(path, 3), "x")
+    with pytest.raises(FileNotFoundError):
+        Table.open(spark, "none", str(tmp_path / "none"))
