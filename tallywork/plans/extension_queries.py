@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallywork.operators.intervals import asof_join as asof
+from tallywork.operators.intervals import interval_join
 from tallywork.plans.catalogue import register, table
+from tallywork.sources.io import shared_path
 from tallywork.streaming import windows as W
 
 
@@ -43,8 +46,20 @@ def full_join(spark, d):
 @register("range_join", "SELECT p_partkey, b.lo FROM part JOIN (VALUES (900, 1000), (1000, 1200), (1200, 3000)) b(lo, hi) ON p_retailprice >= lo AND p_retailprice < hi")
 def range_join(spark, d):
     bands = spark.createDataFrame([(900, 1000), (1000, 1200), (1200, 3000)], "lo int, hi int")
-    price = F.col("p_retailprice")
-    return table(spark, d, "part").join(F.broadcast(bands), (price >= F.col("lo")) & (price < F.col("hi"))).select("p_partkey", "lo")
+    return interval_join(table(spark, d, "part"), bands, "p_retailprice", "lo", "hi").select("p_partkey", "lo")
+
+
+@register(
+    "interval_join_by_customer",
+    """WITH i AS (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS low, o_totalprice * 1.1 AS high FROM orders WHERE o_orderpriority = '1-URGENT')
+    SELECT k, count(*) AS n, max(o_orderkey) AS last FROM orders JOIN i ON o_custkey = c AND o_totalprice >= low AND o_totalprice < high GROUP BY k""",
+)
+def interval_join_by_customer(spark, d):
+    """For each urgent order the customer's orders of up to a tenth more: an interval of its own for each row."""
+    orders = table(spark, d, "orders")
+    urgent = orders.filter("o_orderpriority = '1-URGENT'").select("o_custkey", F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("low"), (F.col("o_totalprice") * 1.1).alias("high"))
+    met = interval_join(orders.select("o_custkey", "o_orderkey", "o_totalprice"), urgent, "o_totalprice", "low", "high", ["o_custkey"])
+    return met.groupBy("k").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
 
 
 @register(
@@ -54,10 +69,8 @@ def range_join(spark, d):
 )
 def asof_join(spark, d):
     e = table(spark, d, "events")
-    bought = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
-    both = e.filter("event_type = 'click'").select("user_id", "ts", "event_id", F.lit(None).cast("double").alias("value"), F.lit(1).alias("side")).unionByName(bought.select("user_id", "ts", F.lit(None).cast("long").alias("event_id"), "value", F.lit(0).alias("side")))
-    past = Window.partitionBy("user_id").orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("last_purchase", F.last("value", ignorenulls=True).over(past)).filter("side = 1").select("event_id", "last_purchase")
+    bought = e.filter("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("last_purchase"))
+    return asof(e.filter("event_type = 'click'").select("event_id", "user_id", "ts"), bought, "user_id", "ts", ["last_purchase"]).select("event_id", "last_purchase")
 
 
 @register("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
@@ -109,3 +122,30 @@ def events_sliding(spark, d):
 def events_sessions(spark, d):
     out = W.session_counts(W.with_event_time(table(spark, d, "events")))
     return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
+
+
+def _streamed(spark, d, counts):
+    """Counts over the events as a stream that takes in all files, in append mode: what is closed at its end."""
+    stream = W.with_event_time(spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*"))
+    return W.stream_to_files(counts(stream), shared_path(spark, "stream"))
+
+
+@register(
+    "events_sliding_stream",
+    """WITH w AS (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s, value FROM events)
+    SELECT strftime(s, '%Y-%m-%d %H:%M') AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM w WHERE s + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY s""",
+)
+def events_sliding_stream(spark, d):
+    out = _streamed(spark, d, lambda events: W.windowed_counts(events, "2 hours", "1 hour"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n", F.round("total", 4).alias("total"))
+
+
+@register(
+    "events_sessions_stream",
+    """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
+def events_sessions_stream(spark, d):
+    out = _streamed(spark, d, W.session_counts)
+    return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,23 @@ def session_counts(events: DataFrame, user: str = "user_id", gap: str = "30 minu
     return out.select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
+def stream_to_files(stream: DataFrame, folder: str) -> DataFrame:
+    """Process all that has arrived in append mode, results below ``folder`` with their checkpoint, and read them back.
+
+    A window or a session comes out once, when the watermark has passed its end, and its state goes. A later call on the
+    same folder goes on with the state of the one before: sessions that new rows touch or join are merged in it.
+    """
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def closed(windows: DataFrame, events: DataFrame, end: Column, late: str = "10 minutes") -> DataFrame:
+    """Of the windows of a batch of events those that a stream over the same events has given out at its end."""
+    last = events.agg((F.max("ts") - F.expr(f"INTERVAL {late}")).alias("_mark"))
+    return windows.crossJoin(last).filter(end <= F.col("_mark")).drop("_mark")  # one row
+
+
 def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> None:
     """Process all that has arrived into a memory table of that name, then stop."""
     query = stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
