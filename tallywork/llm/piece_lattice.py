@@ -316,7 +316,9 @@ class PieceModel:
                 while path is not None:
                     at, edge, path = path
                     paths[at].append(edge)
-                found.append((-total, [self.written(s, p) for s, p in zip(segments, paths, strict=True)]))
+                # Sums of one path differ by rounding with the order of adding: never above the path before.
+                score = min(-total, found[-1][0]) if found else -total
+                found.append((score, [self.written(s, p) for s, p in zip(segments, paths, strict=True)]))
                 continue
             for start, score, piece in lattices[k][end]:
                 reached = done + score

@@ -158,3 +158,10 @@ def test_words_of_bytes_across_texts_and_slices():
     assert (~words.states()).tolist() == [zlib.crc32(w.encode()) for w in ("ab", "cd", "e", "x" * 200, "ü")]
     assert words.same_text(1).tolist() == [False, False, True, False, False]
     assert list(byte_words.chunks(pa.array([], pa.string()))) == []
+
+
+def test_scores_of_the_n_best_never_rise(spark):
+    from tallywork.llm import piece_lattice
+
+    rising = piece_lattice.query(spark, "/root/testdata/sf0.01").filter("exists(sequence(1, size(best_scores) - 1), k -> get(best_scores, k) > get(best_scores, k - 1)) and size(best_scores) > 1")
+    assert rising.count() == 0
