@@ -77,54 +77,53 @@ class CollisionIndex:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding as doubles of rows with an id and a finite vector that isn't zero, of the commonest width."""
+    """vec_id, embedding as doubles and width of rows with an id and a finite vector that isn't zero."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
-    widths = rows.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").limit(1).collect()
-    return rows.filter(F.size("embedding") == (widths[0]["width"] if widths else 0))
+    return rows.withColumn("width", F.size("embedding"))
 
 
 def _pack(table: pa.Table) -> pa.Table:
     flat = table.column("embedding").combine_chunks()
     data = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     ids = table.column("vec_id").to_numpy().astype(np.int64)
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
+    return pa.table({"width": pa.array([table.column("width")[0].as_py()], pa.int32()), "block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
 
 
 def blocks(rows: DataFrame, size: int, n_rows: int) -> tuple[DataFrame, int]:
-    """Rows dealt by a hash of the id over blocks of about ``size`` vectors, each packed into one row."""
+    """Rows of each width dealt by a hash of the id over blocks of at most about ``size`` vectors, each packed into one row."""
     count = max(1, -(-n_rows // size))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(_pack, "block int, ids binary, data binary"), count
+    return dealt.groupBy("width", "block").applyInArrow(_pack, "width int, block int, ids binary, data binary"), count
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, block_rows: int = 16_384, query_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found to every row for which ``is_query`` holds, by cosine.
 
-    Null, zero, non-finite vectors, those of another width than the commonest and rows without id take no part. Ties go
-    to the smaller id. Of equal vectors only the k + 1 smallest ids can be in an answer, so only those are indexed; all
+    Null, zero and non-finite vectors and rows without id take no part. A cosine is defined between vectors of one width,
+    so each width is searched by itself. Ties go to the smaller id. Of equal vectors only the k + 1 smallest ids can be in an answer, so only those are indexed; all
     of them are queries where they ask. Other columns are not read; an empty table gives an empty result.
     """
     rows = cut(usable(vectors), "ann-rows")
     first = Window.partitionBy("embedding").orderBy("vec_id")
-    indexed = rows.withColumn("copy", F.row_number().over(first)).filter(F.col("copy") <= k + 1).select("vec_id", "embedding")
+    indexed = rows.withColumn("copy", F.row_number().over(first)).filter(F.col("copy") <= k + 1).select("vec_id", "embedding", "width")
     indexed = cut(indexed, "ann-indexed")
     asking = rows.filter(is_query)
     packed, _ = blocks(indexed, block_rows, indexed.count())
     queries, chunks = blocks(asking, query_rows, asking.count())
-    queries = queries.select(F.col("block").alias("chunk"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
+    queries = queries.select("width", F.col("block").alias("chunk"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
     # Each block meets each chunk of the stated queries once; a block's index is built once for chunks that follow.
-    pairs = packed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(queries, "chunk")
-    pairs = pairs.repartition(F.col("block"), F.col("chunk")).sortWithinPartitions("block", "chunk")
+    pairs = packed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(queries, ["width", "chunk"])
+    pairs = pairs.repartition("width", "block", "chunk").sortWithinPartitions("width", "block", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = None, None
         for batch in batches:
             for r in batch.to_pylist():
-                if at != r["block"]:
+                if at != (r["width"], r["block"]):
                     ids = np.frombuffer(r["ids"], np.int64)
-                    at, index = r["block"], CollisionIndex(ids, np.frombuffer(r["data"], np.float64).reshape(len(ids), -1))
+                    at, index = (r["width"], r["block"]), CollisionIndex(ids, np.frombuffer(r["data"], np.float64).reshape(len(ids), -1))
                 asked = np.frombuffer(r["query_ids"], np.int64)
                 data = np.frombuffer(r["query_data"], np.float64).reshape(len(asked), -1)
                 found = [(int(q), i, s) for q, v in zip(asked, data, strict=True) for s, i in index.nearest(int(q), v, k)]
