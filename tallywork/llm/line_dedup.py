@@ -76,10 +76,10 @@ def drop_runs(docs: DataFrame, min_chars: int = 10, pieces: int = 128) -> DataFr
 
 def keep_bitmap(runs: Column, n: Column) -> Column:
     """Lengths of the runs of kept and dropped lines in turn, beginning with kept lines (perhaps none), of ``n`` lines."""
-    first = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("bits"))
-    told = F.aggregate(runs, first, lambda held, r: F.struct((r["start"] + r["length"]).alias("end"), F.concat(held["bits"], F.array(r["start"] - held["end"], r["length"])).alias("bits")))
-    rest = n - told["end"]
-    return F.when(runs.isNull(), F.array(n)).otherwise(F.concat(told["bits"], F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
+    end = lambda i: F.when(i > 0, F.get(runs, i - 1)["start"] + F.get(runs, i - 1)["length"]).otherwise(0)
+    told = F.flatten(F.transform(runs, lambda r, i: F.array(r["start"] - end(i), r["length"])))
+    rest = n - end(F.size(runs))
+    return F.when(runs.isNull(), F.array(n)).otherwise(F.concat(told, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, pieces: int = 128) -> DataFrame:
@@ -89,15 +89,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, pieces: int = 128) -> Data
     results. Other columns pass through unless they bear the name of one that is added; such a column is replaced.
     """
     own = [c for c in docs.columns if c not in ("text", "kept_text", "n_lines", "n_dropped", "keep_bitmap")]
-    held = docs.select(F.struct(*own).alias("own"), F.col("doc_id").alias("id"), split_lines(text_of()).alias("lines"), F.xxhash64(text_of()).alias("hash"))
-    joined = held.join(drop_runs(docs.select("doc_id", "text"), min_chars, pieces), (F.col("id") == F.col("doc")) & (F.col("hash") == F.col("text_hash")), "left")
-    n = F.size("lines")
+    held = docs.select(F.struct(*own).alias("own"), F.col("doc_id").alias("id"), text_of().alias("whole"), F.xxhash64(text_of()).alias("hash"))
+    # Texts that lose nothing are counted, not cut into lines.
+    joined = held.join(drop_runs(docs.select("doc_id", "text"), min_chars, pieces), (F.col("id") == F.col("doc")) & (F.col("hash") == F.col("text_hash")), "left").withColumn("lines", F.when(F.col("runs").isNotNull(), split_lines(F.col("whole"))))
+    n = F.length("whole") - F.length(F.replace(F.col("whole"), F.lit("\n"))) + 1
     lost = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), lost), lambda i: F.get(F.col("lines"), i))
     made = joined.select(
         "own",
-        F.array_join("lines", "\n").alias("text"),
-        F.array_join(F.when(F.col("runs").isNull(), F.col("lines")).otherwise(kept), "\n").alias("kept_text"),
+        F.col("whole").alias("text"),
+        F.when(F.col("runs").isNull(), F.col("whole")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         n.cast("long").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         keep_bitmap(F.col("runs"), n).alias("keep_bitmap"),

@@ -490,3 +490,27 @@ def test_pieces_of_all_segmentations(spark, monkeypatch):
         assert len({tuple(ids) for ids in r["segmentations"]}) == r["n_best"]
         assert all(model.decode(ids) == r["decoded"] for ids in r["segmentations"]) and r["round_trip"] == (r["decoded"] == (text or "")) == (k != 25)
         assert hashlib.sha256(np.array(r["segmentations"][0], np.int32).tobytes()).hexdigest() == r["ids_sha256"]
+
+
+def test_every_width_is_searched_by_itself(spark):
+    make = np.random.default_rng(5)
+    data = [(k, make.standard_normal(16 if k % 3 else 7).tolist()) for k in range(900)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("width", "chunk", "copy")})
+    got: dict[int, list] = {}
+    for r in collision_ann.search(df, F.col("vec_id") % 50 == 0, block_rows=200, query_rows=7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = 0
+    assert sorted(got) == list(range(0, 900, 50))
+    for q, found in got.items():
+        v = np.array(data[q][1])
+        score = {k: float(v @ np.array(x) / np.linalg.norm(v) / np.linalg.norm(x)) for k, x in data if len(x) == len(v) and k != q}
+        assert [f[0] for f in sorted(found)] == [1, 2, 3, 4, 5] and all(abs(score[i] - s) < 1e-12 for _, i, s in found)
+        hit += len({i for _, i, _ in found} & set(sorted(score, key=lambda k: (-score[k], k))[:5]))
+    assert hit >= 0.9 * 5 * len(got)
+
+
+def test_keep_bitmaps_of_many_runs(spark):
+    lines = [f"a line that repeats {k}" if k % 2 else f"own line {k}" for k in range(3000)]
+    first = "\n".join(f"a line that repeats {k}" for k in range(1, 3000, 2))
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame([(1, first), (2, "\n".join(lines))], "doc_id long, text string")).collect()}
+    assert got[1]["keep_bitmap"] == [1500] and got[2]["keep_bitmap"] == [1] * 3000 and got[2]["kept_text"] == "\n".join(lines[::2])
