@@ -190,34 +190,57 @@ def _hashed_cover(distinct: DataFrame, length: int) -> DataFrame:
     return later.select("anchor", "r1", "r2", "is_first", "start", (F.col("start") + length).alias("end"))
 
 
+SPANS = "array<struct<start:long,end:long>>"
+
+
+def _merged(spans: list[dict]) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that some span covers."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted((s["start"], s["end"]) for s in spans):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
+def _without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    return b"".join(data[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(data)], strict=True))
+
+
 def _cut_out(held: DataFrame) -> DataFrame:
-    """held: doc_id, text, spans (start, end) -> what the query returns."""
+    """held: doc_id, text, spans (start, end) -> what the operator returns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
-                data, kept, end, n_spans, removed = text.encode("utf-8", "surrogatepass"), [], 0, 0, 0
-                top = None
-                for s in sorted((s["start"], s["end"]) for s in spans):
-                    if top is None or s[0] > top:
-                        kept.append(data[end : s[0]])
-                        n_spans += 1
-                        removed += s[1] - s[0]
-                        end = top = s[1]
-                    elif s[1] > top:
-                        removed += s[1] - top
-                        end = top = s[1]
-                kept.append(data[end:])
-                rows.append((doc, len(data), removed, n_spans, hashlib.sha256(b"".join(kept)).hexdigest()))
-            kinds = (*[pa.int64()] * 4, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return held.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                data, spans = text.encode("utf-8", "surrogatepass"), _merged(spans)
+                kept = hashlib.sha256(_without(data, spans)).hexdigest()
+                rows.append((doc, len(data), sum(b - a for a, b in spans), len(spans), kept, [{"start": a, "end": b} for a, b in spans]))
+            kinds = (*[pa.int64()] * 4, pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    return held.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {SPANS}")
+
+
+def kept_bytes(docs: DataFrame, repeats: DataFrame) -> DataFrame:
+    """doc_id and kept (the remaining bytes of the text) for every row of ``docs`` with an id, from what
+    ``remove_repeats`` found. A span may begin or end inside a character, so what is kept need not be UTF-8."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            kept = [_without(t.encode("utf-8", "surrogatepass"), [(s["start"], s["end"]) for s in own or []]) for t, own in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], ["doc_id", "kept"])
+
+    cut_texts = repeats.filter("n_spans > 0 and doc_id is not null").select(F.col("doc_id").alias("own_id"), "spans").dropDuplicates(["own_id"])
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return rows.join(cut_texts, F.col("doc_id") == F.col("own_id"), "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed runs of bytes, in order) of every row of ``docs``.
 
     Null texts are empty and lose nothing, as do texts shorter than ``length`` bytes. Rows with a null id take no part
     and keep all. Repeated rows are one document, its result repeated; ids should otherwise be unique (of different
@@ -255,11 +278,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     spans = cut(spans.groupBy("own_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     changed = _cut_out(prune(whole, "doc_id", key_bitmap(spans, "own_id")).join(spans, F.col("doc_id") == F.col("own_id")))
     empty = hashlib.sha256(b"").hexdigest()
-    emptied = copies.join(marks, ["doc_id", "sha256"]).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"))
+    emptied = copies.join(marks, ["doc_id", "sha256"]).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"))
     done = spans.select("own_id").union(copies.select("doc_id"))
-    rest = marks.join(done, marks["doc_id"] == done["own_id"], "left_anti").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"))
+    rest = marks.join(done, marks["doc_id"] == done["own_id"], "left_anti").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.array().cast(SPANS).alias("spans"))
     return changed.union(emptied).union(rest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir))
+    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.to_json("spans").alias("spans"))

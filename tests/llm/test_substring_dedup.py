@@ -43,8 +43,17 @@ def test_against_all_windows(spark, monkeypatch, most_regions):
     monkeypatch.setattr(substring_dedup, "MOST_REGIONS", most_regions)
     rows = corpus()
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, region string").repartition(3)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df).collect()}
+    found = substring_dedup.cut(substring_dedup.remove_repeats(df), "found")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found.collect()}
     assert got == plain(rows, 100)
+    # The spans themselves, and the bytes that they leave.
+    texts, left = {d: (t or "").encode() for d, t in rows}, {r["doc_id"]: bytes(r["kept"]) for r in substring_dedup.kept_bytes(df, found).collect()}
+    for r in found.collect():
+        spans, data = [tuple(s) for s in r["spans"]], texts[r["doc_id"]]
+        assert spans == sorted(spans) and len(spans) == r["n_spans"] and sum(b - a for a, b in spans) == r["n_removed"]
+        gone = {k for a, b in spans for k in range(a, b)}
+        assert left[r["doc_id"]] == bytes(c for k, c in enumerate(data) if k not in gone)
+        assert hashlib.sha256(left[r["doc_id"]]).hexdigest() == r["kept_sha256"]
 
 
 def test_empty_table_null_ids_and_repeated_rows(spark):
