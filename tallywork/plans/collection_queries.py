@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tallywork.functions import scalar as S
 from tallywork.operators import stats
 from tallywork.operators import text as X
+from tallywork.operators.order import numbered
 from tallywork.plans.catalogue import r6, register, table
+from tallywork.plans.statistics_queries import t_test_sql
 
 
 def _shown(items):
@@ -165,10 +167,9 @@ def now_is_one_instant(spark, d):
     "WITH n AS (SELECT n_nationkey, CASE WHEN n_regionkey > 0 THEN n_name END AS name FROM nation) SELECT n_nationkey, row_number() OVER (ORDER BY name NULLS FIRST, n_nationkey) AS up, row_number() OVER (ORDER BY name DESC NULLS LAST, n_nationkey) AS down FROM n",
 )
 def order_with_nulls(spark, d):
-    name = F.when(F.col("n_regionkey") > 0, F.col("n_name"))
-    # A dimension table; its rows are few.
-    at = lambda *o: F.row_number().over(Window.orderBy(*o, "n_nationkey")).cast("long")
-    return table(spark, d, "nation").withColumn("name", name).select("n_nationkey", at(F.asc("name")).alias("up"), at(F.desc("name")).alias("down"))
+    rows = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_regionkey") > 0, F.col("n_name")).alias("name"))
+    up = numbered(rows, F.asc("name"), F.asc("n_nationkey"), name="up")
+    return numbered(up, F.desc("name"), F.asc("n_nationkey"), name="down").select("n_nationkey", "up", "down")
 
 
 @register(
@@ -179,8 +180,8 @@ def order_with_nulls(spark, d):
 def order_by_text_date(spark, d):
     k = F.col("n_nationkey")
     born = F.concat(F.lit("199"), (k % 3).cast("string"), F.lit("-"), (k % 12 + 1).cast("string"), F.lit("-13"))
-    at = lambda c: F.row_number().over(Window.orderBy(c, "n_nationkey")).cast("long")
-    return table(spark, d, "nation").withColumn("born", born).select("n_nationkey", at(F.col("born")).alias("by_text"), at(F.to_date("born", "yyyy-M-d")).alias("by_date"))
+    rows = numbered(table(spark, d, "nation").withColumn("born", born), "born", "n_nationkey", name="by_text")
+    return numbered(rows, F.to_date("born", "yyyy-M-d"), F.asc("n_nationkey"), name="by_date").select("n_nationkey", "by_text", "by_date")
 
 
 @register(
@@ -264,7 +265,7 @@ def approximations(spark, d):
 def sentences_udtf(spark, d):
     """A table function over a lateral join."""
 
-    @F.udtf(returnType="k int, sentence string", useArrow=False)
+    @F.udtf(returnType="k int, sentence string", useArrow=True)
     class Sentences:
         def eval(self, text: str):
             for k, part in enumerate(p for p in (text or "").split(".") if p.strip(" ")):
@@ -274,10 +275,15 @@ def sentences_udtf(spark, d):
     return rows.lateralJoin(Sentences(F.col("text").outer())).select("conv_id", "turn", "k", "sentence")
 
 
-@register("mean_interval_discount_p")
+_MEAN = """m AS (SELECT count(l_discount) AS n, avg(l_discount) AS m, stddev_samp(l_discount) AS sd FROM lineitem),
+    s AS (SELECT (m - 0.05) / (sd / sqrt(n)) AS t, n - 1 AS dof, m AS estimate, sd / sqrt(n) AS se FROM m)"""
+
+
+@register("mean_interval_discount_p", t_test_sql(_MEAN))
 def mean_interval_discount_p(spark, d):
-    """Confidence interval of a mean; tests hold it against published values."""
-    return stats.t_test(stats.one_sample_t(table(spark, d, "lineitem"), "l_discount", 0.05), "mean")
+    """Test and confidence interval of a mean."""
+    tested = stats.t_test(stats.one_sample_t(table(spark, d, "lineitem"), "l_discount", 0.05), "mean")
+    return tested.withColumns({c: F.round(c, 6) for c in ("t", "p", "low", "high")})
 
 
 @register("messages_to_text", "SELECT doc_id, 'system: ' || lang || chr(10) || 'user: ' || source AS chat FROM documents")

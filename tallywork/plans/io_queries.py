@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallywork.operators.table import Constraints, ConstraintError, Table
@@ -41,9 +43,8 @@ def whole_files(spark, d):
     path = io.shared_path(spark, "files")
     table(spark, d, "region").select("r_regionkey", F.concat(F.col("r_name"), F.lit("\nx")).alias("value")).repartition("r_regionkey").write.partitionBy("r_regionkey").text(path)
     key = lambda c: F.regexp_extract(c, r"r_regionkey=(\d+)", 1).cast("long")
-    files = spark.read.option("recursiveFileLookup", True)
-    contents = files.text(path, wholetext=True).select(key(F.col("_metadata.file_path")).alias("r_regionkey"), F.length("value").cast("long").alias("n_chars"))
-    listed = files.format("binaryFile").load(path).select(key(F.col("path")).alias("r_regionkey"), (F.col("length") > 0).alias("listed"))
+    contents = io.read_whole(spark, path).select(key("path").alias("r_regionkey"), F.length("content").cast("long").alias("n_chars"))
+    listed = io.list_files(spark, path).select(key("path").alias("r_regionkey"), (F.col("length") > 0).alias("listed"))
     return contents.join(listed, "r_regionkey")
 
 
@@ -126,14 +127,15 @@ def constraint_errors(spark, d):
 @register("schemas_tables_views", "SELECT * FROM (VALUES ('schema', true, false), ('table', true, false), ('view', true, false)) t(kind, made, left_over)")
 def schemas_tables_views(spark, d):
     """A schema, a stored table and a view over it, each made, looked up and dropped."""
-    schema = f"tallywork_{spark.sparkContext.applicationId}".replace("-", "_")
-    known = {"schema": lambda: spark.catalog.databaseExists(schema), "table": lambda: spark.catalog.tableExists(f"{schema}.nations"), "view": lambda: spark.catalog.tableExists("tallywork_names")}
-    spark.sql(f"DROP SCHEMA IF EXISTS {schema} CASCADE")
+    mark = uuid.uuid4().hex
+    schema, view = f"tallywork_{mark}", f"tallywork_names_{mark}"
+    known = {"schema": lambda: spark.catalog.databaseExists(schema), "table": lambda: spark.catalog.tableExists(f"{schema}.nations"), "view": lambda: spark.catalog.tableExists(view)}
     spark.sql(f"CREATE SCHEMA {schema} LOCATION '{io.shared_path(spark, 'schema')}'")
-    table(spark, d, "nation").select("n_nationkey", "n_name").write.saveAsTable(f"{schema}.nations")
-    spark.sql(f"CREATE TEMPORARY VIEW tallywork_names AS SELECT n_name FROM {schema}.nations")
-    made = {kind: look() for kind, look in known.items()}
-    spark.sql("DROP VIEW tallywork_names")
-    spark.sql(f"DROP TABLE {schema}.nations")
-    spark.sql(f"DROP SCHEMA {schema}")
+    try:
+        table(spark, d, "nation").select("n_nationkey", "n_name").write.saveAsTable(f"{schema}.nations")
+        spark.sql(f"CREATE TEMPORARY VIEW {view} AS SELECT n_name FROM {schema}.nations")
+        made = {kind: look() for kind, look in known.items()}
+    finally:
+        spark.catalog.dropTempView(view)
+        spark.sql(f"DROP SCHEMA {schema} CASCADE")
     return spark.createDataFrame([(kind, made[kind], look()) for kind, look in known.items()], "kind string, made boolean, left_over boolean")

@@ -193,7 +193,7 @@ def _t_tail(t: str, dof: str) -> str:
     return f"(1 - CASE WHEN {dof} % 2 = 0 THEN {even} ELSE {odd} END)"
 
 
-def _t_test_sql(source: str, keys: str = "") -> str:
+def t_test_sql(source: str, keys: str = "") -> str:
     """SQL of a t-test over ``s`` (keys, t, dof, estimate, se): the quantile of each number of degrees by bisection."""
     return f"""WITH RECURSIVE {source},
     b AS (SELECT dof, 0.0::DOUBLE AS low, 100.0::DOUBLE AS high, 0 AS step FROM (SELECT DISTINCT dof FROM s WHERE dof > 0) UNION ALL
@@ -242,7 +242,7 @@ _POOLED = """r AS (SELECT quality AS g, n_chars::DOUBLE AS x FROM labels JOIN do
     s AS (SELECT (m1 - m2) / se AS t, dof, m1 - m2 AS estimate, se FROM w)"""
 
 
-@register("ttest_pooled_quality_p", _t_test_sql(_POOLED))
+@register("ttest_pooled_quality_p", t_test_sql(_POOLED))
 def ttest_pooled_quality_p(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return _rounded_test(stats.t_test(stats.pooled_t(rows, "n_chars", "quality", 0, 1), "diff"), "t", "p", "low", "high")
@@ -252,7 +252,7 @@ _SUPPLIER = """m AS (SELECT l_suppkey, count(l_discount) AS n, avg(l_discount) A
     s AS (SELECT l_suppkey, (m - 0.04) / (sd / sqrt(n)) AS t, n - 1 AS dof, m AS estimate, sd / sqrt(n) AS se FROM m WHERE sd > 0)"""
 
 
-@register("ttest_discount_by_supplier", _t_test_sql(_SUPPLIER, "l_suppkey,"))
+@register("ttest_discount_by_supplier", t_test_sql(_SUPPLIER, "l_suppkey,"))
 def ttest_discount_by_supplier(spark, d):
     """A test and an interval for every supplier, made on the executors."""
     tests = stats.t_test(stats.one_sample_t(table(spark, d, "lineitem"), "l_discount", 0.04, "l_suppkey"), "mean", "l_suppkey")

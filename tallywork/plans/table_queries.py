@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallywork.operators.order import numbered
 from tallywork.operators.table import Constraints, Table
 from tallywork.plans.catalogue import register, table
 
@@ -66,8 +67,4 @@ def param_lookup(spark, d):
 
 @register("order_by_name_desc", "SELECT row_number() OVER (ORDER BY n_name DESC) - 1 AS place, n_name FROM nation ORDER BY n_name DESC")
 def order_by_name_desc(spark, d):
-    from pyspark.sql import Window
-
-    # A dimension table; its rows are few.
-    at = F.row_number().over(Window.orderBy(F.desc("n_name"))).cast("long") - 1
-    return table(spark, d, "nation").select(at.alias("place"), "n_name").orderBy(F.desc("n_name"))
+    return numbered(table(spark, d, "nation").select("n_name"), F.desc("n_name"), name="place", first=0).select("place", "n_name").orderBy(F.desc("n_name"))

@@ -28,8 +28,8 @@ def read_lines(spark: SparkSession, path: str, names: Sequence[str], separator:
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file: path and content."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """One row for each file in a folder and those below it: path and content."""
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
@@ -44,7 +44,8 @@ def titled(paragraphs: DataFrame, column: str = "paragraph") -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    """One row for each file in a folder and those below it; contents aren't read."""
+    return spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path).select("path", "length", "modificationTime")
 
 
 def integers(spark: SparkSession, start: int, stop: int | None = None, step: int = 1) -> DataFrame:

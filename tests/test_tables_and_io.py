@@ -224,3 +224,13 @@ def test_a_second_writer_is_told_and_may_repeat(spark, tmp_path):
     assert not table_log.create_once(spark, table_log.note_path(path, 3), "x")
     with pytest.raises(FileNotFoundError):
         Table.open(spark, "none", str(tmp_path / "none"))
+
+
+def test_places_over_several_ranges(spark):
+    from tallywork.operators.order import numbered
+
+    rows = [(k, k * 7919 % 1000 // 3, None if k % 50 == 0 else f"n{k % 13}") for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, a long, b string").repartition(5)
+    got = [r["id"] for r in numbered(df, F.desc("a"), F.asc_nulls_last("b"), F.asc("id"), name="at", first=0).orderBy("at").collect()]
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (-r[1], r[2] is None, r[2] or "", r[0]))]
+    assert sorted(r["place"] for r in numbered(df, "a").collect()) == list(range(1, 1001)) and numbered(df.limit(0), "a").count() == 0
