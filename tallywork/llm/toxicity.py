@@ -1,15 +1,17 @@
 """Toxicity by weak supervision.
 
 Many weak voters look at each text: the words of a small lexicon, words and stems induced from labelled rows (a stem is
-a prefix, written ~stem, or ~~stem if several words of a text must have it), and patterns. A
-generative label model with a latent class estimates each voter's rates of voting in either class by expectation
-maximisation over the vote patterns of all documents, then the correlations of voters within a class; correlated
-voters count less. Its posteriors train a linear classifier, whose scores are calibrated on labelled rows.
+a prefix, written ~stem, or ~~stem if several words of a text must have it), and patterns. A generative label model with
+a latent class estimates the rates of the voters in either class by expectation maximisation over the vote patterns of
+all documents. Correlations within a class are modelled by a tree: of all pairs of voters those with the most mutual
+information, given the class, are linked, and a voter's rates depend on the vote of the one before it in the tree. The
+posteriors of the model are the labels of a linear classifier, whose scores are calibrated on labelled rows.
 
 Labels are learned only from rows outside the held-out fold (crc32 of the id as text, modulo 4, is 2). All statistics
-of votes cover all documents; only the labelled rows that induce words, start the label model and fit the classifier
-are a sample, bounded by ``sample_rows`` for each class. Both fits of the classifier weight its rows by the inverse
-share that was sampled of their class, so scores are calibrated to the classes of all labelled rows.
+of votes cover all documents. Two samples are bounded, both taken by hashes of ids: the labelled rows that induce words,
+start the label model and calibrate (``sample_rows`` for each class, weighted by the inverse of the share that was taken
+of their class), and the rows of all documents, labelled or not, whose posteriors the classifier is fitted to
+(``fit_rows``). Voters are as many as pass the tests of ``induced_terms``; the driver holds a number for each pair.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ class Voters:
         self.terms = {t: k for k, t in enumerate(terms) if t[0] != "~"}
         self.stems = {t.lstrip("~"): (k, MANY if t.startswith("~~") else 1) for k, t in enumerate(terms) if t[0] == "~"}
         self.lengths = sorted({len(t) for t in self.stems})
-        self.names = [*terms, *PATTERNS, "shout", "bangs", "leet", "one_term", "two_terms", "dense"]
+        self.names = [*terms, *PATTERNS, "shout", "bangs", "leet"]
         self.index = {n: k for k, n in enumerate(self.names)}
 
     def vote(self, text: str) -> tuple[np.ndarray, int, int]:
@@ -91,9 +93,6 @@ class Voters:
             votes[self.index[name]] = pattern.search(low) is not None
         votes[self.index["shout"]] = SHOUT.search(text) is not None
         votes[self.index["bangs"]] = BANGS.search(text) is not None
-        votes[self.index["one_term"]] = len(found) >= 1
-        votes[self.index["two_terms"]] = len(found) >= 2
-        votes[self.index["dense"]] = hits * 200 >= max(len(words), 1)
         return votes, hits, len(words)
 
 
@@ -115,12 +114,15 @@ def cast_votes(docs: DataFrame, voters: Voters, *keep: str) -> DataFrame:
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
-    """doc_id and toxic of the labelled documents outside the held-out fold."""
+    """doc_id and toxic of the labelled documents outside the held-out fold; of labels of both kinds toxic counts."""
     return labels.filter(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def class_weights(labels: DataFrame, rows: int) -> np.ndarray:
-    """For the clean and the toxic class, how many training documents each one in the sample stands for."""
+    """For the clean and the toxic class, how many training labels each one that was taken stands for.
+
+    This is the inverse of the share taken; labels without a document are missing from the sample in the same share.
+    """
     sizes = {int(r["toxic"]): r["n"] for r in training_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     return np.array([max(1.0, sizes.get(y, 0) / max(rows, 1)) for y in (0, 1)])
 
@@ -139,8 +141,11 @@ def grams(text: str) -> set[str]:
     return words | {"~" + t for t in stems} | {"~~" + t for t, n in stems.items() if n >= MANY}
 
 
-def induced_terms(sample: DataFrame, known: set[str], most: int, least_docs: int = 6, least_ratio: float = 15.0) -> list[str]:
-    """Words and stems that labelled toxic documents hold far more often than clean ones, at most ``most``."""
+def induced_terms(sample: DataFrame, known: set[str], least_docs: int = 4, least_ratio: float = 15.0, least_evidence: float = 20.0) -> list[str]:
+    """Words and stems that labelled toxic documents hold far more often than clean ones.
+
+    Tests: documents, the quotient of the two shares, and twice the log likelihood of the counts against equal shares.
+    """
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return []
@@ -157,38 +162,49 @@ def induced_terms(sample: DataFrame, known: set[str], most: int, least_docs: int
     each = sample.select("text", F.col("toxic").cast("int")).mapInArrow(words, "word string, good long, bad long")
     counts = each.groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     ratio = (F.col("bad") / sizes[1]) / ((F.col("good") + 0.5) / sizes[0])
-    rows = counts.filter((F.col("bad") >= least_docs) & (ratio >= least_ratio)).orderBy(F.desc("bad"), F.length("word"), "word").limit(20 * most).collect()
+    share = F.lit(sizes[1] / (sizes[0] + sizes[1]))
+    both = F.col("bad") + F.col("good")
+    evidence = 2 * (F.col("bad") * F.log(F.col("bad") / (both * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (both * (1 - share)))).otherwise(0.0))
+    kept_rows = counts.filter((F.col("bad") >= least_docs) & (ratio >= least_ratio)).filter(evidence >= least_evidence)
+    rows = kept_rows.orderBy(F.desc("bad"), F.length("word"), "word").collect()
     kept: list[str] = []
     for r in rows:  # a longer or shorter form of what is kept says the same
         bare = r["word"].lstrip("~")
         if not any(bare.startswith(x) or x.startswith(bare) for x in (*known, *(t.lstrip("~") for t in kept))):
             kept.append(r["word"])
-    return kept[:most]
+    return kept
 
 
-@dataclass
+@dataclass(frozen=True)
 class LabelModel:
-    """Rates of voting in each class, the share of the toxic class, and weights that discount correlated voters."""
+    """The share of the toxic class, and for each voter the one it depends on (-1: none) and its rates of voting by class
+    and by that one's vote; those of a voter that depends on none are the same for either."""
 
-    rates: np.ndarray
     prior: float
-    weights: np.ndarray
+    parent: np.ndarray
+    rates: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
+        before = np.where(self.parent >= 0, votes[:, np.maximum(self.parent, 0)], 0) == 1
+        odds = np.full(len(votes), math.log(self.prior / (1 - self.prior)))
         r = np.clip(self.rates, 1e-6, 1 - 1e-6)
-        each = np.where(votes == 1, np.log(r[1] / r[0]), np.log((1 - r[1]) / (1 - r[0])))
-        return 1 / (1 + np.exp(-np.clip(math.log(self.prior / (1 - self.prior)) + each @ self.weights, -40, 40)))
+        for sign, y in ((1, 1), (-1, 0)):
+            rate = np.where(before, r[y, 1], r[y, 0])
+            odds += sign * np.where(votes == 1, np.log(rate), np.log1p(-rate)).sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
 def unpack(votes: pd.Series, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(votes), np.uint8).reshape(len(votes), -1), axis=1)[:, :n] if len(votes) else np.zeros((0, n), np.uint8)
 
 
-def _sums(patterns: DataFrame, model: LabelModel, n: int, pairs: bool) -> dict[tuple[int, int], tuple[float, float]]:
-    """(j, k) -> expected counts of votes of j and k together in the clean and the toxic class; (-1, -1): of documents."""
+def _sums(patterns: DataFrame, model: LabelModel, n: int, pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts by class of documents (2), of votes (2, n), and of votes of two together (2, n, n): of all pairs,
+    or only of a voter and the one it depends on."""
+    parent = np.maximum(model.parent, 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two, total = np.zeros((2, n)), np.zeros((2, n, n)), np.zeros(2)
+        total, one, two = np.zeros(2), np.zeros((2, n)), np.zeros((2, n, n))
         for batch in batches:
             v = unpack(batch["votes"], n)
             p = model.posterior(v)
@@ -198,44 +214,117 @@ def _sums(patterns: DataFrame, model: LabelModel, n: int, pairs: bool) -> dict[t
                 one[y] += q @ v
                 if pairs:
                     two[y] += (v * q[:, None]).T @ v
-        rows = [(-1, -1, *total), *((j, -1, *one[:, j]) for j in range(n))]
-        if pairs:
-            rows += [(j, k, *two[:, j, k]) for j in range(n) for k in range(j + 1, n) if two[:, j, k].any()]
-        yield pd.DataFrame(rows, columns=["j", "k", "clean", "toxic"])
+                else:
+                    two[y, np.arange(n), parent] += q @ (v * v[:, parent])
+        at = np.argwhere(np.triu(two.any(axis=0), 1) if pairs else two.any(axis=0)).tolist()
+        yield pd.DataFrame([(-1, -1, *total), *((j, -1, *one[:, j]) for j in range(n)), *((j, k, *two[:, j, k]) for j, k in at)], columns=["j", "k", "clean", "toxic"])
 
+    total, one, two = np.zeros(2), np.zeros((2, n)), np.zeros((2, n, n))
     out = patterns.mapInPandas(run, "j int, k int, clean double, toxic double").groupBy("j", "k").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    return {(r["j"], r["k"]): (r["clean"], r["toxic"]) for r in out.collect()}
-
-
-def fit_label_model(patterns: DataFrame, seen: np.ndarray, labels: np.ndarray, n: int, rounds: int = 8) -> LabelModel:
-    """Expectation maximisation over all vote patterns, started and steadied by labelled votes (may be none)."""
+    for r in out.collect():
+        into = total if r["j"] < 0 else one[:, r["j"]] if r["k"] < 0 else two[:, r["j"], r["k"]]
+        into += (r["clean"], r["toxic"])
+        if pairs and r["k"] >= 0:
+            two[:, r["k"], r["j"]] = into
+    return total, one, two
+
+
+def dependence_tree(total: np.ndarray, one: np.ndarray, two: np.ndarray, least: float = 30.0) -> np.ndarray:
+    """For each voter the one it depends on, or -1: a forest of the pairs with the most mutual information given the
+    class. Pairs whose information times twice the documents is below ``least`` are taken as independent."""
+    n = one.shape[1]
+    information = np.zeros((n, n))
+    for y in (0, 1):
+        if total[y] < 1:
+            continue
+        a, b = (one[y] / total[y])[:, None], (one[y] / total[y])[None, :]
+        both = two[y] / total[y]
+        for joint, alone in ((both, a * b), (a - both, a * (1 - b)), (b - both, (1 - a) * b), (1 - a - b + both, (1 - a) * (1 - b))):
+            real = (joint > 1e-12) & (alone > 1e-12)
+            information += total[y] * np.where(real, joint * np.log(np.where(real, joint, 1.0) / np.where(real, alone, 1.0)), 0.0)
+    information[~two.any(axis=0)] = 0.0
+    j, k = np.nonzero(np.triu(2 * information >= least, 1))
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    linked: list[list[int]] = [[] for _ in range(n)]
+    for at in np.argsort(-information[j, k], kind="stable").tolist():
+        x, y = int(j[at]), int(k[at])
+        if find(x) != find(y):
+            root[find(x)] = find(y)
+            linked[x].append(y)
+            linked[y].append(x)
+    parent, seen = np.full(n, -1), set()
+    for start in range(n):
+        waiting = [] if start in seen else [start]
+        seen.add(start)
+        while waiting:
+            x = waiting.pop()
+            for y in linked[x]:
+                if y not in seen:
+                    seen.add(y)
+                    parent[y] = x
+                    waiting.append(y)
+    return parent
+
+
+def _estimated(parent: np.ndarray, start: np.ndarray, total: np.ndarray, one: np.ndarray, two: np.ndarray, strength: float, within: float = 5.0) -> LabelModel:
+    """The model that fits expected counts; rates lean on the labelled ones as on ``strength`` documents, and rates given
+    another's vote lean on the voter's own as on ``within``."""
+    alone = np.clip((one + strength * start) / (total[:, None] + strength), 1e-6, 1 - 1e-6)
+    rates, held = np.stack([alone, alone], axis=1), parent >= 0
+    of = np.maximum(parent, 0)
+    both = two[:, np.arange(len(parent)), of]
+    for vote, votes_of_parent, together in ((1, one[:, of], both), (0, total[:, None] - one[:, of], one - both)):
+        rates[:, vote] = np.where(held, (np.maximum(together, 0) + within * alone) / (np.maximum(votes_of_parent, 0) + within), alone)
+    prior = float(np.clip((total[1] + 1) / (total.sum() + 10), 1e-3, 0.9))
+    return LabelModel(prior, parent, np.clip(rates, 1e-6, 1 - 1e-6))
+
+
+def _first_model(start: np.ndarray, total: np.ndarray, one: np.ndarray, two: np.ndarray, close: float = 0.5) -> LabelModel:
+    """The model before any class is known: a tree of the voters that go together in all documents. One that mostly votes
+    as the one it depends on says nothing of the class beside it; the others start from their own rates."""
+    n, total, one, two = one.shape[1], total.sum(), one.sum(axis=0), two.sum(axis=0)
+    parent = dependence_tree(np.array([total, 0.0]), np.vstack([one, np.zeros(n)]), np.stack([two, np.zeros((n, n))]))
+    of, rates = np.maximum(parent, 0), np.stack([start, start], axis=1)
+    both, a, b = two[np.arange(n), of], one, one[of]
+    spread = np.sqrt(np.maximum(a * (total - a) * b * (total - b), 1e-9))
+    repeats = (parent >= 0) & ((total * both - a * b) / spread > close)
+    for vote, given in ((1, (both + 0.5) / (b + 1)), (0, (a - both + 0.5) / (total - b + 1))):
+        rates[:, vote] = np.where(repeats, given, rates[:, vote])
+    return LabelModel(0.1, parent, rates)
+
+
+def fit_label_model(patterns: DataFrame, seen: np.ndarray, labels: np.ndarray, n: int, rounds: int = 6, tree_rounds: int = 3, correlated: bool = True) -> LabelModel:
+    """Expectation maximisation over all vote patterns, started and steadied by labelled votes (may be none).
+
+    It begins with the tree of voters that go together at all, else voters that repeat each other would be taken for the
+    class; then the tree is made anew from what goes together within the classes. ``correlated`` False leaves voters
+    independent.
+    """
     strength = 200.0
     start = np.vstack([np.full(n, 0.01), np.full(n, 0.2)])
     for y in (0, 1):
         if (labels == y).any():
             own = seen[labels == y]
             start[y] = (own.sum(axis=0) + start[y]) / (len(own) + 1)
-    model = LabelModel(np.clip(start, 1e-4, 1 - 1e-4), 0.1, np.ones(n))
+    start = np.clip(start, 1e-4, 1 - 1e-4)
+    model = LabelModel(0.1, np.full(n, -1), np.stack([start, start], axis=1))
+    if correlated:
+        model = _first_model(start, *_sums(patterns, model, n, pairs=True))
     for _ in range(rounds):
-        sums = _sums(patterns, model, n, pairs=False)
-        total = np.array(sums.get((-1, -1), (0.0, 0.0)))
-        one = np.array([sums.get((j, -1), (0.0, 0.0)) for j in range(n)]).T
-        model = LabelModel(np.clip((one + strength * start) / (total[:, None] + strength), 1e-6, 1 - 1e-6), float(np.clip((total[1] + 1) / (total.sum() + 10), 1e-3, 0.9)), model.weights)
-    sums = _sums(patterns, model, n, pairs=True)
-    total = np.array(sums.get((-1, -1), (0.0, 0.0)))
-    linked = np.zeros(n)
-    for (j, k), both in sums.items():
-        if k < 0:
-            continue
-        rho = 0.0
-        for y in (0, 1):
-            a, b = model.rates[y, j], model.rates[y, k]
-            spread = math.sqrt(a * (1 - a) * b * (1 - b))
-            if total[y] > 0 and spread > 1e-9:
-                rho = max(rho, min(1.0, (both[y] / total[y] - a * b) / spread))
-        linked[j] += rho
-        linked[k] += rho
-    return LabelModel(model.rates, model.prior, 1 / (1 + linked))
+        model = _estimated(model.parent, start, *_sums(patterns, model, n, pairs=False), strength)
+    if correlated:
+        sums = _sums(patterns, model, n, pairs=True)
+        model = _estimated(dependence_tree(*sums), start, *sums, strength)
+        for _ in range(tree_rounds):
+            model = _estimated(model.parent, start, *_sums(patterns, model, n, pairs=False), strength)
+    return model
 
 
 def features(votes: np.ndarray, hits: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -255,41 +344,44 @@ def fit_logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: f
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 4000, most_induced: int = 60) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 4000, fit_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``.
 
     Null and empty texts get the score of a text without votes. Rows with a null id count as held out. Repeated rows
-    pass through; other columns are not read. Without labels the lexicon alone starts the label model and the posterior
+    pass through; other columns are not read. Without labels the lexicon alone starts the label model and the classifier
     is not calibrated.
     """
     sample = cut(labelled_sample(docs, labels, sample_rows), "toxicity-sample")
-    voters = Voters([*LEXICON, *induced_terms(sample, set(LEXICON), most_induced)])
+    voters = Voters([*LEXICON, *induced_terms(sample, set(LEXICON))])
     n = len(voters.names)
     cast = cut(cast_votes(docs, voters), "toxicity-votes")
     patterns = cut(cast.groupBy("votes").agg(F.count("*").alias("count")), "toxicity-patterns")
     known = cast_votes(sample, voters, "toxic").toPandas()
     seen, truth = unpack(known["votes"], n), known["toxic"].to_numpy(float)
     model = fit_label_model(patterns, seen, truth, n)
-    if len(known):
-        x = features(seen, known["hits"].to_numpy(), known["n_words"].to_numpy())
-        stands_for = class_weights(labels, sample_rows)[truth.astype(int)]
-        weights = fit_logistic(x, model.posterior(seen), stands_for)
-        raw = np.column_stack([x @ weights, np.ones(len(x))])
-        scale = fit_logistic(raw, truth, stands_for, ridge=0.01) if len(set(truth)) == 2 else np.array([1.0, 0.0])
+    # Rows of all documents by a hash of the id: about fit_rows of them, or all.
+    total = cast.count()
+    taken = cast if total <= fit_rows else cast.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(fit_rows / total * (1 << 30)))
+    some = taken.select("votes", "hits", "n_words").groupBy("votes", "hits", "n_words").agg(F.count("*").alias("count")).toPandas()
+    weights = scale = None
+    if len(some):
+        votes = unpack(some["votes"], n)
+        weights = fit_logistic(features(votes, some["hits"].to_numpy(), some["n_words"].to_numpy()), model.posterior(votes), some["count"].to_numpy(float))
+        scale = np.array([1.0, 0.0])
+    if weights is not None and len(set(truth)) == 2:
+        raw = np.column_stack([features(seen, known["hits"].to_numpy(), known["n_words"].to_numpy()) @ weights, np.ones(len(seen))])
+        scale = fit_logistic(raw, truth, class_weights(labels, sample_rows)[truth.astype(int)], ridge=0.01)
         scale[0] = max(scale[0], 1e-3)
-    else:
-        weights = scale = None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             v = unpack(batch["votes"], n)
-            if weights is None:
-                score = model.posterior(v)
-            else:
-                z = scale[0] * (features(v, batch["hits"].to_numpy(), batch["n_words"].to_numpy()) @ weights) + scale[1]
-                score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            z = scale[0] * (features(v, batch["hits"].to_numpy(), batch["n_words"].to_numpy()) @ weights) + scale[1]
+            score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score, "predicted": (score >= threshold).astype("int32")})
 
+    if weights is None:  # no documents
+        return cast.select("doc_id", held_out().alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     scored = cast.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, score double, predicted int")
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "score", "predicted").select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
