@@ -48,6 +48,15 @@ def whole_files(spark, d):
     return contents.join(listed, "r_regionkey")
 
 
+@register("titled_paragraphs", "SELECT c_name AS title, 'segment: ' || c_mktsegment || chr(10) || 'key: ' || c_custkey AS body FROM customer")
+def titled_paragraphs(spark, d):
+    """Records as paragraphs between blank lines, written to files and read back as titles and bodies."""
+    path = io.shared_path(spark, "paragraphs")
+    record = F.format_string("%s\nsegment: %s\nkey: %d", "c_name", "c_mktsegment", "c_custkey")
+    table(spark, d, "customer").select(record.alias("value")).write.option("lineSep", "\n\n").text(path)
+    return io.titled(io.read_paragraphs(spark, path))
+
+
 @register("integer_ranges", "SELECT 'down' AS kind, range AS n FROM range(10, 0, -3) UNION ALL SELECT 'step', range FROM range(2, 9, 3) UNION ALL SELECT 'plain', range FROM range(4)")
 def integer_ranges(spark, d):
     kinds = {"down": io.integers(spark, 10, 0, -3), "step": io.integers(spark, 2, 9, 3), "plain": io.integers(spark, 4)}
