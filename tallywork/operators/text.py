@@ -156,10 +156,15 @@ def messages(*pairs: tuple[str, Column]) -> Column:
     return F.array(*(F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in pairs))
 
 
+def term_slot(word: Column, width: int) -> Column:
+    """The place of a word in a hashed vector: the first 32 bits of its MD5 digest, modulo the width."""
+    return F.pmod(F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(width)).cast("int")
+
+
 def term_vectors(df: DataFrame, key: str, text: str = "text", width: int = 64) -> DataFrame:
     """Hashed term frequencies of unit length: a stand-in for an embedding model that needs no network."""
     words = df.select(key, F.explode(F.split(F.lower(F.col(text)), r"\W+")).alias("w")).filter("w <> ''")
-    counts = words.groupBy(key, F.pmod(F.xxhash64("w"), F.lit(width)).cast("int").alias("slot")).agg(F.count("*").cast("double").alias("n"))
+    counts = words.groupBy(key, term_slot(F.col("w"), width).alias("slot")).agg(F.count("*").cast("double").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
     rows = counts.withColumn("x", F.col("n") / norm).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"))
     return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))

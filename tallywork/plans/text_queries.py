@@ -99,9 +99,15 @@ def topk_similarity(spark, d):
     return X.most_similar(table(spark, d, "embeddings"), _POINT).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@register("term_vectors")
+@register(
+    "term_vectors",
+    r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\W+')) AS w FROM documents),
+    n AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS INT) AS slot, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL)
+    SELECT doc_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS x FROM n""",
+)
 def term_vectors(spark, d):
-    return X.term_vectors(table(spark, d, "documents"), "doc_id")
+    vectors = X.term_vectors(table(spark, d, "documents"), "doc_id")
+    return vectors.select("doc_id", F.posexplode("vector").alias("slot", "x")).filter("x > 0").select("doc_id", "slot", F.round("x", 6).alias("x"))
 
 
 @register(

@@ -113,11 +113,11 @@ def test_late_rows_are_dropped_and_closed_windows_are_emitted_once(spark, tmp_pa
 
 
 def test_term_vectors_against_plain_counts(spark):
-    from tallywork.operators.text import term_vectors
+    from tallywork.operators.text import term_slot, term_vectors
 
     df = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, "")], "k long, text string")
     got = {r["k"]: r["vector"] for r in term_vectors(df, "k").collect()}
-    slot = {r["w"]: r["s"] for r in spark.createDataFrame([("a",), ("b",)], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(64)).alias("s")).collect()}
+    slot = {r["w"]: r["s"] for r in spark.createDataFrame([("a",), ("b",)], "w string").select("w", term_slot(F.col("w"), 64).alias("s")).collect()}
     want = {1: [0.0] * 64, 2: [0.0] * 64}
     for k, w, n in ((1, "a", 2), (1, "b", 1), (2, "b", 1)):
         want[k][slot[w]] += n
