@@ -91,10 +91,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, pieces: int = 128) -> Data
     own = [c for c in docs.columns if c not in ("text", "kept_text", "n_lines", "n_dropped", "keep_bitmap")]
     held = docs.select(F.struct(*own).alias("own"), F.col("doc_id").alias("id"), text_of().alias("whole"), F.xxhash64(text_of()).alias("hash"))
     # Texts that lose nothing are counted, not cut into lines.
-    joined = held.join(drop_runs(docs.select("doc_id", "text"), min_chars, pieces), (F.col("id") == F.col("doc")) & (F.col("hash") == F.col("text_hash")), "left").withColumn("lines", F.when(F.col("runs").isNotNull(), split_lines(F.col("whole"))))
+    joined = held.join(drop_runs(docs.select("doc_id", "text"), min_chars, pieces), (F.col("id") == F.col("doc")) & (F.col("hash") == F.col("text_hash")), "left")
     n = F.length("whole") - F.length(F.replace(F.col("whole"), F.lit("\n"))) + 1
     lost = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), lost), lambda i: F.get(F.col("lines"), i))
+    left = F.array_except(F.sequence(F.lit(0), n - 1), lost)
+    # The lines are bound to a name: inlined, they would be cut anew for every line that is kept.
+    kept = F.get(F.transform(F.array(F.struct(split_lines(F.col("whole")).alias("lines"), left.alias("left"))), lambda s: F.transform(s["left"], lambda i: F.get(s["lines"], i))), F.lit(0))
     made = joined.select(
         "own",
         F.col("whole").alias("text"),
