@@ -67,7 +67,8 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: The first and the last stage are no SQL; tests compare run() with a plain version.
+#: The first and the last stage are no SQL; tests hold which documents stay against cases planted in a small table, and
+#: line dedup and decontamination against their SQL.
 ORACLE_SQL = None
 
 
