@@ -11,7 +11,6 @@ Documents are independent: nothing is shuffled, and a worker holds the words of
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
