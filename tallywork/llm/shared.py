@@ -51,12 +51,16 @@ def drop(*tables: DataFrame) -> None:
 
 
 def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size (2 ** BITMAP_BITS bits) that marks the low bits of the keys.
+    """A bitmap of fixed size (2 ** BITMAP_BITS bits) that marks the keys, each by its low bits and by those above them.
 
-    It only spares rows the way to a join that would drop them: where many keys fill it, it spares fewer.
+    It only spares rows the way to a join that would drop them: where many keys fill it, it spares fewer. Two marks for
+    each key let the share of rows that pass for nothing grow with the square of how full it is; small whole numbers all
+    have the same second mark.
     """
-    slot = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    words = keys.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    low = F.lit((1 << BITMAP_BITS) - 1)
+    slots = F.array(F.col(column).bitwiseAND(low), F.shiftright(column, BITMAP_BITS).bitwiseAND(low))
+    marks = keys.select(F.explode(slots).alias("slot"))
+    words = marks.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     for r in words.collect():
         out[r["word"]] = r["bits"]
@@ -65,8 +69,10 @@ def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
 
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the keys the bitmap marks."""
-    slot = keys & ((1 << BITMAP_BITS) - 1)
-    return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+    found = np.ones(len(keys), bool)
+    for slot in (keys & ((1 << BITMAP_BITS) - 1), (keys >> BITMAP_BITS) & ((1 << BITMAP_BITS) - 1)):
+        found &= (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+    return found
 
 
 def prune(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
