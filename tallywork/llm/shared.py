@@ -69,12 +69,16 @@ def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
 
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the keys the bitmap marks."""
-    found = np.ones(len(keys), bool)
-    for slot in (keys & ((1 << BITMAP_BITS) - 1), (keys >> BITMAP_BITS) & ((1 << BITMAP_BITS) - 1)):
-        found &= (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+    found = _marks(bits, keys & ((1 << BITMAP_BITS) - 1))
+    near = np.flatnonzero(found)
+    found[near] = _marks(bits, (keys[near] >> BITMAP_BITS) & ((1 << BITMAP_BITS) - 1))
     return found
 
 
+def _marks(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 6] >> (slots & 63)) & 1 == 1
+
+
 def prune(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
     """Rows whose (not null, long) key the bitmap marks."""
 
