@@ -132,9 +132,9 @@ def format_whole_numbers(spark, d):
 )
 def format_decimals(spark, d):
     x = F.col("c_acctbal").cast("double")
-    shown = {"wide": "%10.2f", "zeros": "%010.2f", "signed_wide": "%+10.2f", "signed_zeros": "%+010.2f"}
-    sign_left = S.signed_padded(F.format_string("%.2f", x), 10)
-    return table(spark, d, "customer").select("c_custkey", *(F.format_string(f, x).alias(k) for k, f in shown.items()), sign_left.alias("sign_left"), F.format_string("%.1f", F.col("c_custkey").cast("double")).alias("short"))
+    shown = {"wide": S.fixed(x, 2, 10), "zeros": S.fixed(x, 2, 10, zeros=True), "signed_wide": S.fixed(x, 2, 10, plus=True), "signed_zeros": S.fixed(x, 2, 10, plus=True, zeros=True)}
+    shown |= {"sign_left": S.signed_padded(S.fixed(x, 2), 10), "short": S.fixed(F.col("c_custkey").cast("double"), 1)}
+    return table(spark, d, "customer").select("c_custkey", *(c.alias(k) for k, c in shown.items()))
 
 
 @register("half_even_rounding", "SELECT p_partkey, round_even(p_size / 2.0, 0) AS half_even, round(p_size / 2.0) AS half_up FROM part")
@@ -146,7 +146,7 @@ def half_even_rounding(spark, d):
 @register("circles", "SELECT p_partkey, round(CAST(2 * 3.14 * p_size AS DOUBLE), 6) AS circumference, round(CAST(3.14 * p_size * p_size AS DOUBLE), 6) AS area, printf('%.2f', CAST(4 * 3.14159 AS DOUBLE) * p_size * p_size) AS sphere_area FROM part")
 def circles(spark, d):
     r = F.col("p_size").cast("double")
-    return table(spark, d, "part").select("p_partkey", r6(F.lit(2 * 3.14) * r, "circumference"), r6(F.lit(3.14) * r * r, "area"), F.format_string("%.2f", F.lit(4 * 3.14159) * r * r).alias("sphere_area"))
+    return table(spark, d, "part").select("p_partkey", r6(F.lit(2 * 3.14) * r, "circumference"), r6(F.lit(3.14) * r * r, "area"), S.fixed(F.lit(4 * 3.14159) * r * r, 2).alias("sphere_area"))
 
 
 @register("clock_parts", "SELECT event_id, CAST(hour(ts) AS INT) AS hh, CAST(minute(ts) AS INT) AS mi, CAST(floor(second(ts)) AS INT) AS ss, date_diff('day', CAST(ts AS DATE), DATE '2030-01-01') AS days_left FROM events")

@@ -51,7 +51,7 @@ def string_toolkit(spark, d):
 )
 def format_numbers(spark, d):
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
-    return table(spark, d, "orders").select("o_orderkey", F.format_string("%04d", k).alias("padded"), F.format_string("%+d", k).alias("signed"), F.format_string("%,d", k).alias("grouped"), F.format_string("%.2f", p).alias("price"), F.format_string("%012.2f", p).alias("wide"))
+    return table(spark, d, "orders").select("o_orderkey", F.format_string("%04d", k).alias("padded"), F.format_string("%+d", k).alias("signed"), F.format_string("%,d", k).alias("grouped"), S.fixed(p, 2).alias("price"), S.fixed(p, 2, 12, zeros=True).alias("wide"))
 
 
 @register("char_repeat", "SELECT n_nationkey, list_aggregate(list_transform(string_split(n_name, ''), lambda c: repeat(c, 3)), 'string_agg', '') AS repeated FROM nation")
