@@ -32,3 +32,9 @@ def test_format_decimals_against_sql_on_odd_balances(spark, tmp_path):
     want = con.execute(catalogue.oracle_sql()["format_decimals"]).fetchall()
     got = catalogue.queries()["format_decimals"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_approximations_keep_no_sketch_for_each_key(spark, sf_dir):
+    plan = catalogue.queries()["approximations"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if re.search(r"Aggregate\(keys?=\[l_orderkey", line)]
+    assert lines and not any("percentile_approx" in line or "approx_count_distinct" in line for line in lines)
