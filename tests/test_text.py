@@ -72,6 +72,19 @@ def test_index_search_against_scores_of_all_keys(spark, tmp_path):
     same_ranks(found, brute_search(texts, queries[:3], 1000))
 
 
+def test_index_shuffles_no_single_postings(spark, tmp_path):
+    pick = random.Random(11)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(pick.paretovariate(0.6)) % 500}" for _ in range(40))) for k in range(600)], "id long, text string")
+    queries = spark.createDataFrame([(k, " ".join(f"w{int(pick.paretovariate(0.6)) % 500}" for _ in range(30))) for k in range(40)], "qid long, text string")
+    index = TextIndex.build(docs, "id", "text", str(tmp_path / "index"))
+    terms = index._query_terms(queries, "qid", "text").withColumn("open", F.lit(True))
+    summed = index._summed(terms, 4)
+    summed.collect()
+    plan = summed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Blocks are dealt by range; no posting of a query is.
+    assert re.search(r"Exchange hashpartitioning\(range#", plan) and not re.search(r"Exchange hashpartitioning\(q#\w+, (range|k)#", plan)
+
+
 def test_index_of_an_empty_table(spark, tmp_path):
     none = spark.createDataFrame([], "id long, text string")
     TextIndex.build(none, "id", "text", str(tmp_path / "none"))
