@@ -121,3 +121,11 @@ def test_a_hot_template_window(spark):
     docs = [(k, f"how many apples does Bob have after he sells {k} of them") for k in range(2000)] + [(5000, item), (5001, item.replace("3", "9").replace("Ann", "Eve"))]
     got = D.contaminated(spark.createDataFrame(docs, SCHEMA.format("doc")), spark.createDataFrame([(1, item)], SCHEMA.format("item")))
     assert sorted((r["doc_id"], r["n_changed"]) for r in got.collect()) == [(5000, 0), (5001, 2)]
+
+
+def test_long_runs_of_names_and_of_numbers(spark):
+    item = "the cat sits near 1,22,1 and looks at Ann while the sun is up"
+    names = " ".join(["Bob", "Eve Cat"] * 30_000)
+    docs = [(1, f"{item} {names}. {item}"), (2, f"see 3 KG {names} {item}"), (3, f"{'1,22,' * 60_000}1 {item}"), (4, item.replace("1,22,1", "7," * 60_000 + "7").replace("Ann", names)), (5, names)]
+    got = D.contaminated(spark.createDataFrame(docs, SCHEMA.format("doc")), spark.createDataFrame([(1, item), (2, "the cat")], SCHEMA.format("item")))
+    assert {tuple(r) for r in got.select("doc_id", "item_id", "n_windows", "n_matched", "n_slots", "n_changed").collect()} == plain(docs, [(1, item), (2, "the cat")])
