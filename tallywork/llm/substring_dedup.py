@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywork.llm.byte_words import chunks, column_bytes
 from tallywork.llm.shared import cut, documents, key_bitmap, marked, prune, text_of
 from tallywork.llm.shingles import _power, mix
-from tallywork.llm.suffix_array import common_prefixes, suffix_array, words_at
+from tallywork.llm.suffix_array import new_prefixes, suffix_array, words_at
 
 QUERY = "op1_suffix_array_dedup"
 ORACLE_SQL = None
@@ -61,7 +62,9 @@ def anchors(text: bytes, length: int, grain: int = GRAIN) -> tuple[np.ndarray, n
         step = min(have, width - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    at, begins, counts = np.unique((least & low).astype(np.int64), return_index=True, return_counts=True)
+    at = (least & low).astype(np.int64)  # never falls from one window to the next
+    begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    at, counts = at[begins], np.diff(np.append(begins, len(at)))
     return hashes[at], at, begins, counts
 
 
@@ -92,77 +95,88 @@ def _anchor_rows(texts: DataFrame, length: int, only: np.ndarray | None = None)
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, anchor long, begin long, count long, place long")
 
 
+def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all stretches one after another, and their bounds."""
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+    return data[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], ends - starts)], bounds
+
+
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+
+
 def _regions(held: DataFrame, length: int) -> DataFrame:
     """held: doc_id, text, places (anchor, begin, count) -> a row for each place with its region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows = []
-                for doc, text, places in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
-                    data = text.encode("utf-8", "surrogatepass")
-                    rows += [(p["anchor"], doc, p["begin"], data[p["begin"] : p["begin"] + p["count"] - 1 + length]) for p in places]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["anchor", "doc_id", "begin", "region"])
+            docs, places = batch.column("doc_id").to_numpy(), batch.column("places")
+            for first, end, data, bounds in chunks(batch.column("text")):
+                own = places.slice(first, end - first)
+                text = np.repeat(np.arange(end - first), own.value_lengths().to_numpy())
+                anchor, begin, count = (c.to_numpy() for c in own.flatten().flatten())
+                starts = np.minimum(bounds[text] + begin, bounds[text + 1])
+                regions = _binary(*_gathered(data, starts, np.minimum(starts + count - 1 + length, bounds[text + 1])))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(docs[first:end][text]), pa.array(begin), regions], ["anchor", "doc_id", "begin", "region"])
 
     return held.select("doc_id", "text", "places").mapInArrow(run, "anchor long, doc_id long, begin long, region binary")
 
 
-def covered(regions: list[bytes], docs: np.ndarray, begins: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(index of a region, start, end within it) of what is covered by strings that start earlier in another place."""
-    sizes = np.array([len(r) + 1 for r in regions])
-    text = np.frombuffer(b"".join(r + bytes([END]) for r in regions), np.uint8)
+def covered(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of a region, start and end within it of what is covered by strings that start earlier in another place.
+
+    Regions lie one after another in ``data``, each followed by END; docs and begins tell their places."""
+    sizes, starts, text = np.diff(bounds), bounds[:-1], data
     words = words_at(text)
-    of = np.repeat(np.arange(len(regions)), sizes)
-    starts = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(sizes)), sizes)
     whole = (starts + sizes - 1)[of] - np.arange(len(text)) >= length  # where a string of ``length`` begins
     array = suffix_array(text, words, length, whole)
     array = array[whole[array]]
     if not len(array):
-        return []
-    new = common_prefixes(array, words, length) < length
-    rank = np.unique(docs, return_inverse=True)[1][of[array]]
+        return (np.zeros(0, np.int64),) * 3
+    new = new_prefixes(array, words, length)
     place = begins[of[array]] + array - starts[of[array]]
-    earliest = np.lexsort((place, rank, np.cumsum(new)))
-    heads = earliest[np.flatnonzero(new)]  # runs keep their slots
-    group = np.cumsum(new) - 1
-    later = (rank != rank[heads][group]) | (place != place[heads][group])
-    hit = np.sort(array[later])
+    place += np.unique(docs, return_inverse=True)[1][of[array]] * (place.max() + 1)
+    earliest = np.minimum.reduceat(place, np.flatnonzero(new))
+    hit = np.sort(array[place != earliest[np.cumsum(new) - 1]])
     if not len(hit):
-        return []
+        return (np.zeros(0, np.int64),) * 3
     apart = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (of[hit[1:]] != of[hit[:-1]])])
-    last = np.concatenate([np.flatnonzero(apart)[1:] - 1, [len(hit) - 1]])
-    return [(int(of[a]), int(a - starts[of[a]]), int(b - starts[of[b]] + length)) for a, b in zip(hit[apart], hit[last], strict=True)]
+    first, last = hit[apart], hit[np.append(np.flatnonzero(apart)[1:] - 1, len(hit) - 1)]
+    return of[first], first - starts[of[first]], last - starts[of[last]] + length
 
 
 def _sorted_cover(distinct: DataFrame, length: int) -> DataFrame:
     """distinct: anchor, r1, r2, region, first and last (doc_id, begin) -> r1, r2, anchor, is_first, start, end."""
 
-    def flush(rows: list[dict]) -> pa.RecordBatch:
-        texts, docs, begins, made = [], [], [], []
-        for r in rows:
-            for is_first in (True, False)[: 1 + (r["first"] != r["last"])]:
-                place = r["first"] if is_first else r["last"]
-                texts.append(r["region"])
-                docs.append(place["doc_id"])
-                begins.append(place["begin"])
-                made.append((r["anchor"], r["r1"], r["r2"], is_first))
-        found = covered(texts, np.array(docs), np.array(begins), length)
-        columns = [pa.array([made[k][j] for k, _, _ in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([a for _, a, _ in found], pa.int64()), pa.array([b for _, _, b in found], pa.int64())], ["anchor", "r1", "r2", "is_first", "start", "end"])
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        (first_doc, first_begin), (last_doc, last_begin) = ([c.to_numpy() for c in rows.column(k).flatten()] for k in ("first", "last"))
+        data, bounds = column_bytes(rows.column("region"))
+        of = np.repeat(np.arange(rows.num_rows), 1 + ((first_doc != last_doc) | (first_begin != last_begin)))
+        is_first = np.concatenate([[True], of[1:] != of[:-1]])
+        # With a byte more for each, which becomes its end.
+        text, own = _gathered(np.append(data, np.uint8(END)), bounds[of], bounds[of + 1] + 1)
+        text[own[1:] - 1] = END
+        found, start, end = covered(text, own, np.where(is_first, first_doc[of], last_doc[of]), np.where(is_first, first_begin[of], last_begin[of]), length)
+        keys = [rows.column(k).take(pa.array(of[found])) for k in ("anchor", "r1", "r2")]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(is_first[found]), pa.array(start), pa.array(end)], ["anchor", "r1", "r2", "is_first", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        held, size, last = [], 0, None
         for batch in batches:
-            for r in batch.to_pylist():
-                if size > SORT_BYTES and r["anchor"] != rows[-1]["anchor"]:
-                    yield flush(rows)
-                    rows, size = [], 0
-                rows.append(r)
-                size += 2 * len(r["region"])
-        if rows:
-            yield flush(rows)
+            if not batch.num_rows:
+                continue
+            anchor, bounds = batch.column("anchor").to_numpy(), column_bytes(batch.column("region"))[1]
+            new, at = np.flatnonzero(np.concatenate([[anchor[0] != last], anchor[1:] != anchor[:-1]])), 0
+            while len(new := new[size + 2 * (bounds[new] - bounds[at]) > SORT_BYTES]):
+                yield flush([*held, batch.slice(at, new[0] - at)])
+                held, size, at = [], 0, int(new[0])
+            held.append(batch.slice(at))
+            size += int(2 * (bounds[-1] - bounds[at]))
+            last = anchor[-1]
+        if held:
+            yield flush(held)
 
     schema = "anchor long, r1 long, r2 long, is_first boolean, start long, end long"
     return distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)

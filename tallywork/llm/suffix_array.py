@@ -34,7 +34,7 @@ def types(text: np.ndarray) -> np.ndarray:
 def sort_directly(starts: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """``starts`` in the order of their first ``depth`` bytes; only ties are compared further."""
     padded = np.concatenate([words, np.zeros(depth + 8, np.uint64)])
-    starts = starts[np.argsort(padded[starts], kind="stable")]
+    starts = starts[np.argsort(padded[starts])]
     new = np.concatenate([[True], padded[starts[1:]] != padded[starts[:-1]]]) if len(starts) else np.zeros(0, bool)
     for at in range(8, depth, 8):
         group = np.cumsum(new)
@@ -43,7 +43,11 @@ def sort_directly(starts: np.ndarray, words: np.ndarray, depth: int) -> np.ndarr
         if not len(tied):
             break
         own, key = group[tied], padded[starts[tied] + at]
-        order = np.lexsort((key, own))
+        # Two plain sorts, as ``lexsort`` is slower: places of the keys among themselves, then of those within groups.
+        by_key = np.argsort(key)
+        place = np.empty(len(key), np.int64)
+        place[by_key] = np.concatenate([[0], np.cumsum(key[by_key[1:]] != key[by_key[:-1]])])
+        order = np.argsort(own * len(key) + place)
         starts[tied] = starts[tied][order]
         key, own = key[order], own[order]
         new[tied] = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
@@ -118,3 +122,15 @@ def common_prefixes(array: np.ndarray, words: np.ndarray, depth: int) -> np.ndar
         out[live] += equal
         live = live[equal == 8]
     return np.minimum(out, depth)
+
+
+def new_prefixes(array: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
+    """Which entries do not share their first ``depth`` bytes with the one before (the first doesn't)."""
+    padded = np.concatenate([words, np.zeros(depth + 8, np.uint64)])
+    out = np.ones(len(array), bool)
+    live = np.arange(1, len(array))
+    for at in range(0, depth, 8):
+        differ = padded[array[live] + at] ^ padded[array[live - 1] + at]
+        live = live[differ >> np.uint64(8 * max(0, at + 8 - depth)) == 0]
+    out[live] = False
+    return out

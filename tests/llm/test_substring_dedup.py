@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tallywork.llm import substring_dedup
-from tallywork.llm.suffix_array import common_prefixes, suffix_array, words_at
+from tallywork.llm.suffix_array import common_prefixes, new_prefixes, suffix_array, words_at
 
 
 def plain(rows: list[tuple[int, str | None]], length: int) -> dict[int, tuple]:
@@ -78,7 +78,28 @@ def test_suffix_array_orders_by_prefixes():
         pads = [k + bytes(depth - len(k)) for k in keys]
         same = [next((j for j in range(depth) if a[j] != b[j]), depth) for a, b in zip(pads, pads[1:])]
         assert common_prefixes(array, words, depth).tolist()[1:] == same
+        assert new_prefixes(array, words, depth).tolist()[1:] == [k < depth for k in same]
         wanted = np.array([pick.random() < 0.2 for _ in text])
         some = suffix_array(text, words, depth, wanted)
         assert set(np.flatnonzero(wanted)) <= set(some.tolist()) and len(set(some.tolist())) == len(some)
         assert [data[k : k + depth] for k in some] == sorted(data[k : k + depth] for k in some)
+
+
+def test_anchors_count_their_windows():
+    pick = random.Random(8)
+    for _ in range(60):
+        text = bytes(pick.choice(b"ab") for _ in range(pick.randint(99, 900))) + b"c" * pick.choice([0, 300])
+        hashes, at, begins, counts = substring_dedup.anchors(text, 100)
+        grains = substring_dedup._rolling(np.frombuffer(text, np.uint8), substring_dedup.GRAIN)
+        low = np.uint64((1 << len(text).bit_length()) - 1)
+        picked = [min(range(k, k + 100 - substring_dedup.GRAIN + 1), key=lambda j: (int(grains[j] & ~low), j)) for k in range(len(text) - 99)]
+        assert np.repeat(at, counts).tolist() == picked and begins.tolist() == [picked.index(k) for k in at]
+        assert hashes.tolist() == [int(grains[k]) for k in at]
+
+
+def test_regions_sorted_a_few_at_a_time(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(substring_dedup, "SORT_BYTES", 300)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == plain(rows, 100)
