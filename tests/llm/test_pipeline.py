@@ -53,3 +53,8 @@ def test_line_stage_and_decontamination_against_sql(spark, sf_dir):
         names = [c[0] for c in want.description]
         got = module.query(spark, sf_dir).select(*names).collect()
         assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_decontamination_of_long_runs_of_names(spark, tables):
+    rows = [(1, "see " + "Bob " * 40_000, "en", "s", 0), (2, "see " + "Bob " * 40_000 + ". " + spark.read.parquet(f"{tables}/benchmark.parquet").first()["text"], "en", "s", 0)]
+    assert [r["doc_id"] for r in P.drop_contaminated(spark, spark.createDataFrame(rows, COLUMNS), tables).collect()] == [1]
